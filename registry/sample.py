@@ -1,15 +1,21 @@
 """Payloads derived from the given tables, and the same data for the SQL oracle.
 
 Flat rows are one SQL text that Spark and DuckDB both run; Spark then nests them
-into the payload shapes. The numbers decide which edge cases a row carries.
-A third of the customers and of the browsing users belong to shop 0.
+into the payload shapes and lands them as Parquet in the shared folder, once per
+application and source folder, as a collector would. The numbers decide which
+edge cases a row carries. A third of the customers and of the browsing users
+belong to shop 0.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storewake.session import shared_folder
 from storewake.sources import schemas
 
 TABLES = ("supplier", "customer", "orders", "lineitem", "part", "events", "pages")
@@ -24,6 +30,24 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) ->
     return spark.sql(text, **used, **frames)
 
 
+_landed: dict[tuple[str, str, str], tuple[str, object]] = {}
+
+
+def landed(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """The built table, written on first use and read from there afterwards."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _landed:
+        source = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+        path = f"{shared_folder(spark)}/landed/{key[0]}/{source}/{name}"
+        frame = build(spark, sf_dir)
+        frame.write.mode("overwrite").parquet(path)
+        _landed[key] = (path, frame.schema)
+    path, schema = _landed[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def shop_name(number: str) -> str:
     return (
         f"'shop' || cast({number} as string) || case when {number} % 25 = 24"
@@ -180,12 +204,20 @@ def with_shop_name(rows: DataFrame) -> DataFrame:
 
 
 def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "shops", _shops)
+
+
+def _shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_sql(spark, sf_dir, SHOPS).select(
         "shop", "api_key", "api_host", "strategy", "server_enabled"
     )
 
 
 def pixel_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "pixel_settings", _pixel_settings)
+
+
+def _pixel_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {
         "checkout_started": "on_checkout",
         "checkout_completed": "on_checkout",
@@ -248,15 +280,18 @@ def _nested_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders(
-    spark: SparkSession, sf_dir: str, lines: bool = True, retries: bool = False
-) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, retries: bool = False) -> DataFrame:
     """Order payloads. Retries: every tenth order arrives twice."""
+    out = landed(spark, sf_dir, "orders", _orders)
+    if retries:
+        last = F.when(F.col("id") % 10 == 0, 1).otherwise(0).cast("long")
+        out = out.withColumn("arrival_seq", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return out
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = with_shop_name(run_sql(spark, sf_dir, ORDER_HEADS))
-    if lines:
-        heads = heads.join(_nested_lines(spark, sf_dir), "id", "left")
-    else:
-        heads = heads.withColumn("line_items", F.lit(None).cast(f"array<{schemas.ORDER_LINE}>"))
+    heads = heads.join(_nested_lines(spark, sf_dir), "id", "left")
     none = F.lit(None).cast("string")
 
     def code(text: Column) -> Column:
@@ -285,7 +320,7 @@ def orders(
             _address("has_address").alias("default_address"),
         ),
     )
-    out = heads.select(
+    return heads.select(
         "shop",
         F.lit(0).cast("long").alias("arrival_seq"),
         "id",
@@ -319,19 +354,17 @@ def orders(
         _address("has_billing").alias("billing_address"),
         "status",
     )
-    if retries:
-        copies = F.when(F.col("id") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(
-            F.array(F.lit(0))
-        )
-        out = out.withColumn("arrival_seq", F.explode(copies).cast("long"))
-    return out
 
 
 def cancelled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orders(spark, sf_dir, lines=False).where(F.col("status") == "F")
+    return orders(spark, sf_dir).where(F.col("status") == "F")
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "customers", _customers)
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = with_shop_name(run_sql(spark, sf_dir, CUSTOMERS))
     return flat.select(
         "shop",
@@ -352,41 +385,40 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def refunds(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
+def refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "refunds", _refunds)
+
+
+def _refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = with_shop_name(run_sql(spark, sf_dir, REFUND_HEADS))
-    if lines:
-        item = F.struct(
-            F.col("line_id").alias("id"),
-            "product_id",
-            "variant_id",
-            "sku",
-            "title",
-            "variant_title",
-            "vendor",
-            "price",
-            "quantity",
-        )
-        line = F.struct(
-            F.col("line_id").alias("id"),
-            F.col("line_id").alias("line_item_id"),
-            "quantity",
-            "subtotal",
-            _shop_money("amount").alias("subtotal_set"),
-            F.lit(0.0).alias("total_tax"),
-            item.alias("line_item"),
-        )
-        nested = (
-            run_sql(spark, sf_dir, LINES)
-            .where(F.col("flag") == "R")
-            .groupBy("order_id")
-            .agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, line.alias("line")))).alias("e"))
-            .select("order_id", F.transform("e", lambda x: x["line"]).alias("refund_line_items"))
-        )
-        heads = heads.join(nested, "order_id", "left")
-    else:
-        heads = heads.withColumn(
-            "refund_line_items", F.lit(None).cast(f"array<{schemas.REFUND_LINE}>")
-        )
+    item = F.struct(
+        F.col("line_id").alias("id"),
+        "product_id",
+        "variant_id",
+        "sku",
+        "title",
+        "variant_title",
+        "vendor",
+        "price",
+        "quantity",
+    )
+    line = F.struct(
+        F.col("line_id").alias("id"),
+        F.col("line_id").alias("line_item_id"),
+        "quantity",
+        "subtotal",
+        _shop_money("amount").alias("subtotal_set"),
+        F.lit(0.0).alias("total_tax"),
+        item.alias("line_item"),
+    )
+    nested = (
+        run_sql(spark, sf_dir, LINES)
+        .where(F.col("flag") == "R")
+        .groupBy("order_id")
+        .agg(F.array_sort(F.collect_list(F.struct(*LINE_ORDER, line.alias("line")))).alias("e"))
+        .select("order_id", F.transform("e", lambda x: x["line"]).alias("refund_line_items"))
+    )
+    heads = heads.join(nested, "order_id", "left")
     return heads.select(
         "shop",
         F.lit(0).cast("long").alias("arrival_seq"),

@@ -62,15 +62,16 @@ def order_person_id(order: str = "") -> Column:
 def uuid5(name: Column, namespace: str = EVENT_NAMESPACE) -> Column:
     """RFC 4122 version 5 UUID of a text, from built-in hashing only."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
-    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    return F.concat_ws(
-        "-",
-        F.substring(digest, 1, 8),
-        F.substring(digest, 9, 4),
-        F.concat(F.lit("5"), F.substring(digest, 14, 3)),
-        F.concat(variant, F.substring(digest, 18, 3)),
-        F.substring(digest, 21, 12),
-    )
+    return _uuid_text(digest, "5")
+
+
+def _uuid_text(hex_digits: Column, version: str) -> Column:
+    """The first 32 hex digits as a UUID with its version and variant digits set."""
+    parts = r"^(.{8})(.{4}).(.{3})(.)(.{3})(.{12}).*$"
+    text = F.regexp_replace(hex_digits, parts, rf"$1-$2-{version}$3-#$4$5-$6")
+    for low_bits, digit in (("048c", "8"), ("159d", "9"), ("26ae", "a"), ("37bf", "b")):
+        text = F.regexp_replace(text, f"#[{low_bits}]", digit)
+    return text
 
 
 def order_completed_uuid(shop: Column, checkout_token: Column) -> Column:
@@ -99,13 +100,4 @@ def time_key(start_us: Column, *parts: Column) -> Column:
     """
     millis = F.lpad(F.lower(F.hex(F.floor(start_us / F.lit(1000)).cast("long"))), 12, "0")
     tail = F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], start_us.cast("string")))
-    variant = F.translate(F.substring(tail, 4, 1), "0123456789abcdef", "89ab89ab89ab89ab")
-    key = F.concat_ws(
-        "-",
-        F.substring(millis, 1, 8),
-        F.substring(millis, 9, 4),
-        F.concat(F.lit("7"), F.substring(tail, 1, 3)),
-        F.concat(variant, F.substring(tail, 5, 3)),
-        F.substring(tail, 8, 12),
-    )
-    return F.when(start_us.isNotNull(), key)
+    return F.when(start_us.isNotNull(), _uuid_text(F.concat(millis, tail), "7"))

@@ -1,16 +1,20 @@
 """Order, refund and customer payloads to analytics events.
 
-Every function takes payload rows that already carry the shop columns of
-`operators.shops.with_shop` and returns the columns of EVENT_COLUMNS with a
-typed `properties` struct.
+Payload rows already carry the shop columns of `operators.shops.with_shop`.
+A Mapping says what one kind of event takes from such a row. `typed_events`
+gives one kind with its properties as a struct; `event_table` gives several
+kinds in one pass over the rows, with the properties as JSON text.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storewake.functions import ids
+from storewake.functions.objects import object_text
 from storewake.functions.values import (
     first_text,
     id_text,
@@ -24,17 +28,6 @@ from storewake.functions.values import (
 )
 from storewake.operators.shops import identify_allowed
 
-EVENT_COLUMNS = (
-    "shop",
-    "event",
-    "distinct_id",
-    "properties",
-    "timestamp",
-    "uuid",
-    "api_key",
-    "api_host",
-    "arrival_seq",
-)
 IDENTIFY = "$identify"
 ALIAS = "$create_alias"
 
@@ -43,21 +36,65 @@ def _text(name: str) -> Column:
     return text_or_null(F.col(name))
 
 
-def _event(
-    rows: DataFrame,
-    name: str,
-    properties: Column,
-    timestamp: Column,
-    uuid: Column | None = None,
-) -> DataFrame:
-    no_uuid = F.lit(None).cast("string")
-    return rows.select(
+@dataclass(frozen=True)
+class Mapping:
+    """One kind of event: when a row gives rise to it, and what it holds.
+
+    A sparse mapping leaves null properties out of the JSON text.
+    """
+
+    event: str
+    properties: Column
+    timestamp: Column
+    uuid: Column | None = None
+    when: Column | None = None
+    sparse: bool = False
+
+    def uuid_or_null(self) -> Column:
+        return F.lit(None).cast("string") if self.uuid is None else self.uuid
+
+    def text(self) -> Column:
+        return F.to_json(self.properties) if self.sparse else object_text(self.properties)
+
+
+def typed_events(rows: DataFrame, mapping: Mapping) -> DataFrame:
+    wanted = rows if mapping.when is None else rows.where(mapping.when)
+    return wanted.select(
         "shop",
-        F.lit(name).alias("event"),
+        F.lit(mapping.event).alias("event"),
         "distinct_id",
-        properties.alias("properties"),
-        timestamp.alias("timestamp"),
-        (no_uuid if uuid is None else uuid).alias("uuid"),
+        mapping.properties.alias("properties"),
+        mapping.timestamp.alias("timestamp"),
+        mapping.uuid_or_null().alias("uuid"),
+        "api_key",
+        "api_host",
+        "arrival_seq",
+    )
+
+
+def event_table(rows: DataFrame, *mappings: Mapping) -> DataFrame:
+    """All events the rows give rise to; the rows are read once."""
+
+    def entry(m: Mapping) -> Column:
+        event = F.struct(
+            F.lit(m.event).alias("event"),
+            m.text().alias("properties"),
+            m.timestamp.alias("timestamp"),
+            m.uuid_or_null().alias("uuid"),
+        )
+        return event if m.when is None else F.when(m.when, event)
+
+    entries = F.array_compact(F.array(*[entry(m) for m in mappings]))
+    opened = rows.select(
+        "shop", "distinct_id", "api_key", "api_host", "arrival_seq", F.explode(entries).alias("e")
+    )
+    return opened.select(
+        "shop",
+        "e.event",
+        "distinct_id",
+        "e.properties",
+        "e.timestamp",
+        "e.uuid",
         "api_key",
         "api_host",
         "arrival_seq",
@@ -71,9 +108,13 @@ def with_order_person(orders: DataFrame) -> DataFrame:
     )
 
 
-def non_web(orders: DataFrame) -> DataFrame:
+def not_web() -> Column:
     """Web orders are left to the browser events; a missing source is not web."""
-    return orders.where(~F.col("source_name").eqNullSafe("web"))
+    return ~F.col("source_name").eqNullSafe("web")
+
+
+def non_web(orders: DataFrame) -> DataFrame:
+    return orders.where(not_web())
 
 
 def _order_codes() -> Column:
@@ -113,7 +154,7 @@ def order_products() -> Column:
     return F.coalesce(F.transform("line_items", product), F.array())
 
 
-def order_completed(orders: DataFrame) -> DataFrame:
+def order_completed_mapping() -> Mapping:
     """Non-web orders as "Order Completed"."""
     subtotal = parse_number(F.col("subtotal_price"))
     properties = F.struct(
@@ -142,16 +183,20 @@ def order_completed(orders: DataFrame) -> DataFrame:
         F.lit("server").alias("event_source"),
         order_products().alias("products"),
     )
-    return _event(
-        with_order_person(non_web(orders)),
+    return Mapping(
         "Order Completed",
         properties,
         F.col("created_at"),
         ids.order_completed_uuid(F.col("shop"), F.col("checkout_token")),
+        when=not_web(),
     )
 
 
-def order_updated(orders: DataFrame) -> DataFrame:
+def order_completed(orders: DataFrame) -> DataFrame:
+    return typed_events(with_order_person(orders), order_completed_mapping())
+
+
+def order_updated_mapping() -> Mapping:
     properties = F.struct(
         F.col("id").cast("string").alias("order_id"),
         number_or_null(F.col("order_number")).alias("order_number"),
@@ -163,8 +208,7 @@ def order_updated(orders: DataFrame) -> DataFrame:
         _text("source_name").alias("source_name"),
         F.col("shop").alias("affiliation"),
     )
-    return _event(
-        with_order_person(orders),
+    return Mapping(
         "Order Updated",
         properties,
         F.col("updated_at"),
@@ -172,7 +216,11 @@ def order_updated(orders: DataFrame) -> DataFrame:
     )
 
 
-def order_cancelled(orders: DataFrame) -> DataFrame:
+def order_updated(orders: DataFrame) -> DataFrame:
+    return typed_events(with_order_person(orders), order_updated_mapping())
+
+
+def order_cancelled_mapping() -> Mapping:
     """No stable id: a repeated notice is a second event."""
     properties = F.struct(
         F.col("id").cast("string").alias("order_id"),
@@ -186,7 +234,11 @@ def order_cancelled(orders: DataFrame) -> DataFrame:
         _text("source_name").alias("source_name"),
     )
     when = F.coalesce(_text("cancelled_at"), F.col("updated_at"))
-    return _event(with_order_person(orders), "Order Cancelled", properties, when)
+    return Mapping("Order Cancelled", properties, when)
+
+
+def order_cancelled(orders: DataFrame) -> DataFrame:
+    return typed_events(with_order_person(orders), order_cancelled_mapping())
 
 
 def _refund_amount(line: Column) -> Column:
@@ -231,7 +283,7 @@ def with_refund_email(refunds: DataFrame) -> DataFrame:
     return refunds.withColumn("distinct_id", ids.normal_email(email)).where(email.isNotNull())
 
 
-def order_refunded(refunds: DataFrame) -> DataFrame:
+def order_refunded_mapping() -> Mapping:
     properties = F.struct(
         F.col("order_id").cast("string").alias("order_id"),
         F.col("id").cast("string").alias("refund_id"),
@@ -240,7 +292,11 @@ def order_refunded(refunds: DataFrame) -> DataFrame:
         F.col("shop").alias("affiliation"),
         refund_products().alias("products"),
     )
-    return _event(with_refund_email(refunds), "Order Refunded", properties, F.col("created_at"))
+    return Mapping("Order Refunded", properties, F.col("created_at"))
+
+
+def order_refunded(refunds: DataFrame) -> DataFrame:
+    return typed_events(with_refund_email(refunds), order_refunded_mapping())
 
 
 def _person_set(person: str, address: Column) -> list[Column]:
@@ -259,7 +315,7 @@ def _person_set(person: str, address: Column) -> list[Column]:
     ]
 
 
-def order_identify(orders: DataFrame, timestamp: str = "created_at") -> DataFrame:
+def order_identify_mapping(timestamp: str = "created_at") -> Mapping:
     """Person updates of orders; a null field stands for a field that is not sent."""
     address = F.coalesce("customer.default_address", "billing_address")
     properties = F.struct(
@@ -273,11 +329,20 @@ def order_identify(orders: DataFrame, timestamp: str = "created_at") -> DataFram
             F.col("id").alias("first_order_id"),
         ).alias("$set_once"),
     )
-    allowed = with_order_person(orders.where(identify_allowed(F.col("strategy"))))
-    return _event(allowed, IDENTIFY, properties, F.col(timestamp))
+    allowed = identify_allowed(F.col("strategy"))
+    return Mapping(IDENTIFY, properties, F.col(timestamp), when=allowed, sparse=True)
 
 
-def customer_identify(customers: DataFrame) -> DataFrame:
+def order_identify(orders: DataFrame, timestamp: str = "created_at") -> DataFrame:
+    return typed_events(with_order_person(orders), order_identify_mapping(timestamp))
+
+
+def with_customer_person(customers: DataFrame) -> DataFrame:
+    person = ids.person_id(F.col("email"), customer_id=F.col("id"))
+    return customers.withColumn("distinct_id", person).where(F.col("distinct_id").isNotNull())
+
+
+def customer_identify_mapping() -> Mapping:
     properties = F.struct(
         F.struct(
             *_person_set("", F.col("default_address")),
@@ -285,16 +350,15 @@ def customer_identify(customers: DataFrame) -> DataFrame:
         ).alias("$set"),
         F.struct(F.col("created_at").alias("shopify_customer_created_at")).alias("$set_once"),
     )
-    person = ids.person_id(F.col("email"), customer_id=F.col("id"))
-    allowed = (
-        customers.where(identify_allowed(F.col("strategy")))
-        .withColumn("distinct_id", person)
-        .where(F.col("distinct_id").isNotNull())
-    )
-    return _event(allowed, IDENTIFY, properties, F.col("updated_at"))
+    allowed = identify_allowed(F.col("strategy"))
+    return Mapping(IDENTIFY, properties, F.col("updated_at"), when=allowed, sparse=True)
+
+
+def customer_identify(customers: DataFrame) -> DataFrame:
+    return typed_events(with_customer_person(customers), customer_identify_mapping())
 
 
 def alias_events(links: DataFrame) -> DataFrame:
     """Links (distinct_id, alias) that merge two ids of one person."""
     properties = F.struct(F.col("alias").alias("alias"))
-    return _event(links, ALIAS, properties, F.lit(None).cast("string"))
+    return typed_events(links, Mapping(ALIAS, properties, F.lit(None).cast("string")))
