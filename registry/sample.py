@@ -199,8 +199,9 @@ where exists (select 1 from {lineitem} where l_orderkey = o.o_orderkey and l_ret
 """
 
 
-def with_shop_name(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("shop", F.expr(shop_name("shop_no"))).drop("shop_no")
+def with_shop_name(rows: DataFrame, keep: bool = False) -> DataFrame:
+    named = rows.withColumn("shop", F.expr(shop_name("shop_no")))
+    return named if keep else named.drop("shop_no")
 
 
 def shops(spark: SparkSession, sf_dir: str) -> DataFrame:

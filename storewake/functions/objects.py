@@ -16,8 +16,13 @@ def object_text(struct: Column) -> Column:
 
 
 def inside(json_text: Column) -> Column:
-    """The members of a JSON object or array without the outer brackets, null when empty."""
-    return F.nullif(F.substr(json_text, F.lit(2), F.length(json_text) - 2), F.lit(""))
+    """The members of a JSON object or array without the outer brackets."""
+    return F.regexp_extract(json_text, r"(?s)^.(.*).$", 1)
+
+
+def members_or_null(json_text: Column) -> Column:
+    """Like inside, null for an object without members."""
+    return F.when(json_text != "{}", inside(json_text))
 
 
 def quoted(text: Column) -> Column:
@@ -80,11 +85,12 @@ class JsonObject:
         return self
 
     def put_members(self, text: Column) -> JsonObject:
-        """Members whose names differ by row, as the inside of a JSON object."""
+        """Members that are JSON text already; their names are not put otherwise."""
         self._members.append(text)
         return self
 
-    def text(self) -> Column:
+    def members(self) -> Column:
+        """The object without its brackets; a key under a condition may leave it empty."""
         groups: dict[frozenset, list[tuple[str, Column, bool]]] = {}
         for name, value, raw, terms in self._entries:
             groups.setdefault(terms, []).append((name, value, raw))
@@ -101,4 +107,7 @@ class JsonObject:
                     holds = self._conditions[term]
                     piece = F.when(holds if wanted else ~holds, piece)
                 parts.append(piece)
-        return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+        return F.concat_ws(",", *parts)
+
+    def text(self) -> Column:
+        return F.concat(F.lit("{"), self.members(), F.lit("}"))

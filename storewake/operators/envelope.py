@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from storewake.functions.objects import inside, object_text, quoted
+from storewake.functions.objects import inside, members_or_null, object_text, quoted
 from storewake.functions.urls import batch_url
 from storewake.operators.timeline import Timeline
 
@@ -61,7 +61,8 @@ def event_body(library: str = LIBRARY, version: str = LIBRARY_VERSION) -> Column
     own = F.coalesce(F.json_object_keys("properties"), F.array())
     added = F.to_json(F.map_filter(base, lambda name, _: ~F.array_contains(own, name)))
 
-    merged = F.concat_ws(",", inside(added), inside(F.coalesce("properties", F.lit("{}"))))
+    given = F.coalesce("properties", F.lit("{}"))
+    merged = F.concat_ws(",", members_or_null(added), members_or_null(given))
     head = F.to_json(F.struct("event"))
     tail = F.to_json(F.struct("timestamp", "uuid"))
     return F.concat(
@@ -70,7 +71,7 @@ def event_body(library: str = LIBRARY, version: str = LIBRARY_VERSION) -> Column
             ",",
             inside(head),
             F.concat(F.lit('"properties":{'), merged, F.lit("}")),
-            inside(tail),
+            members_or_null(tail),
         ),
         F.lit("}"),
     )

@@ -11,6 +11,7 @@ from storewake.functions import urls
 from storewake.functions.device import BROWSERS, DEVICE_TYPES, SYSTEMS, AgentRule, device_struct
 from storewake.functions.objects import JsonObject, object_text, quoted
 
+TEXTS = ("base", "person_set", "person_bare", "customer_text")
 CUSTOMER_FIELDS = ("id", "email", "firstName", "lastName", "phone")
 
 
@@ -67,7 +68,7 @@ def flag_members(flags: Column) -> Column:
     listed = F.to_json(active_flags(flags))
     active = F.when(listed.isNotNull(), F.concat(F.lit('"$active_feature_flags":'), listed))
     members = F.array_join(F.transform(_flag_names(flags), member), ",")
-    return F.nullif(F.concat_ws(",", F.nullif(members, F.lit("")), active), F.lit(""))
+    return F.when(F.size(flags) > 0, F.concat_ws(",", members, active))
 
 
 def _person_facts(prefix: str) -> dict[str, Column]:
@@ -93,32 +94,54 @@ def _customer(struct: str) -> dict[str, Column]:
     return {f: F.col(f"{struct}.{f}") for f in CUSTOMER_FIELDS}
 
 
-def with_person_updates(loads: DataFrame) -> DataFrame:
-    """Add the person updates of a load as JSON text, once per load.
+def with_texts(loads: DataFrame) -> DataFrame:
+    """Add what all events of a load share as JSON text, so that it is written once per load.
 
-    person_bare is person_set without the customer's own fields.
+    base: members no event replaces. person_set: the person update of the load;
+    person_bare is the same without the customer's own fields.
     """
     conditions = {"customer": F.col("customer").isNotNull()}
-    latest = JsonObject(conditions).put_all(_campaign(""))
-    latest.put_all(_customer("customer"), when="customer").put_all(_person_facts(""))
     first = JsonObject(conditions).put_all(_campaign("initial_"))
     first.put_all(_person_facts("initial_"))
+    latest = JsonObject(conditions).put_all(_campaign(""))
+    latest.put_all(_customer("customer"), when="customer").put_all(_person_facts(""))
+    base = JsonObject(conditions)
+    base.put_members(flag_members(F.col("feature_flags")))
+    base.put_all(
+        {
+            "$os": F.col("device.os"),
+            "$os_version": F.col("device.os_version"),
+            "$browser": F.col("device.browser"),
+            "$browser_version": F.col("device.browser_version"),
+            "$device_type": F.col("device.device_type"),
+            "$host": F.col("host"),
+            "$pathname": F.col("pathname"),
+            "$screen_height": F.col("screen_height"),
+            "$screen_width": F.col("screen_width"),
+            "$viewport_height": F.col("inner_height"),
+            "$viewport_width": F.col("inner_width"),
+            "$search_engine": F.col("search_engine"),
+            "$referrer": F.col("referrer_shown"),
+            "$referring_domain": F.col("referring_domain"),
+            "shop": F.col("shop"),
+        }
+    )
+    base.put_json("$set_once", first.text()).put_all(_campaign(""))
     return loads.withColumns(
         {
+            "base": base.members(),
             "person_set": latest.text(),
             "person_bare": latest.copy().drop(*CUSTOMER_FIELDS).text(),
-            "person_set_once": first.text(),
             "customer_text": object_text(F.col("customer")),
-            "flags_text": flag_members(F.col("feature_flags")),
         }
     )
 
 
 def page_contexts(loads: DataFrame) -> DataFrame:
     """One row per page load with a `context` struct that events join to."""
-    rich = with_person_updates(with_device(with_page_facts(loads)))
+    rich = with_texts(with_device(with_page_facts(loads)))
     keys = ["shop", "client_id", "page_load_id"]
-    rest = [c for c in rich.columns if c not in keys]
+    rest = ("loaded_us", "href", "customer", "analytics_allowed", *TEXTS)
     return rich.select(*keys, F.struct(*rest).alias("context"))
 
 
@@ -143,32 +166,11 @@ def context_object(conditions: dict[str, Column], strict: bool = False) -> JsonO
     """
     c = F.col("context")
     o = JsonObject(conditions)
-    o.put_members(c["flags_text"])
-    o.put_all(
-        {
-            "$os": c["device"]["os"],
-            "$os_version": c["device"]["os_version"],
-            "$browser": c["device"]["browser"],
-            "$browser_version": c["device"]["browser_version"],
-            "$device_type": c["device"]["device_type"],
-            "$current_url": c["href"],
-            "$host": c["host"],
-            "$pathname": c["pathname"],
-            "$screen_height": c["screen_height"],
-            "$screen_width": c["screen_width"],
-            "$viewport_height": c["inner_height"],
-            "$viewport_width": c["inner_width"],
-            "$search_engine": c["search_engine"],
-            "$referrer": c["referrer_shown"],
-            "$referring_domain": c["referring_domain"],
-            "shop": F.col("shop"),
-        }
-    )
+    o.put_members(c["base"])
+    o.put("$current_url", c["href"])
     o.put_all(_customer("context.customer"), when="customer")
     person = c["person_set"]
     if strict:
         o.drop(*CUSTOMER_FIELDS, when="anonymous")
         person = F.when(F.col("anonymous"), c["person_bare"]).otherwise(person)
-    o.put_json("$set", person)
-    o.put_json("$set_once", c["person_set_once"])
-    return o.put_all(_campaign("", "context.campaign"))
+    return o.put_json("$set", person)

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storewake.functions.ids import event_uuid
-from storewake.functions.objects import JsonObject, object_text
+from storewake.functions.objects import JsonObject, members_or_null, object_text
 from storewake.functions.values import text_or_null
 from storewake.operators import spec_events
-from storewake.operators.page_context import context_conditions, context_object, flag_members
+from storewake.operators.page_context import context_conditions, context_object
 from storewake.operators.pixel_settings import CART_LINE_EVENTS, CHECKOUT_EVENTS, DOM_EVENTS
 
 # Fixed value: reported with every event, in milliseconds.
@@ -67,8 +67,11 @@ def _start(strict: bool, **more: Column) -> JsonObject:
     return context_object(context_conditions() | more, strict)
 
 
-def checkout_properties(name: str, strict: bool = False) -> Column:
-    """A checkout; on anonymous rows the personal fields are null."""
+def checkout_properties(strict: bool = False) -> Column:
+    """A checkout; on anonymous rows the personal fields are null.
+
+    The vocabulary fields of checkouts have names of their own.
+    """
     order = F.col("checkout.order")
     no_id = F.lit(None).cast("string")
     blank_order = F.struct(no_id.alias("id"), F.struct(no_id.alias("id")).alias("customer"))
@@ -81,23 +84,30 @@ def checkout_properties(name: str, strict: bool = False) -> Column:
     o.put_nulls("billingAddress", "email", when="anonymous")
     o.put("order", blank_order, when="anonymous")
     o.put_nulls("phone", "shippingAddress", "smsMarketingPhone", when="anonymous")
-    _spec(o, name)
-    if strict and name in ("checkout_completed", "payment_info_submitted"):
-        o.put_nulls("order_id", when="anonymous")
+    change = _redacted if strict else dict
+    spec = spec_events.spec_text(F.col("name"), CHECKOUT_EVENTS, change)
+    o.put_members(F.when(F.col("spec_enabled"), members_or_null(spec)))
     return o.text()
 
 
-def cart_line_properties(name: str, strict: bool = False) -> Column:
+def _redacted(fields: spec_events.Fields) -> spec_events.Fields:
+    """Without the order's id on anonymous rows; a checkout token in its place stays."""
+    if "order_id" in fields and "checkout_id" in fields:
+        fields["order_id"] = F.when(~F.col("anonymous"), fields["order_id"])
+    return fields
+
+
+def cart_line_properties(strict: bool = False) -> Column:
     o = _start(strict, line=F.col("cart_line").isNotNull())
     _page(o)
     _session(o)
     o.put_all(_fields("cart_line.merchandise", VARIANT_FIELDS), when="line")
     o.put("cost", F.col("cart_line.cost.totalAmount.amount"), when="line")
     o.put("quantity", F.col("cart_line.quantity"), when="line")
-    return _spec(o, name).text()
+    return _spec(o, CART_LINE_EVENTS[0]).text()
 
 
-def dom_properties(name: str, strict: bool = False) -> Column:
+def dom_properties(strict: bool = False) -> Column:
     """Clicks and input changes know no page of their own: the page load's address stays."""
     o = _start(strict, element=F.col("element").isNotNull())
     _session(o)
@@ -105,7 +115,7 @@ def dom_properties(name: str, strict: bool = False) -> Column:
     return o.put_all(_fields("element", DOM_FIELDS), when="element").text()
 
 
-def page_view_properties(name: str, strict: bool = False) -> Column:
+def page_view_properties(strict: bool = False) -> Column:
     known = F.col("context.customer").isNotNull() & ~F.col("anonymous")
     o = _start(strict, known=known)
     o.put_nulls("customer", "purchasingCompany", when="anonymous")
@@ -113,7 +123,7 @@ def page_view_properties(name: str, strict: bool = False) -> Column:
     _page(o)
     _session(o)
     o.put_json("$set", F.col("context.customer_text"), when="known")
-    return _spec(o, name).text()
+    return o.text()
 
 
 # The column and the fields each browsing event spreads.
@@ -160,7 +170,7 @@ def form_body(elements: Column) -> Column:
     )
 
 
-def form_properties(name: str, strict: bool = False) -> Column:
+def form_properties(strict: bool = False) -> Column:
     """A form; its contents are sent on anonymous rows too unless strict."""
     elements = F.col("element.elements")
     email = text_or_null(form_email(elements))
@@ -177,23 +187,16 @@ def form_properties(name: str, strict: bool = False) -> Column:
     return o.text()
 
 
-# Which properties serve which event names.
-FAMILIES = (
-    *((name, checkout_properties) for name in CHECKOUT_EVENTS),
-    *((name, cart_line_properties) for name in CART_LINE_EVENTS),
-    *((name, dom_properties) for name in DOM_EVENTS),
-    ("page_viewed", page_view_properties),
-    *((name, browse_properties) for name in BROWSE_EVENTS),
-    ("form_submitted", form_properties),
-)
-
-
 def pixel_properties(strict: bool = False) -> Column:
     """Properties of any handled event as JSON text, in one pass over all names."""
-    result = F
-    for name, properties in FAMILIES:
-        result = result.when(F.col("name") == name, properties(name, strict))
-    return result
+    name = F.col("name")
+    result = F.when(name.isin(*CHECKOUT_EVENTS), checkout_properties(strict))
+    result = result.when(name.isin(*CART_LINE_EVENTS), cart_line_properties(strict))
+    result = result.when(name.isin(*DOM_EVENTS), dom_properties(strict))
+    result = result.when(name == "page_viewed", page_view_properties(strict))
+    for browse in BROWSE_EVENTS:
+        result = result.when(name == browse, browse_properties(browse, strict))
+    return result.when(name == "form_submitted", form_properties(strict))
 
 
 def pixel_events(rows: DataFrame, strict: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ Each mapping gives the extra fields of an event as columns over its row.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -291,9 +293,17 @@ def spec_fields(name: str) -> Fields:
     return {}
 
 
-def spec_text(name: Column) -> Column:
-    """The extra fields as JSON text, '{}' for names without a mapping; one pass over all names."""
+def spec_text(
+    name: Column,
+    only: Sequence[str] | None = None,
+    change: Callable[[Fields], Fields] = lambda fields: fields,
+) -> Column:
+    """The extra fields as JSON text, '{}' for names without a mapping; one pass over all names.
+
+    `only` limits the names that can occur, `change` adapts the fields.
+    """
     result = F
     for names, mapping in SPEC_MAPPINGS:
-        result = result.when(name.isin(*names), object_text(as_struct(mapping())))
+        if only is None or set(names) & set(only):
+            result = result.when(name.isin(*names), object_text(as_struct(change(mapping()))))
     return result.otherwise(F.lit("{}"))
