@@ -1,6 +1,8 @@
 """The registered queries over the given tables, each with a SQL oracle where one exists."""
 
-from registry import server
+from registry import pixel, server, state
 
-QUERIES = {**server.QUERIES}
-ORACLES = {**server.ORACLES}
+CATALOGS = (server.catalog, state.catalog, pixel.catalog)
+
+QUERIES = {name: q for c in CATALOGS for name, q in c.queries.items()}
+ORACLES = {name: text for c in CATALOGS for name, text in c.oracles.items()}

@@ -6,25 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry import sample
+from registry.common import Catalog
 from registry.sample import view, with_views
 from storewake.functions import ids, values
 from storewake.operators import dedup, envelope, profiles, server_events, shops
 from storewake.functions.urls import batch_url
 from storewake.plans import server
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(oracle: str | None = None):
-    def keep(function):
-        QUERIES[function.__name__] = function
-        if oracle is not None:
-            ORACLES[function.__name__] = oracle
-        return function
-
-    return keep
-
+catalog = Catalog()
+query = catalog.query
 
 SHOPS = view("fx_shops", sample.SHOPS)
 ELIGIBLE = (
