@@ -18,7 +18,7 @@ _NUMBER_PREFIX = rf"^[{JS_SPACE}]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?
 
 def text_or_null(col: Column) -> Column:
     """Empty text counts as missing."""
-    return F.nullif(col, F.lit(""))
+    return F.when(col != "", col)
 
 
 def number_or_null(col: Column) -> Column:

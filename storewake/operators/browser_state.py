@@ -65,8 +65,8 @@ def add_identity(t: Timeline) -> Timeline:
     reset (a struct with null inside) hides everything before it.
     """
     open_row = ~F.col("anonymous")
-    login = F.when(open_row, F.nullif("login_email", F.lit("")))
-    post = F.when(open_row, F.nullif("post_email", F.lit("")))
+    login = F.when(open_row & (F.col("login_email") != ""), F.col("login_email"))
+    post = F.when(open_row & (F.col("post_email") != ""), F.col("post_email"))
     left = F.coalesce(post, login)
     starts = F.col("first_row") | F.col("reset")
     t.last_before(_left=F.when(F.col("reset") | left.isNotNull(), F.struct(left.alias("email"))))
@@ -232,8 +232,9 @@ def browser_state(
 
 def identity_links(state: DataFrame) -> DataFrame:
     """(person before, email) pairs where an email differs from the current id."""
-    post = F.when(~F.col("anonymous"), F.nullif("post_email", F.lit("")))
-    return state.where(post.isNotNull() & (post != F.col("distinct_id"))).select(
+    post = F.col("post_email")
+    differs = ~F.col("anonymous") & (post != "") & (post != F.col("distinct_id"))
+    return state.where(differs).select(
         "shop", "client_id", "event_id", "ts_us", F.col("distinct_id").alias("from_id"),
         post.alias("to_id"),
     )
