@@ -14,6 +14,7 @@ from storewake.operators import spec_events as spec
 from storewake.operators.joins import lookup_join
 from storewake.operators.shops import is_anonymous, with_pixel_key
 from storewake.plans import pixel
+from storewake.session import cut_lineage
 
 catalog = Catalog()
 query = catalog.query
@@ -972,4 +973,5 @@ def all_channel_events(spark, sf_dir):
     feeds = envelope.all_events(
         server.server_event_table(spark, sf_dir), _pixel_table(spark, sf_dir)
     )
-    return dedup.deduplicated(feeds).select("shop", "event", "distinct_id", "timestamp", "uuid")
+    unique = dedup.deduplicated(cut_lineage(feeds))
+    return unique.select("shop", "event", "distinct_id", "timestamp", "uuid")

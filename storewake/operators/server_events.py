@@ -85,10 +85,12 @@ def event_table(rows: DataFrame, *mappings: Mapping) -> DataFrame:
         return event if m.when is None else F.when(m.when, event)
 
     entries = F.array_compact(F.array(*[entry(m) for m in mappings]))
-    opened = rows.select(
-        "shop", "distinct_id", "api_key", "api_host", "arrival_seq", F.explode(entries).alias("e")
+    kept = ("shop", "distinct_id", "api_key", "api_host", "arrival_seq")
+    # An inner explode would evaluate the entries a second time to filter empty ones.
+    opened = rows.select(*kept, entries.alias("entries")).select(
+        *kept, F.explode_outer("entries").alias("e")
     )
-    return opened.select(
+    return opened.where(F.col("e").isNotNull()).select(
         "shop",
         "e.event",
         "distinct_id",
