@@ -42,7 +42,8 @@ def landed(
         source = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
         path = f"{shared_folder(spark)}/landed/{key[0]}/{source}/{name}"
         frame = build(spark, sf_dir)
-        frame.write.mode("overwrite").parquet(path)
+        files = spark.sparkContext.defaultParallelism
+        frame.repartition(files).write.mode("overwrite").parquet(path)
         _landed[key] = (path, frame.schema)
     path, schema = _landed[key]
     return spark.read.schema(schema).parquet(path)

@@ -143,7 +143,7 @@ def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with a working page load and the logins, on one timeline."""
     events = pixel_sample.pixel_events(spark, sf_dir)
     shops = pixel_settings.pixel_shops(sample.pixel_settings(spark, sf_dir))
-    contexts = pixel.contexts_of(pixel_sample.page_loads(spark, sf_dir), shops)
+    contexts = pixel.consents_of(pixel_sample.page_loads(spark, sf_dir), shops)
     joined = pixel.join_context(events, contexts)
     keep = ["shop", "client_id", "tab_id", "event_id", "ts_us", "name", "anonymous"]
     rows = pixel.state_rows(joined, contexts)

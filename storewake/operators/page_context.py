@@ -27,13 +27,14 @@ def with_device(
     )
 
 
-def with_page_facts(loads: DataFrame) -> DataFrame:
-    """Add the columns derived from the page address and the referrer.
+def working_loads(loads: DataFrame) -> DataFrame:
+    """A load whose address is no absolute URL never starts its pixel: it has no events."""
+    return loads.where(urls.url_host(F.col("href")).isNotNull())
 
-    A load whose address is no absolute URL never starts its pixel, so it is
-    dropped, and with it the events of that load.
-    """
-    return loads.where(urls.url_host(F.col("href")).isNotNull()).withColumns(
+
+def with_page_facts(loads: DataFrame) -> DataFrame:
+    """Add the columns derived from the page address and the referrer."""
+    return loads.withColumns(
         {
             "host": urls.url_host(F.col("href")),
             "pathname": urls.url_path(F.col("href")),
@@ -139,12 +140,20 @@ def with_texts(loads: DataFrame) -> DataFrame:
 
 def page_contexts(loads: DataFrame) -> DataFrame:
     """One row per page load with a `context` struct that events join to."""
-    rich = with_texts(with_device(with_page_facts(loads)))
+    rich = with_texts(with_device(with_page_facts(working_loads(loads))))
     keys = ["shop", "client_id", "page_load_id"]
     rest = ("loaded_us", "href", "customer", "analytics_allowed", *TEXTS)
     return rich.select(*keys, F.struct(*rest).alias("context"))
 
 
+def narrow_contexts(loads: DataFrame) -> DataFrame:
+    """The same rows with only what identity and sessions need."""
+    facts = F.struct("loaded_us", "customer", "analytics_allowed")
+    return working_loads(loads).select(
+        "shop", "client_id", "page_load_id", facts.alias("context")
+    )
+
+
 def join_context(events: DataFrame, contexts: DataFrame) -> DataFrame:
     """Every event carries the context of its page load; one row per load on the right."""
     return events.join(contexts, ["shop", "client_id", "page_load_id"], "inner")

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from storewake.operators import pixel_events, pixel_settings
 from storewake.operators.browser_state import browser_state
 from storewake.operators.joins import lookup_join
-from storewake.operators.page_context import join_context, page_contexts
+from storewake.operators.page_context import join_context, narrow_contexts, page_contexts
 from storewake.operators.shops import is_anonymous
 from storewake.session import cut_lineage
 
 
+def with_consent(contexts: DataFrame, shops: DataFrame) -> DataFrame:
+    """Page loads whose shop has a working pixel, with `anonymous` from strategy and consent."""
+    known = lookup_join(contexts, shops.select("shop", "strategy"), "shop")
+    allowed = F.col("context.analytics_allowed")
+    return known.withColumn("anonymous", is_anonymous(F.col("strategy"), allowed)).drop("strategy")
+
+
 def contexts_of(loads: DataFrame, shops: DataFrame) -> DataFrame:
-    """Contexts of page loads whose shop has a working pixel, with the consent of the load.
+    """Contexts with consent; events join to it and logins are read from it, so it is written once."""
+    return cut_lineage(with_consent(page_contexts(loads), shops))
 
-    Events join to it and logins are read from it, so it is written once.
-    """
-    known = lookup_join(page_contexts(loads), shops.select("shop", "strategy"), "shop")
-    allowed = F.col("context.analytics_allowed")
-    with_consent = known.withColumn("anonymous", is_anonymous(F.col("strategy"), allowed))
-    return cut_lineage(with_consent.drop("strategy"))
+
+def consents_of(loads: DataFrame, shops: DataFrame) -> DataFrame:
+    """The part of the contexts that identity and sessions need."""
+    return with_consent(narrow_contexts(loads), shops)
 
 
 def context_rows(events: DataFrame, loads: DataFrame, settings: DataFrame) -> DataFrame:
