@@ -34,9 +34,17 @@ _landed: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
 def landed(
-    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    build: Callable[[SparkSession, str], DataFrame],
+    last: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The built table, written on first use and read from there afterwards."""
+    """The built table, written on first use and read from there afterwards.
+
+    `last` makes rows that are appended in a later file, so that a stream over
+    the files meets them at the end.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _landed:
         source = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
@@ -44,6 +52,9 @@ def landed(
         frame = build(spark, sf_dir)
         files = spark.sparkContext.defaultParallelism
         frame.repartition(files).write.mode("overwrite").parquet(path)
+        if last is not None:
+            written = spark.read.schema(frame.schema).parquet(path)
+            last(written).select(*frame.columns).coalesce(1).write.mode("append").parquet(path)
         _landed[key] = (path, frame.schema)
     path, schema = _landed[key]
     return spark.read.schema(schema).parquet(path)

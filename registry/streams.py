@@ -132,20 +132,22 @@ def stream_sink(spark, sf_dir):
 
 
 def _browser_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The timeline rows in several files by time, and a last row that moves the watermark on."""
-    rows = state._all_rows(spark, sf_dir).drop("tab_id", "name")
-    values = {
-        "shop": F.lit("heartbeat"),
-        "client_id": F.lit(""),
-        "event_id": F.lit(0).cast("long"),
-        "ts_us": F.col("ts_us") + F.lit(40 * 24 * 3600 * 1_000_000),
-        "anonymous": F.lit(True),
-        "is_event": F.lit(True),
-        "login_email": F.lit(None).cast("string"),
-        "post_email": F.lit(None).cast("string"),
-    }
-    last = rows.agg(F.max("ts_us").alias("ts_us")).withColumns(values)
-    return rows.unionByName(last).repartitionByRange(4, "ts_us")
+    return state._all_rows(spark, sf_dir).drop("tab_id", "name")
+
+
+def heartbeat(rows: DataFrame) -> DataFrame:
+    """A row of no browser, long after all others: it moves the watermark past them."""
+    none = F.lit(None).cast("string")
+    return rows.agg(F.max("ts_us").alias("ts_us")).select(
+        F.lit("heartbeat").alias("shop"),
+        F.lit("").alias("client_id"),
+        F.lit(0).cast("long").alias("event_id"),
+        (F.col("ts_us") + F.lit(40 * 24 * 3600 * 1_000_000)).alias("ts_us"),
+        F.lit(True).alias("anonymous"),
+        F.lit(True).alias("is_event"),
+        none.alias("login_email"),
+        none.alias("post_email"),
+    )
 
 
 @query(
@@ -163,7 +165,7 @@ from fx_session s join fx_identity i on i.event_id = s.event_id and i.is_event
 )
 def stream_sessions(spark, sf_dir):
     """Identity, epochs and sessions as keyed state; equals the batch answer."""
-    frame = landed(spark, sf_dir, "browser_rows", _browser_rows)
+    frame = landed(spark, sf_dir, "browser_rows", _browser_rows, heartbeat)
     before = spark.conf.get(session_stream.STATE_STORE, None)
     spark.conf.set(session_stream.STATE_STORE, session_stream.ROCKS)
     try:

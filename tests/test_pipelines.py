@@ -6,6 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from registry import pixel_sample, sample, state
+from registry.streams import heartbeat
 from storewake.operators import browser_state as bs
 from storewake.operators import envelope, server_events, shops
 from storewake.plans import pixel
@@ -122,26 +123,17 @@ def test_repeated_batch_replaces_itself(spark):
 
 def test_stream_state_does_not_depend_on_the_split(spark, sf_dir):
     rows = state._all_rows(spark, sf_dir).drop("tab_id", "name")
-    last = rows.agg(F.max("ts_us").alias("ts_us")).select(
-        F.lit("beat").alias("shop"),
-        F.lit("").alias("client_id"),
-        F.lit(0).cast("long").alias("event_id"),
-        (F.col("ts_us") + 10**13).alias("ts_us"),
-        F.lit(True).alias("anonymous"),
-        F.lit(True).alias("is_event"),
-        F.lit(None).cast("string").alias("login_email"),
-        F.lit(None).cast("string").alias("post_email"),
-    )
     spark.conf.set(session_stream.STATE_STORE, session_stream.ROCKS)
     t = bs.add_identity(bs.add_epochs(bs.timeline(rows)))
     batch = t.result().where("is_event").select("event_id", "epoch", "distinct_id")
     expected = sorted(map(tuple, batch.collect()))
     for files in (1, 3):
         folder = tempfile.mkdtemp(prefix="run-")
-        rows.unionByName(last).repartitionByRange(files, "ts_us").write.mode("overwrite").parquet(folder)
+        rows.repartition(files).write.mode("overwrite").parquet(folder)
+        heartbeat(rows).select(*rows.columns).write.mode("append").parquet(folder)
         source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
         out = sink.run_to_end(
-            session_stream.stream_browser_state(source, "40 days"), f"split{files}", partition_by=None
+            session_stream.stream_browser_state(source, "35 days"), f"split{files}", partition_by=None
         )
-        made = out.where("shop <> 'beat'").select("event_id", "epoch", "distinct_id")
+        made = out.where("shop <> 'heartbeat'").select("event_id", "epoch", "distinct_id")
         assert sorted(map(tuple, made.collect())) == expected
