@@ -397,9 +397,9 @@ _TOKEN = "case when event_id % 11 = 0 then '' else 'tok' || cast(event_id as var
 _ORDER_ID = "case when event_id % 4 <> 0 then 'o' || cast(event_id as varchar) end"
 _SUBTOTAL = "case when event_id % 13 <> 0 then nullif(value, 0) end"
 _TOTAL = "case when event_id % 6 <> 0 then nullif(value * 2, 0) end"
-_AMOUNTS = f"""{_SUBTOTAL} as revenue, case when event_id % 3 <> 0 then 5.5 end as shipping,
+_AMOUNTS = f"""{_SUBTOTAL} as revenue, case when event_id % 3 <> 0 then 5.5::double end as shipping,
   case when event_id % 4 <> 0 then nullif(value / 4, 0) end as tax,
-  case when event_id % 5 not in (1, 2) then 1.25 end as discount,
+  case when event_id % 5 not in (1, 2) then 1.25::double end as discount,
   {_CHECKOUT_COUPON} as coupon, 'USD' as currency"""
 _LINE_COUPON = "case (event_id + j) % 3 when 1 then 'al1' when 2 then 'al1,al2' end"
 _HAS_VARIANT = "(event_id + j) % 7 <> 0"

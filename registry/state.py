@@ -73,7 +73,7 @@ from {line}""",
         (
             "fx_epoch",
             f"""
-select *, sum(reset::int) over {over} current row) as epoch from (
+select *, (sum(reset::int) over {over} current row))::bigint as epoch from (
   select *, is_event and anonymous and coalesce(not prev_anonymous, false) as reset from fx_prev)""",
         ),
     )

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
+from storewake.session import cut_lineage
+
 MAX_BROADCAST_ROWS = 200_000
+HOT_ROWS = 5_000_000
 
 
 def fits_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
@@ -37,3 +40,21 @@ def lookup_join(
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*atoms), F.lit(salts)).cast("int"))
     repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def detail_join(
+    rows: DataFrame, details: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Inner join of two large tables, where `details` has one row per key.
+
+    Keys with more than `hot_rows` rows are few, so their details are brought to
+    the rows; all other keys are joined by shuffle.
+    """
+    hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).drop("count")
+    if hot.isEmpty():
+        return rows.join(details, list(keys), "inner")
+    hot = cut_lineage(hot)
+    cold_rows = lookup_join(rows, hot, keys, "left_anti")
+    hot_details = cut_lineage(lookup_join(details, hot, keys, "left_semi"))
+    cold = cold_rows.join(details, list(keys), "inner")
+    return cold.unionByName(lookup_join(rows, hot_details, keys))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storewake.functions import urls
 from storewake.functions.device import BROWSERS, DEVICE_TYPES, SYSTEMS, AgentRule, device_struct
 from storewake.functions.objects import JsonObject, object_text, quoted
+from storewake.operators.joins import HOT_ROWS, detail_join
 
 TEXTS = ("base", "person_set", "person_bare", "customer_text")
 CUSTOMER_FIELDS = ("id", "email", "firstName", "lastName", "phone")
@@ -154,9 +155,9 @@ def narrow_contexts(loads: DataFrame) -> DataFrame:
     )
 
 
-def join_context(events: DataFrame, contexts: DataFrame) -> DataFrame:
+def join_context(events: DataFrame, contexts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every event carries the context of its page load; one row per load on the right."""
-    return events.join(contexts, ["shop", "client_id", "page_load_id"], "inner")
+    return detail_join(events, contexts, ["shop", "client_id", "page_load_id"], hot_rows)
 
 
 def context_conditions() -> dict[str, Column]:

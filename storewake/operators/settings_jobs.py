@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storewake.functions.values import js_trim, text_or_null
+from storewake.operators.joins import lookup_join
 from storewake.operators.pixel_settings import text_list
 from storewake.operators.shops import ANONYMIZED, STRATEGIES, valid_strategy
 from storewake.sources.settings import SETTING_TYPES, theme_blocks
@@ -294,7 +295,7 @@ def embed_status(themes: DataFrame, embed_id: str) -> DataFrame:
 
 def without_uninstalled(table: DataFrame, uninstalled: DataFrame) -> DataFrame:
     """Rows of shops that stay; repeating the notice changes nothing."""
-    return table.join(uninstalled.select("shop"), "shop", "left_anti")
+    return lookup_join(table, uninstalled.select("shop").distinct(), "shop", "left_anti")
 
 
 def script_config_errors(config: Column, console_hosts: tuple[str, ...] = CONSOLE_HOSTS) -> Column:

@@ -15,10 +15,9 @@ from copy import copy
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storewake.operators.joins import MAX_BROADCAST_ROWS, fits_broadcast
+from storewake.operators.joins import HOT_ROWS, MAX_BROADCAST_ROWS, fits_broadcast
 from storewake.session import cut_lineage
 
-HOT_ROWS = 5_000_000
 SLICE_US = 3_600_000_000
 SLICE = "_slice"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storewake.operators import browser_state as bs
 from storewake.operators.dedup import deduplicated
 from storewake.operators.envelope import numbered_batches
-from storewake.operators.joins import lookup_join
+from storewake.operators.joins import detail_join, lookup_join
 from storewake.streaming.session_stream import _fold
 
 MINUTE = 60_000_000
@@ -128,3 +128,19 @@ def test_dedup_keeps_first_and_is_stable(spark):
     assert once.where("uuid = 'u'").collect()[0].event == "e1"
     assert once.where("uuid is null").count() == 20
     assert sorted(map(tuple, deduplicated(once).collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
+
+
+def test_detail_join_of_hot_keys(spark):
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    details = spark.range(0, 900, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    plain = detail_join(rows, details, ["k"])
+    split = detail_join(rows, details, ["k"], hot_rows=10)
+    assert plain.count() > 500
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, split.collect()))
+
+
+def test_salted_anti_join(spark):
+    rows = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
+    gone = spark.range(3).select(F.col("id").alias("k"))
+    salted = lookup_join(rows, gone, "k", "left_anti", max_rows=1, salts=3)
+    assert {r.k for r in salted.collect()} == {3, 4, 5, 6}
