@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storewake.session import shared_folder
-from storewake.sources import schemas
 
 TABLES = ("supplier", "customer", "orders", "lineitem", "part", "events", "pages")
 

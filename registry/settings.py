@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry import sample
 from registry.common import Catalog
 from registry.sample import landed, run_sql, view, with_views
 from storewake.operators import settings_jobs as jobs

@@ -9,7 +9,7 @@ from registry import pixel_sample, sample
 from registry.common import Catalog
 from registry.sample import view, with_views
 from storewake.operators import browser_state as bs
-from storewake.operators import envelope, pixel_events, pixel_settings
+from storewake.operators import envelope, pixel_settings
 from storewake.operators.joins import lookup_join
 from storewake.plans import pixel
 
