@@ -9,9 +9,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+import registry
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")
