@@ -28,10 +28,12 @@ from storewake.llm.common import land, work_folder
 
 #: Labelled rows that the model is fitted to at most, the first by a hash of their id.
 MAX_LABELLED = 20_000
-PREFIXES = range(4, 9)
+PREFIXES = range(3, 9)
 #: Evidence that a feature needs (G statistic) and the share of its texts that are toxic.
 MIN_G = 20.0
-MIN_SHARE = 0.8
+MIN_SHARE = 0.2
+#: A text's words with a feature count up to this many.
+MOST = 4
 #: A task forgets what it knows of distinct tokens beyond this many.
 MEMO = 300_000
 
@@ -115,6 +117,8 @@ class LanguageModel:
                     x, y, s = a, b, score + weight
                     for c in reading:
                         z = self.code(c)
+                        if not z and not y:
+                            continue  # one boundary is as good as two
                         s += self.log[x][y][z]
                         x, y = y, z
                     old = new.get((x, y))
@@ -132,26 +136,36 @@ class LanguageModel:
 _ANY_LETTER = [(chr(c), math.log(1 / 26)) for c in range(97, 123)]
 
 
-def lattice_of(token: str) -> list[list[tuple[str, float]]]:
-    """The readings of a lower-case token, symbol by symbol."""
+def lattice_of(token: str, collapse: bool = False) -> list[list[tuple[str, float]]]:
+    """The readings of a lower-case token, symbol by symbol.
+
+    Letters stay; three or more of one are one or two, with `collapse` two may be
+    one. A digit or sign is most likely a letter, a final `!` or `|` a boundary. A
+    separator between short pieces is most likely nothing, else a boundary.
+    """
     steps: list[list[tuple[str, float]]] = []
     runs = [m[0] for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
+    pieces = re.split(rf"[^\w{_SIGNS}*]|_", token)
+    short = max(map(len, pieces)) <= 2
     for i, run in enumerate(runs):
         c, inner = run[0], 0 < i < len(runs) - 1
         if c.isalpha():
-            readings = [(c, math.log(0.5)), (c * 2, math.log(0.5))] if len(run) > 2 else [(run, 0.0)]
-            if len(run) == 2:
-                readings = [(run, math.log(0.8)), (c, math.log(0.2))]
-            steps.append(readings)
+            if len(run) > 2:
+                steps.append([(c, math.log(0.5)), (c * 2, math.log(0.5))])
+            elif len(run) == 2 and collapse:
+                steps.append([(run, math.log(0.5)), (c, math.log(0.5))])
+            else:
+                steps.append([(run, 0.0)])
         elif c in LOOKALIKES:
-            sure = 0.9 if inner or c not in "!|+" else 0.1
+            sure = 0.9999 if inner or c not in "!|+" else 0.05
             as_letter = math.log(sure / len(LOOKALIKES[c]))
-            for _ in run[:64]:
+            for _ in run:
                 steps.append([(x, as_letter) for x in LOOKALIKES[c]] + [(" ", math.log(1 - sure))])
         elif c == "*" and inner and runs[i - 1].isalpha() and runs[i + 1].isalpha():
-            steps += [_ANY_LETTER + [("", math.log(0.1))] for _ in run]
+            steps += [[*_ANY_LETTER, ("", math.log(0.1))] for _ in run]
         else:
-            steps.append([("", math.log(0.5)), (" ", math.log(0.5))])
+            joined = 0.97 if short else 0.03
+            steps.append([("", math.log(joined)), (" ", math.log(1 - joined))])
     return steps
 
 
@@ -162,18 +176,26 @@ class Restorer:
         self.model = model
         self.memo: dict[str, tuple[str, ...]] = {}
 
-    def _of(self, token: str) -> tuple[str, ...]:
+    def read(self, token: str) -> tuple[str, ...]:
+        """Words of a token as written and, if it may be disguised, as restored."""
         written = _WORD.findall(token)
         if _DISGUISED.search(token):
-            written += _WORD.findall(self.model.decode(lattice_of(token)))
+            written += self.decoded(token)
         return tuple(dict.fromkeys(written))
 
+    def decoded(self, token: str) -> list[str]:
+        """Words of the likeliest readings with double letters as they are and as they may be."""
+        out = _WORD.findall(self.model.decode(lattice_of(token)))
+        if re.search(r"([^\W\d_])\1", token):
+            out += _WORD.findall(self.model.decode(lattice_of(token, collapse=True)))
+        return out
+
     def words(self, token: str) -> tuple[str, ...]:
         found = self.memo.get(token)
         if found is None:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
-            found = self.memo[token] = self._of(token)
+            found = self.memo[token] = self.read(token)
         return found
 
     def spelled(self, text: str) -> list[str]:
@@ -182,60 +204,60 @@ class Restorer:
         for match in _SPELLED.finditer(text):
             letters = match[0]
             if sum(c.isalpha() for c in letters) >= 3:
-                out += _WORD.findall(self.model.decode(lattice_of(letters)))
+                out += self.decoded(letters)
         return out
 
 
 def features(word: str) -> list[str]:
-    """The word itself (marked) and its beginnings."""
-    return [word + "$"] + [word[:n] for n in PREFIXES if len(word) >= n]
+    """The word itself (marked) and the beginnings that it goes beyond."""
+    return [word + "$"] + [word[:n] for n in PREFIXES if len(word) > n]
 
 
 class Model:
-    """Share of toxic texts by feature, for texts without any, and the language model."""
+    """Evidence of each feature by how many of a text's words have it, and of texts without any."""
 
-    def __init__(self, shares: dict[str, float], rest: float, language: LanguageModel):
-        self.shares = shares
-        self.rest = rest
+    def __init__(self, evidence: dict[str, list[float]], none: float, language: LanguageModel):
+        self.evidence = evidence
+        self.none = none
         self.language = language
 
+    def score(self, hits: dict[str, int]) -> float:
+        """Naive Bayes over the features that a text has; texts without any share one score."""
+        logit = sum(self.evidence[f][min(n, MOST) - 1] for f, n in hits.items()) if hits else 0.0
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, logit + self.none))))
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model = model
-        self.restorer = Restorer(model.language)
-        self.known: dict[str, tuple[str, ...]] = {}
 
-    def _hits(self, token: str) -> tuple[str, ...]:
+class Finder:
+    """Features of whole texts, with a bounded memory of tokens."""
+
+    def __init__(self, language: LanguageModel, wanted: Iterable[str]):
+        self.restorer = Restorer(language)
+        self.wanted = frozenset(wanted)
+        self.known: dict[str, tuple[tuple[str, str], ...]] = {}
+
+    def _pairs(self, words: Iterable[str]) -> tuple[tuple[str, str], ...]:
+        return tuple((f, w) for w in words for f in features(w) if f in self.wanted)
+
+    def _of(self, token: str) -> tuple[tuple[str, str], ...]:
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= MEMO:
                 self.known.clear()
-            shares = self.model.shares
-            found = self.known[token] = tuple(
-                w for w in self.restorer._of(token) if any(f in shares for f in features(w))
-            )
+            found = self.known[token] = self._pairs(self.restorer.read(token))
         return found
 
-    def hits(self, text: str | None) -> list[str]:
-        """Distinct words of a text that carry evidence."""
+    def hits(self, text: str | None) -> list[tuple[str, str]]:
+        """Distinct (feature, word) of a text, as written and restored."""
         if not text:
             return []
         low = text.lower()
-        out: set[str] = set()
+        out: set[tuple[str, str]] = set()
         for token in set(low.split()):
-            out.update(self._hits(token))
+            out.update(self._of(token))
         if _SPELLED.search(low):
-            shares = self.model.shares
-            out.update(w for w in self.restorer.spelled(low) if any(f in shares for f in features(w)))
+            out.update(self._pairs(self.restorer.spelled(low)))
         return sorted(out)
 
-    def score(self, hits: list[str]) -> float:
-        clean = 1.0 - self.model.rest
-        for word in hits:
-            clean *= 1.0 - max(self.model.shares.get(f, 0.0) for f in features(word))
-        return 1.0 - clean
-
 
 def _g(toxic: int, clean: int, base: float) -> float:
     """How surely a feature's texts are toxic more often than all (0 if they are not)."""
@@ -246,8 +268,55 @@ def _g(toxic: int, clean: int, base: float) -> float:
     return 2 * (part + (clean * math.log(clean / (n * (1 - base))) if clean else 0.0))
 
 
+def _chosen(toxic: dict[str, int], clean: dict[str, int], base: float) -> list[str]:
+    """The surest features of which none is the beginning of another; of equal ones the longest."""
+    sure = [
+        (_g(n, clean.get(f, 0), base), len(f), f)
+        for f, n in toxic.items()
+        if n >= MIN_SHARE * (n + clean.get(f, 0))
+    ]
+    out: set[str] = set()
+    begun: set[str] = set()
+    for g, _, feature in sorted(sure, reverse=True):
+        stem = feature.rstrip("$")
+        shorter = {stem[:n] for n in PREFIXES if n < len(stem)}
+        if g >= MIN_G and not (shorter & out) and feature not in begun:
+            out.add(feature)
+            begun |= shorter
+    return sorted(out)
+
+
+def _hit_counts(sample: DataFrame, toxic: int, finder: tuple, by_words: bool) -> Counter:
+    """Number of sample texts with a label by feature (and by number of words)."""
+    spread = sample.sparkSession.sparkContext.broadcast(finder)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, counts = Finder(*spread.value), Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                per = Counter(f for f, _ in find.hits(text))
+                counts.update((f, min(n, MOST) if by_words else 0) for f, n in (per or {"": 1}).items())
+        yield pa.RecordBatch.from_pydict(
+            {
+                "feature": pa.array([k[0] for k in counts], pa.string()),
+                "words": pa.array([k[1] for k in counts], pa.int32()),
+                "n": pa.array(list(counts.values()), pa.int64()),
+            }
+        )
+
+    rows = (
+        sample.where(F.col("toxic") == toxic)
+        .select("text")
+        .mapInArrow(run, "feature string, words int, n bigint")
+        .groupBy("feature", "words")
+        .agg(F.sum("n").alias("n"))
+    )
+    return Counter({(r.feature, r.words): r.n for r in rows.collect()})
+
+
 def fit(texts: DataFrame, sample: DataFrame) -> Model:
-    """A model from all `texts` (letters) and from labelled rows (`text`, `toxic`) of bounded number."""
+    """A model from all `texts` (letters) and from labelled rows (`doc`, `text`, `toxic`) of bounded
+    number. What reaches the driver is bounded by the labelled rows."""
     language = LanguageModel(trigram_counts(texts))
     n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
@@ -284,53 +353,26 @@ def fit(texts: DataFrame, sample: DataFrame) -> Model:
         .groupBy("feature", "previous")
         .agg(F.min("doc").alias("doc"))
         .groupBy("feature")
-        .agg(F.count(F.lit(1)).alias("contexts"), F.count_distinct("doc").alias("docs"))
-        .select("feature", F.least("contexts", "docs").alias("n"))
+        .agg(F.count_distinct("doc").alias("n"))
         .where(F.col("n") >= least)
     )
-    # Bounded by the labelled rows, whatever the input.
     toxic = {r.feature: r.n for r in found.collect()}
-    spread = sample.sparkSession.sparkContext.broadcast(frozenset(toxic))
+    clean = _hit_counts(sample, 0, (language, list(toxic)), by_words=False)
+    chosen = _chosen(toxic, {f: k for (f, _), k in clean.items()}, base)
+    by_label = [_hit_counts(sample, label, (language, chosen), by_words=True) for label in (0, 1)]
 
-    def clean_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, counts = Restorer(language), Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                low = (text or "").lower()
-                tokens = {*low.split(), *restorer.spelled(low)}
-                words = {w for token in tokens for w in restorer.words(token)}
-                counts.update({f for w in words for f in features(w) if f in spread.value})
-        yield pa.RecordBatch.from_pydict(
-            {"feature": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())}
-        )
+    def log_ratio(feature: str, words: int) -> float:
+        odds = [(c[(feature, words)] + 0.5) / (total + 1) for c, total in zip(by_label, (n_clean, n_toxic), strict=True)]
+        return math.log(odds[1] / odds[0])
 
-    clean_rows = (
-        sample.where("toxic = 0")
-        .select("text")
-        .mapInArrow(clean_features, "feature string, n bigint")
-        .groupBy("feature")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    )
-    clean = {r.feature: r.n for r in clean_rows}
-    shares = {}
-    for feature, n_f in toxic.items():
-        share = n_f / (n_f + clean.get(feature, 0) + 1)
-        if share >= MIN_SHARE and _g(n_f, clean.get(feature, 0), base) >= MIN_G:
-            shares[feature] = share
-    # A beginning stands for its words only if they differ: one longer feature must not explain it.
-    longer: dict[str, int] = {}
-    for feature in shares:
-        stem = feature[:-1] if feature.endswith("$") else feature
-        stems = [stem] if feature.endswith("$") else [stem[:-1]]
-        if feature.endswith("$"):
-            stems = [stem[:k] for k in PREFIXES if k <= len(stem)]
-        for s in stems:
-            longer[s] = max(longer.get(s, 0), toxic[feature])
-    shares = {
-        f: p for f, p in shares.items() if f.endswith("$") or longer.get(f, 0) < 0.9 * toxic[f]
-    }
-    return Model(shares, 0.02 * base, language)
+    evidence = {}
+    for feature in chosen:
+        # More words of a kind are no weaker evidence than fewer.
+        ratios = [log_ratio(feature, words) for words in range(1, MOST + 1)]
+        evidence[feature] = np.maximum.accumulate(ratios).tolist()
+    prior = math.log(base / (1 - base))
+    none = prior + min(0.0, log_ratio("", 1))
+    return Model({f: [r + prior - none for r in e] for f, e in evidence.items()}, none, language)
 
 
 def labelled_sample(
@@ -363,14 +405,16 @@ def scored(texts: DataFrame, model: Model, id_column: str = "doc_id", text_colum
     spread = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(spread.value)
+        model = spread.value
+        finder = Finder(model.language, model.evidence)
         for batch in batches:
-            hits = [scorer.hits(text) for text in batch.column("text").to_pylist()]
+            hits = [finder.hits(text) for text in batch.column("text").to_pylist()]
+            scores = [model.score(Counter(f for f, _ in h)) for h in hits]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array([scorer.score(h) for h in hits], pa.float64()),
-                    pa.array(hits, pa.list_(pa.string())),
+                    pa.array(scores, pa.float64()),
+                    pa.array([sorted({w for _, w in h}) for h in hits], pa.list_(pa.string())),
                 ],
                 names=["id", "score", "hits"],
             )
