@@ -107,35 +107,49 @@ def disclosing_terms(
     Texts count once per row for how common a term is. An entity seen in fewer than
     `min_contexts` distinct contexts has no term.
     """
-    mentions = (
+    heard = (
         texts.where(F.size("found") > 0)
-        .select("text", F.explode("found").alias("s"))
-        .select(_entity(F.col("s")).alias("entity"), _around(F.col("text"), F.col("s"), context).alias("c"))
-        .select("entity", F.xxhash64("c").alias("place"), _terms(F.col("c")).alias("terms"))
-        .distinct()
+        .select(F.xxhash64("text").alias("doc"), "text", F.explode("found").alias("s"))
+        .select("doc", _entity(F.col("s")).alias("entity"), _around(F.col("text"), F.col("s"), context).alias("c"))
+        .select("doc", "entity", F.xxhash64("c").alias("place"), _terms(F.col("c")).alias("terms"))
     )
+    mentions = heard.drop("doc").distinct()
     entities = mentions.groupBy("entity").agg(F.countDistinct("place").alias("n_entity"))
     pairs = (
         mentions.select("entity", "place", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
         .agg(F.count(F.lit(1)).alias("n_both"))
         .where(F.col("n_both") >= min_contexts)
+        .join(entities, "entity")
+    )
+    n_all = F.greatest(F.lit(texts.count()), F.col("n_entity") + 1).cast("double")
+
+    def disclosure(n_term: Column) -> Column:
+        both = F.least(F.col("n_both"), n_term, F.col("n_entity"))
+        pmi = F.log(both * n_all / (n_term * F.col("n_entity")))
+        return pmi / F.log(n_all / F.col("n_entity"))
+
+    # A term is in no fewer texts than it has near mentions of any entity, so pairs that would not
+    # disclose even then need no count over all texts.
+    near = (
+        heard.select("doc", F.explode("terms").alias("term"))
+        .distinct()
+        .groupBy("term")
+        .agg(F.count(F.lit(1)).alias("n_near"))
+    )
+    pairs = land(
+        pairs.join(near, "term").where(disclosure(F.col("n_near")) >= threshold).drop("n_near"),
+        f"{work_folder(texts.sparkSession)}/pairs",
     )
-    wanted = pairs.select("term").distinct()
     common = (
         texts.select(F.explode(_terms(F.col("text"))).alias("term"))
-        .join(wanted, "term", "left_semi")
+        .join(sized(pairs.select("term").distinct()), "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_term"))
     )
-    n_all = F.greatest(F.lit(texts.count()), F.col("n_entity") + 1).cast("double")
-    information = F.log(n_all / F.col("n_entity"))
-    both = F.least(F.col("n_both"), F.col("n_term"), F.col("n_entity"))
-    pmi = F.log(both * n_all / (F.col("n_term") * F.col("n_entity")))
     return (
-        pairs.join(entities, "entity")
-        .join(common, "term")
-        .withColumn("disclosure", pmi / information)
+        pairs.join(common, "term")
+        .withColumn("disclosure", disclosure(F.col("n_term")))
         .where(F.col("disclosure") >= threshold)
         .groupBy("term")
         .agg(F.max("disclosure").alias("disclosure"))
