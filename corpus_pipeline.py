@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storewake.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from storewake.llm.common import land, same, sized, table, work_folder
+from storewake.llm.common import fresh, land, same, sized, table, work_folder
 
 #: Documents with at least this score go.
 TOXIC = 0.7
@@ -24,12 +24,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels"))
     mark = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    (key,) = fresh(docs, "_mark")
     judged = toxicity.scored(docs.select(mark.alias("mark"), "text"), model, id_column="mark")
     rejected = land(
-        judged.where(F.col("score") >= TOXIC).select(F.col("mark").alias("_mark")).distinct(),
+        judged.where(F.col("score") >= TOXIC).select(F.col("mark").alias(key)).distinct(),
         f"{work_folder(spark)}/rejected",
     )
-    return docs.join(sized(rejected), same(mark, F.col("_mark")), "left_anti")
+    return docs.join(sized(rejected), same(mark, F.col(key)), "left_anti")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storewake.llm.common import land, sized, words, work_folder
+from storewake.llm.common import fresh, land, same, sized, words, work_folder
 
 SEED_WORDS = 3
 #: Expected number of a seed at one place of a text.
@@ -228,9 +228,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     A row goes if a row with its id and text holds an item; null ids are ids.
     """
     mark = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    (key,) = fresh(docs, "_mark")
     marked = docs.select(mark.alias("mark"), "text")
     bad = land(
-        leaks(marked, benchmark, id_column="mark", **options).select(F.col("mark").alias("_mark")).distinct(),
+        leaks(marked, benchmark, id_column="mark", **options).select(F.col("mark").alias(key)).distinct(),
         f"{work_folder(docs.sparkSession)}/leaks",
     )
-    return docs.join(sized(bad), mark == F.col("_mark"), "left_anti")
+    return docs.join(sized(bad), same(mark, F.col(key)), "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storewake.llm.common import SPACE, land, work_folder
+from storewake.llm.common import SPACE, fresh, land, same, work_folder
 
 FAN_BITS = 3
 _DIGEST = ["digest", "second", "length"]
@@ -86,19 +86,17 @@ def without_copies(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """The rows of `docs` that stay, with all their columns and one row of repeated ones."""
-    mark = "_text_sha256"
+    mark, key, sha, place = fresh(docs, "_text_sha256", "_id", "_sha", "_place")
     kept = (
         exact_groups(docs, id_column, text_column)
         .where("kept")
-        .select(F.col(id_column).alias("_id"), F.col("text_sha256").alias("_sha"))
+        .select(F.col(id_column).alias(key), F.col("text_sha256").alias(sha))
     )
     with_mark = docs.withColumn(mark, F.sha2(normalised(F.col(text_column)), 256))
     same_row = Window.partitionBy(id_column, mark).orderBy(F.lit(1))
     return (
-        with_mark.join(
-            kept, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col(mark) == F.col("_sha")), "left_semi"
-        )
-        .withColumn("_place", F.row_number().over(same_row))
-        .where("_place = 1")
+        with_mark.join(kept, same(F.col(id_column), F.col(key)) & (F.col(mark) == F.col(sha)), "left_semi")
+        .withColumn(place, F.row_number().over(same_row))
+        .where(F.col(place) == 1)
         .select(*docs.columns)
     )

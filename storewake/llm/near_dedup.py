@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storewake.llm.common import land, same, sized, words, work_folder
+from storewake.llm.common import fresh, land, same, sized, words, work_folder
 from storewake.llm.components import components
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def _set_key(found: np.ndarray) -> int:
 
 
 def signed_texts(docs: DataFrame, size: int, trees: int, depth: int) -> DataFrame:
-    """`id`, `key` of the shingle set, `n` shingles and the signature `sig`."""
+    """`id`, `text_hash`, `key` of the shingle set, `n` shingles and the signature `sig`."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,14 +102,15 @@ def signed_texts(docs: DataFrame, size: int, trees: int, depth: int) -> DataFram
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("text_hash"),
                     pa.array([_set_key(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([signature(s, trees * depth).tobytes() for s in sets], pa.binary()),
                 ],
-                names=["id", "key", "n", "sig"],
+                names=["id", "text_hash", "key", "n", "sig"],
             )
 
-    return docs.mapInArrow(run, f"id {kind}, key bigint, n bigint, sig binary")
+    return docs.mapInArrow(run, f"id {kind}, text_hash bigint, key bigint, n bigint, sig binary")
 
 
 def _nodes(classes: DataFrame, trees: int, deepest: int, depth: int) -> DataFrame:
@@ -294,7 +295,7 @@ def similar_groups(
     depths: tuple[int, ...] = DEPTHS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """Id, `class_id`, `copies`, `links` and `keep`, one row per input row.
+    """Id, `class_id`, `copies`, `links`, `keep` and `text_hash`, one row per input row.
 
     Documents of one class are linked, directly or over others, by similarities of
     their shingle sets of at least `similarity`; `class_id` is the smallest id of
@@ -308,7 +309,9 @@ def similar_groups(
     deepest = max(depths)
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = land(
-        signed_texts(source, size, trees, deepest).withColumn("row", F.monotonically_increasing_id()),
+        signed_texts(source.withColumn("text_hash", F.xxhash64("text")), size, trees, deepest).withColumn(
+            "row", F.monotonically_increasing_id()
+        ),
         f"{folder}/signed",
     )
     lowest = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("row"))
@@ -363,6 +366,7 @@ def similar_groups(
             F.when(own, F.lit(1)).otherwise(F.col("copies")).cast("bigint").alias("copies"),
             F.when(own, F.lit(0)).otherwise(F.col("links")).cast("bigint").alias("links"),
             (own | (F.col("row") == F.col("top.row"))).alias("keep"),
+            "text_hash",
         )
     )
 
@@ -381,17 +385,18 @@ def _missing(links: DataFrame, depth: int, trees: int, similarity: float) -> flo
 
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` of which one per class stays, with all their columns."""
+    key, other, mark, place = fresh(docs, "_id", "_other", "_h", "_place")
     kept = (
         similar_groups(docs, id_column, text_column)
         .where("keep")
-        .select(F.col(id_column).alias("_id"), F.lit(True).alias("_kept"))
+        .select(F.col(id_column).alias(key), F.col("text_hash").alias(other))
         .distinct()
     )
-    same_row = Window.partitionBy(id_column, "_h").orderBy(F.lit(1))
+    same_row = Window.partitionBy(id_column, mark).orderBy(F.lit(1))
     return (
-        docs.join(kept, same(F.col(id_column), F.col("_id")), "left_semi")
-        .withColumn("_h", F.xxhash64(text_column))
-        .withColumn("_place", F.row_number().over(same_row))
-        .where("_place = 1")
+        docs.withColumn(mark, F.xxhash64(text_column))
+        .join(kept, same(F.col(id_column), F.col(key)) & (F.col(mark) == F.col(other)), "left_semi")
+        .withColumn(place, F.row_number().over(same_row))
+        .where(F.col(place) == 1)
         .select(*docs.columns)
     )

@@ -154,7 +154,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of near-duplicate documents, with their links."""
-    return near_dedup.similar_groups(table(spark, sf_dir, "documents"))
+    return near_dedup.similar_groups(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query()
