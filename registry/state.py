@@ -102,6 +102,16 @@ select *, coalesce(login,
   {_sql_key('epoch_us', "shop || '|' || client_id || '|' || cast(epoch as varchar)")}) as distinct_id
 from (select *, min(ts_us) over (partition by shop, client_id, epoch) as epoch_us from fx_epoch)""",
 )
+# Who the browser was just before a row.
+KNOWN = (
+    "fx_known",
+    f"""
+select *, coalesce(last_value(coalesce(post, login) ignore nulls) over
+    (partition by shop, client_id, epoch order by ts_us, is_event, event_id
+     rows between unbounded preceding and 1 preceding),
+  {_sql_key('epoch_us', "shop || '|' || client_id || '|' || cast(epoch as varchar)")}) as known
+from (select *, min(ts_us) over (partition by shop, client_id, epoch) as epoch_us from fx_epoch)""",
+)
 STATE_VIEWS = (SHOPS, PX, LOADS, FACTS, CONTEXTS, ROWS, LINE, *_epoch_views())
 
 
@@ -121,20 +131,35 @@ select *, sum(opens::int) over {over} as segment from (
 select shop, client_id, epoch, segment, min(ts_us) as start_us from fx_segment group by all
 union all
 select s.shop, s.client_id, s.epoch, s.segment, min(e.ts_us) from fx_starts s join fx_segment e
-  on e.shop = s.shop and e.client_id = s.client_id and e.segment = s.segment
+  on e.shop = s.shop and e.client_id is not distinct from s.client_id and e.segment = s.segment
   and e.ts_us > s.start_us + {length_us}
 group by s.shop, s.client_id, s.epoch, s.segment, s.start_us""",
         ),
         (
             "fx_session",
             """
-select e.*, (select max(start_us) from fx_starts s where s.shop = e.shop and s.client_id = e.client_id
+select e.*, (select max(start_us) from fx_starts s where s.shop = e.shop and s.client_id is not distinct from e.client_id
   and s.segment = e.segment and s.start_us <= e.ts_us) as session_us
 from fx_segment e""",
         ),
     )
 
 
+_TAB = "(partition by shop, client_id, tab_id order by ts_us, event_id"
+WINDOWS = (
+    "fx_window",
+    f"""
+select *, {_sql_key("session_us", "shop || '|' || client_id || '|' || cast(epoch as varchar)")} as session_id,
+  {_sql_key("wstart.us", "shop || '|' || client_id || '|' || tab_id || '|' || cast(wstart.epoch as varchar)")} as window_id
+from (select *, last_value(case when window_opens then {{'us': ts_us, 'epoch': epoch}} end ignore nulls) over
+    {_TAB} rows between unbounded preceding and current row) as wstart
+  from (select *, new_session or row_number() over {_TAB}) = 1 as window_opens
+    from (select *, row_number() over (partition by shop, client_id, epoch, session_us order by ts_us, event_id) = 1 as new_session
+      from fx_session)))
+""",
+)
+
+
 def _recursive(text: str) -> str:
     return text.replace("with ", "with recursive ", 1)
 
@@ -170,8 +195,47 @@ def consent_epochs(spark, sf_dir):
 
 @query(_EPOCHS_SQL)
 def consent_epochs_hot_clients(spark, sf_dir):
-    """The same with every client treated as hot, cut into slices of a day."""
-    return _epochs(_all_rows(spark, sf_dir), hot_rows=0, slice_us=24 * HOUR_US)
+    """The same with every client treated as hot, cut into slices of some hundred rows."""
+    return _epochs(_all_rows(spark, sf_dir), hot_rows=0, slice_rows=500)
+
+
+# Rows as they also come: no browser id, bursts of one instant and, for epochs, no time.
+_NO_CLIENT = "case when client_id like '%7' then null else client_id end"
+_BURST = "case when client_id like '%3' then ts_us - ts_us % 86400000000 else ts_us end"
+_NO_TIME = f"case when is_event and event_id % 11 = 0 then null else {_BURST} end"
+
+
+def _awkward(time: str) -> tuple[str, str]:
+    return (
+        "fx_awkward",
+        f"select * replace ({_NO_CLIENT} as client_id, {time} as ts_us) from fx_line",
+    )
+
+
+def _awkward_rows(spark: SparkSession, sf_dir: str, time: str) -> DataFrame:
+    return _all_rows(spark, sf_dir).withColumns(
+        {"client_id": F.expr(_NO_CLIENT), "ts_us": F.expr(time)}
+    )
+
+
+# Spark puts nulls first; the load rows, which have one event id, are told apart by nothing else.
+def _nulls_first(text: str) -> str:
+    return text.replace("order by ts_us", "order by ts_us nulls first")
+
+
+@query(
+    _nulls_first(
+        with_views(
+            "select shop, client_id, event_id, anonymous, reset, epoch from fx_epoch where is_event",
+            *STATE_VIEWS[:7],
+            _awkward(_NO_TIME),
+            *_epoch_views("fx_awkward"),
+        )
+    )
+)
+def consent_epochs_awkward_rows(spark, sf_dir):
+    """Null times, null browser ids and bursts, with every client cut into slices."""
+    return _epochs(_awkward_rows(spark, sf_dir, _NO_TIME), hot_rows=0, slice_rows=300)
 
 
 _IDENTITY_SQL = with_views(
@@ -193,7 +257,7 @@ def stitched_identity(spark, sf_dir):
 
 @query(_IDENTITY_SQL)
 def stitched_identity_hot_clients(spark, sf_dir):
-    return _identity(_all_rows(spark, sf_dir), hot_rows=0, slice_us=24 * HOUR_US)
+    return _identity(_all_rows(spark, sf_dir), hot_rows=0, slice_rows=500)
 
 
 def _sessions(rows: DataFrame, idle_us: int, length_us: int, fold_rows: int, **limits) -> DataFrame:
@@ -239,23 +303,39 @@ def sessions_capped(spark, sf_dir):
 def sessions_capped_hot_clients(spark, sf_dir):
     """The same by the distributed way only: sliced clients and doubled jumps."""
     rows = _all_rows(spark, sf_dir)
-    limits = {"hot_rows": 0, "slice_us": 24 * HOUR_US}
+    limits = {"hot_rows": 0, "slice_rows": 500}
     return _sessions(rows, LONG_IDLE_US, bs.LENGTH_US, 0, **limits)
 
 
 @query(
     _recursive(
         with_views(
-            f"""
-select shop, client_id, event_id, {_sql_key("wstart.us", "shop || '|' || client_id || '|' || tab_id || '|' || cast(wstart.epoch as varchar)")} as window_id
-from (select *, last_value(case when window_opens then {{'us': ts_us, 'epoch': epoch}} end ignore nulls) over
-    (partition by shop, client_id, tab_id order by ts_us, event_id rows between unbounded preceding and current row) as wstart
-  from (select *, new_session or row_number() over (partition by shop, client_id, tab_id order by ts_us, event_id) = 1 as window_opens
-    from (select *, row_number() over (partition by shop, client_id, epoch, session_us order by ts_us, event_id) = 1 as new_session
-      from fx_session)))
+            """
+select shop, client_id, session_us, count(*) as events, max(ts_us) as last_us
+from fx_session group by shop, client_id, epoch, session_us
 """,
+            *STATE_VIEWS[:7],
+            _awkward(_BURST),
+            *_epoch_views("fx_awkward"),
+            *_session_views(LONG_IDLE_US, bs.LENGTH_US),
+        )
+    )
+)
+def sessions_capped_awkward_rows(spark, sf_dir):
+    """The length limit holds for rows without a browser id and for bursts, in slices too."""
+    rows = _awkward_rows(spark, sf_dir, _BURST)
+    limits = {"hot_rows": 0, "slice_rows": 300}
+    made = _sessions(rows, LONG_IDLE_US, bs.LENGTH_US, 0, **limits)
+    return made.select("shop", "client_id", "session_us", "events", "last_us")
+
+
+@query(
+    _recursive(
+        with_views(
+            "select shop, client_id, event_id, window_id from fx_window",
             *STATE_VIEWS,
             *_session_views(bs.IDLE_US, bs.LENGTH_US),
+            WINDOWS,
         )
     )
 )
@@ -269,14 +349,19 @@ def window_ids(spark, sf_dir):
         """
 select shop, client_id, event_id, ts_us, distinct_id as from_id, post as to_id
 from fx_identity where is_event and post <> '' and post <> distinct_id
+union all
+select shop, client_id, event_id, ts_us, known, login from fx_known
+where not is_event and login <> '' and login <> known
 """,
         *STATE_VIEWS,
         IDENTITY,
+        KNOWN,
     )
 )
 def pixel_identity_links(spark, sf_dir):
+    """Emails of checkouts and forms, and logins, that differ from who the browser was before."""
     t = bs.add_identity(bs.add_epochs(bs.timeline(_all_rows(spark, sf_dir))))
-    return bs.identity_links(t.result().where("is_event"))
+    return bs.identity_links(t.result())
 
 
 @query(
@@ -300,19 +385,23 @@ def session_key(spark, sf_dir):
     with_views(
         """
 select api_host, api_key, (place - 1) // 10 as batch_no, place, event_id from (
-  select r.event_id, s.api_host, s.api_key,
-    row_number() over (partition by s.api_host, s.api_key order by r.ts_us, r.event_id) as place
+  select r.event_id, s.api_host, s.api_key, row_number() over (partition by s.api_host, s.api_key
+      order by case when event_id % 11 > 0 then r.ts_us end nulls first, r.event_id) as place
   from fx_rows r join fx_shops s using (shop))
 """,
         *STATE_VIEWS[:6],
     )
 )
 def capture_batches(spark, sf_dir):
-    """Events numbered per host and key, ten to a batch; hot keys are numbered in slices."""
+    """Events numbered per host and key, ten to a batch; hot keys are numbered in slices.
+
+    One event in eleven has no time.
+    """
     rows = _all_rows(spark, sf_dir).where("is_event").select("shop", "ts_us", "event_id")
+    rows = rows.withColumn("ts_us", F.when(F.col("event_id") % 11 > 0, F.col("ts_us")))
     settings = sample.pixel_settings(spark, sf_dir).select("shop", "api_host", "api_key")
     joined = lookup_join(rows, settings, "shop")
     numbered = envelope.numbered_batches(
-        joined, ["api_host", "api_key"], ["ts_us", "event_id"], hot_rows=2000, slice_us=24 * HOUR_US
+        joined, ["api_host", "api_key"], ["ts_us", "event_id"], hot_rows=2000, slice_rows=1000
     )
     return numbered.select("api_host", "api_key", "batch_no", "place", "event_id")

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storewake.functions.ids import time_key
-from storewake.operators.joins import fits_broadcast, lookup_join
-from storewake.operators.timeline import HOT_ROWS, SLICE_US, Timeline
+from storewake.operators.joins import fits_broadcast, join_keys, lookup_join
+from storewake.operators.timeline import HOT_ROWS, Timeline
 from storewake.session import cut_lineage
 
 KEYS = ("shop", "client_id")
@@ -33,9 +33,9 @@ def _on_event(value: Column) -> Column:
 
 
 def timeline(
-    rows: DataFrame, hot_rows: int = HOT_ROWS, slice_us: int = SLICE_US
+    rows: DataFrame, hot_rows: int = HOT_ROWS, slice_rows: int | None = None
 ) -> Timeline:
-    return Timeline(rows, KEYS, ORDER, hot_rows, slice_us)
+    return Timeline(rows, KEYS, ORDER, hot_rows, slice_rows)
 
 
 def add_epochs(t: Timeline) -> Timeline:
@@ -61,7 +61,7 @@ def add_epochs(t: Timeline) -> Timeline:
 def add_identity(t: Timeline) -> Timeline:
     """A login counts at once, an email of a checkout or form from the next row on.
 
-    Adds distinct_id. What a row leaves behind is kept in a struct, so that a
+    Adds distinct_id, and known_id: who the browser was before the row. What a row leaves behind is kept in a struct, so that a
     reset (a struct with null inside) hides everything before it.
     """
     open_row = ~F.col("anonymous")
@@ -73,7 +73,7 @@ def add_identity(t: Timeline) -> Timeline:
     t.last_through(_epoch_us=F.when(starts, F.col("ts_us")))
     known = F.when(~F.col("reset"), F.col("_left.email"))
     anonymous_id = time_key(F.col("_epoch_us"), F.col("shop"), F.col("client_id"), F.col("epoch"))
-    t.add(distinct_id=F.coalesce(login, known, anonymous_id))
+    t.add(distinct_id=F.coalesce(login, known, anonymous_id), known_id=F.coalesce(known, anonymous_id))
     t.rows = t.rows.drop("_left", "_epoch_us")
     return t
 
@@ -134,7 +134,7 @@ def _next_starts(times: DataFrame, length_us: int) -> DataFrame:
         .alias("after_us"),
     )
     return (
-        lookup_join(inside, after, [*SEGMENT, "bucket"], "left")
+        lookup_join(inside, after, [*SEGMENT, "bucket"], "left", null_safe=True)
         .select(*SEGMENT, "ts_us", F.coalesce("next_us", "after_us").alias("next_us"))
         .where(F.col("next_us").isNotNull())
     )
@@ -150,7 +150,7 @@ def _distributed_starts(times: DataFrame, length_us: int) -> DataFrame:
     jumps = cut_lineage(_next_starts(times, length_us))
     while True:
         near = F.broadcast(starts) if fits_broadcast(starts) else starts
-        reached = jumps.join(near, [*SEGMENT, "ts_us"]).select(
+        reached = join_keys(jumps, near, [*SEGMENT, "ts_us"], "inner", null_safe=True).select(
             *SEGMENT, F.col("next_us").alias("ts_us")
         )
         reached = cut_lineage(reached)
@@ -159,7 +159,7 @@ def _distributed_starts(times: DataFrame, length_us: int) -> DataFrame:
         starts = cut_lineage(starts.union(reached).distinct())
         hop = jumps.withColumnRenamed("next_us", "mid_us")
         rest = jumps.withColumnRenamed("ts_us", "mid_us")
-        jumps = cut_lineage(hop.join(rest, [*SEGMENT, "mid_us"]).drop("mid_us"))
+        jumps = cut_lineage(join_keys(hop, rest, [*SEGMENT, "mid_us"], "inner", null_safe=True).drop("mid_us"))
     return starts.groupBy(*SEGMENT).agg(F.array_sort(F.collect_list("ts_us")).alias("session_starts"))
 
 
@@ -179,12 +179,12 @@ def add_sessions(
     long_ones = cut_lineage(spans.where(F.col("to_us") - F.col("from_us") > length_us))
     session_us = F.col("segment_us")
     if not long_ones.isEmpty():
-        chosen = lookup_join(times, long_ones.select(*SEGMENT, "n"), SEGMENT)
+        chosen = lookup_join(times, long_ones.select(*SEGMENT, "n"), SEGMENT, null_safe=True)
         starts = _folded_starts(chosen.where(F.col("n") <= fold_rows).drop("n"), length_us)
         if not long_ones.where(F.col("n") > fold_rows).isEmpty():
             large = chosen.where(F.col("n") > fold_rows).drop("n")
             starts = starts.union(_distributed_starts(large, length_us))
-        t.rows = lookup_join(t.rows, cut_lineage(starts), SEGMENT, "left")
+        t.rows = lookup_join(t.rows, cut_lineage(starts), SEGMENT, "left", null_safe=True)
         passed = F.filter("session_starts", lambda s: s <= F.col("ts_us"))
         session_us = F.coalesce(F.element_at(passed, -1), session_us)
     t.add(session_us=_on_event(session_us))
@@ -219,22 +219,31 @@ def browser_state(
     length_us: int = LENGTH_US,
     hot_rows: int = HOT_ROWS,
     fold_rows: int = FOLD_ROWS,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """All state columns of the events; page load rows are left out of the result."""
-    t = timeline(rows, hot_rows)
+    t = timeline(rows, hot_rows, slice_rows)
     for add in (add_epochs, add_identity):
         add(t)
     add_segments(t, idle_us)
     add_sessions(t, length_us, fold_rows)
     add_windows(t)
-    return t.result().where("is_event").drop("is_event", "first_row", "prev_event_us", "segment_us")
+    return t.result().where("is_event").drop(
+        "is_event", "first_row", "prev_event_us", "segment_us", "known_id"
+    )
 
 
 def identity_links(state: DataFrame) -> DataFrame:
-    """(person before, email) pairs where an email differs from the current id."""
-    post = F.col("post_email")
-    differs = ~F.col("anonymous") & (post != "") & (post != F.col("distinct_id"))
-    return state.where(differs).select(
-        "shop", "client_id", "event_id", "ts_us", F.col("distinct_id").alias("from_id"),
-        post.alias("to_id"),
+    """(person before, email) pairs where an email differs from the current id.
+
+    `state` has the rows of `add_identity`: a checkout or form links its email to
+    the sender, a login (on the row of its page load) to who the browser was.
+    """
+    login, post = F.col("login_email"), F.col("post_email")
+    on_load = ~F.col("is_event") & (login != "") & (login != F.col("known_id"))
+    on_event = F.col("is_event") & (post != "") & (post != F.col("distinct_id"))
+    from_id = F.when(F.col("is_event"), F.col("distinct_id")).otherwise(F.col("known_id"))
+    to_id = F.when(F.col("is_event"), post).otherwise(login)
+    return state.where(~F.col("anonymous") & (on_event | on_load)).select(
+        "shop", "client_id", "event_id", "ts_us", from_id.alias("from_id"), to_id.alias("to_id")
     )

@@ -101,8 +101,7 @@ def numbered_batches(
 ) -> DataFrame:
     """Add batch_no: rows of a key in order, `size` to a batch.
 
-    The first order column is a time in microseconds. A key of any size is
-    numbered, because the count runs over a timeline.
+    A key of any size is numbered, because the count runs over a timeline.
     """
     t = Timeline(rows, keys, order, **limits).sum_through(_place=F.lit(1).cast("long"))
     number = F.floor((F.col("_place") - 1) / F.lit(size)).cast("long")

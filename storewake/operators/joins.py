@@ -3,20 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import AtomicType
+from pyspark.sql.types import AtomicType, StringType
 
 from storewake.session import cut_lineage
 
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 5_000_000
 
 
-def fits_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Counts at most max_rows + 1 rows."""
-    return small.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(
+    small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> bool:
+    """Measures at most max_rows + 1 rows, by number and by the bytes of their texts."""
+    some = small.limit(max_rows + 1)
+    if all(isinstance(f.dataType, AtomicType) for f in small.schema.fields):
+        size = sum((F.coalesce(F.length(c.cast("binary")), F.lit(0)) for c in _texts(small)), F.lit(8))
+    else:
+        size = F.length(F.to_json(F.struct(*small.columns)))
+    n, total = some.agg(F.count(F.lit(1)), F.sum(size)).first()
+    return n <= max_rows and (total or 0) <= max_bytes
+
+
+def _texts(frame: DataFrame) -> list[Column]:
+    return [F.col(f.name) for f in frame.schema.fields if isinstance(f.dataType, StringType)]
+
+
+def join_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool = False
+) -> DataFrame:
+    """A join on columns of both frames, which appear once; `null_safe` matches null with null."""
+    if not null_safe:
+        return left.join(right, list(keys), how)
+    theirs = {k: f"_right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(theirs)
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(t)) for k, t in theirs.items()])
+    return left.join(renamed, on, how).drop(*theirs.values())
 
 
 def lookup_join(
@@ -26,6 +53,7 @@ def lookup_join(
     how: str = "inner",
     max_rows: int = MAX_BROADCAST_ROWS,
     salts: int = 32,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join many rows to a dimension that is unique on the key.
 
@@ -35,11 +63,11 @@ def lookup_join(
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dimension, max_rows):
-        return rows.join(F.broadcast(dimension), keys, how)
+        return join_keys(rows, F.broadcast(dimension), keys, how, null_safe)
     atoms = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)]
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*atoms), F.lit(salts)).cast("int"))
     repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return join_keys(salted, repeated, [*keys, "_salt"], how, null_safe).drop("_salt")
 
 
 def detail_join(

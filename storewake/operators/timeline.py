@@ -1,10 +1,11 @@
 """Ordered running columns over keyed rows, exact for keys of any size.
 
-A window over a key runs in one task. Keys with more rows than `hot_rows` are
-therefore cut into time slices: every slice is its own window partition, and
-what a slice inherits from the ones before it is computed from one summary row
-per slice. All other keys keep a single slice, so the common plan is one
-exchange and one sort.
+A window over a key runs in one task. Keys with more than `hot_rows` rows are
+therefore cut into slices of about `slice_rows` rows: their rows are sorted over
+all tasks by key and order, every task's part is a slice and its own window
+partition, and what a slice inherits from the ones before it is computed from
+one summary row per slice. All other keys keep a single slice, so the common
+plan is one exchange and one sort. Null keys are keys, null times come first.
 """
 
 from __future__ import annotations
@@ -15,15 +16,14 @@ from copy import copy
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storewake.operators.joins import HOT_ROWS, MAX_BROADCAST_ROWS, fits_broadcast
+from storewake.operators.joins import HOT_ROWS, lookup_join
 from storewake.session import cut_lineage
 
-SLICE_US = 3_600_000_000
 SLICE = "_slice"
 
 
 class Timeline:
-    """Rows of `keys` in the order of `order`, whose first column is a time in microseconds."""
+    """Rows of `keys` in the order of `order`."""
 
     def __init__(
         self,
@@ -31,25 +31,25 @@ class Timeline:
         keys: Sequence[str],
         order: Sequence[str],
         hot_rows: int = HOT_ROWS,
-        slice_us: int = SLICE_US,
+        slice_rows: int | None = None,
     ):
         self.keys = list(keys)
         self.order = list(order)
         self.sliced = False
-        hot = rows.groupBy(*self.keys).count().where(F.col("count") > hot_rows).drop("count")
-        if hot.isEmpty():
+        sizes = rows.groupBy(*self.keys).count().where(F.col("count") > hot_rows)
+        n_hot = sizes.agg(F.sum("count")).first()[0]
+        if not n_hot:
             self.rows = rows.withColumn(SLICE, F.lit(0).cast("long"))
         else:
             self.sliced = True
-            hot = hot.withColumn("_hot", F.lit(True))
-            if fits_broadcast(hot):
-                hot = F.broadcast(hot)
-            bucket = F.floor(F.col(self.order[0]) / F.lit(slice_us)).cast("long") + 1
-            self.rows = (
-                rows.join(hot, self.keys, "left")
-                .withColumn(SLICE, F.when(F.col("_hot"), bucket).otherwise(F.lit(0)))
-                .drop("_hot")
-            )
+            hot = cut_lineage(sizes.drop("count"))
+            # Parts are even up to a sample, so they aim at half of what they may hold.
+            slices = 1 + 2 * n_hot // max(slice_rows or hot_rows, 1)
+            parts = lookup_join(rows, hot, self.keys, "left_semi", null_safe=True)
+            parts = parts.repartitionByRange(int(slices), *self.keys, *self.order)
+            numbered = cut_lineage(parts.withColumn(SLICE, F.spark_partition_id().cast("long") + 1))
+            rest = lookup_join(rows, hot, self.keys, "left_anti", null_safe=True)
+            self.rows = rest.withColumn(SLICE, F.lit(0).cast("long")).unionByName(numbered)
 
     def within(self, *more: str) -> Timeline:
         """A timeline of finer keys over the same slices, so without another exchange."""
@@ -84,9 +84,7 @@ class Timeline:
             *self.keys, SLICE, *[over.over(earlier).alias(n) for n, (_, over) in carry.items()]
         )
         inherited = cut_lineage(inherited)
-        if fits_broadcast(inherited, MAX_BROADCAST_ROWS):
-            inherited = F.broadcast(inherited)
-        self.rows = self.rows.join(inherited, [*self.keys, SLICE], "left")
+        self.rows = lookup_join(self.rows, inherited, [*self.keys, SLICE], "left", null_safe=True)
 
     def add(self, **columns: Column) -> Timeline:
         self.rows = self.rows.withColumns(columns)

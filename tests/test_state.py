@@ -1,5 +1,6 @@
 """Identity and sessions against a plain fold, with and without hot clients."""
 
+import itertools
 import random
 
 import pytest
@@ -9,7 +10,7 @@ from storewake.operators import browser_state as bs
 from storewake.operators.dedup import deduplicated
 from storewake.operators.envelope import numbered_batches
 from storewake.operators.joins import detail_join, lookup_join
-from storewake.streaming.session_stream import _fold
+from storewake.operators.timeline import SLICE, Timeline
 
 MINUTE = 60_000_000
 SCHEMA = (
@@ -24,6 +25,7 @@ def make_rows(seed, clients=4, events=400):
     rows, clock = [], {}
     for i in range(events):
         client = "bot" if i % 3 == 0 else f"c{draw.randrange(clients)}"
+        client = None if client == "c1" else client
         step = draw.choice([0, 1, 20, 29]) if client == "bot" else draw.choice([0, 5, 30, 31, 900])
         clock[client] = clock.get(client, 10**15) + step * MINUTE + draw.choice([0, 0, 1])
         event = draw.random() > 0.1
@@ -36,23 +38,29 @@ def make_rows(seed, clients=4, events=400):
 
 
 def plain_state(rows, idle_us, length_us):
-    """Row by row, as a browser would do it."""
-    states, out, keys = {}, {}, {}
-    for r in sorted(rows, key=lambda r: (r[0], r[1], r[4], r[5], r[3])):
-        shop, client, _, event_id, ts, is_event, anonymous, login, post = r
-        state = states.get(client, (None, 0, None, None, None, None))
-        state, sent = _fold(state, (event_id, ts, is_event, anonymous, login, post), idle_us, length_us)
-        states[client] = state
-        if sent:
-            keys[event_id] = (sent[4], sent[7], sent[6])
-    out.update(keys)
+    """Row by row, as a browser would do it: event to (epoch, session start, email)."""
+    out, order = {}, lambda r: (r[0], r[1] or "", r[4], r[5], r[3])
+    for _, own in itertools.groupby(sorted(rows, key=order), lambda r: (r[0], r[1])):
+        epoch, email, before_us, before_anonymous, start = 0, None, None, None, None
+        for _, _, _, event_id, ts, is_event, anonymous, login, post in own:
+            reset = is_event and anonymous and before_anonymous is False
+            if reset:
+                epoch, email = epoch + 1, None
+            login = login if not anonymous else None
+            if is_event:
+                if before_us is None or reset or ts - before_us > idle_us or ts - start > length_us:
+                    start = ts
+                out[event_id] = (epoch, start, login or email)
+                before_us, before_anonymous = ts, anonymous
+            if not anonymous:
+                email = post or login or email
     return out
 
 
 LIMITS = [
     {},
     {"hot_rows": 50},
-    {"hot_rows": 0, "fold_rows": 0},
+    {"hot_rows": 0, "fold_rows": 0, "slice_rows": 20},
 ]
 
 
@@ -83,6 +91,49 @@ def test_same_answer_however_hot(spark):
     assert answers[0] == answers[1] == answers[2]
 
 
+def test_length_limit_holds_without_a_client(spark):
+    """One browser with an event every 20 minutes for 50 hours has three sessions, named or not."""
+    base = 10**15
+    rows = [
+        ("s", client, "t", i + 1000 * n, base + i * 20 * MINUTE, True, False, None, None)
+        for n, client in enumerate(["c", None])
+        for i in range(150)
+    ]
+    for limits in LIMITS:
+        state = bs.browser_state(spark.createDataFrame(rows, SCHEMA), **limits)
+        found = state.groupBy("client_id").agg(F.sum(F.col("new_session").cast("int")).alias("n"))
+        assert {(r.client_id, r.n) for r in found.collect()} == {("c", 3), (None, 3)}
+
+
+def timed_rows():
+    """Null keys, null times and a burst of one instant."""
+    draw = random.Random(9)
+    rows = []
+    for i in range(600):
+        key = draw.choice(["a", "a", "b", None, None])
+        time = None if draw.random() < 0.2 else 77 if key == "a" else draw.randrange(40)
+        rows.append((key, time, i, draw.randrange(5)))
+    return rows
+
+
+@pytest.mark.parametrize("limits", [{}, {"hot_rows": 100}, {"hot_rows": 0, "slice_rows": 40}])
+def test_running_columns_of_awkward_rows(spark, limits):
+    rows = timed_rows()
+    frame = spark.createDataFrame(rows, "k string, t long, i long, v long")
+    t = Timeline(frame, ["k"], ["t", "i"], **limits)
+    largest = t.rows.where(F.col(SLICE) > 0).groupBy("k", SLICE).count().agg(F.max("count")).first()[0]
+    assert (largest or 0) <= limits.get("slice_rows", limits.get("hot_rows", 0))
+    t.sum_through(total=F.col("v")).last_before(latest=F.when(F.col("v") > 2, F.col("i")))
+    made = {r.i: (r.total, r.latest) for r in t.result().collect()}
+    order = lambda r: (r[0] or "", r[1] is not None, r[1] or 0, r[2])
+    for _, own in itertools.groupby(sorted(rows, key=order), lambda r: r[0]):
+        total, latest = 0, None
+        for _, _, i, v in own:
+            total += v
+            assert made[i] == (total, latest)
+            latest = i if v > 2 else latest
+
+
 def test_gap_limit_is_strict(spark):
     base = 10**15
     rows = [
