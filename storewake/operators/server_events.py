@@ -73,7 +73,10 @@ def typed_events(rows: DataFrame, mapping: Mapping) -> DataFrame:
 
 
 def event_table(rows: DataFrame, *mappings: Mapping) -> DataFrame:
-    """All events the rows give rise to; the rows are read once."""
+    """All events the rows give rise to; the rows are read once.
+
+    Rows of a stream keep the time of their arrival.
+    """
 
     def entry(m: Mapping) -> Column:
         event = F.struct(
@@ -85,7 +88,8 @@ def event_table(rows: DataFrame, *mappings: Mapping) -> DataFrame:
         return event if m.when is None else F.when(m.when, event)
 
     entries = F.array_compact(F.array(*[entry(m) for m in mappings]))
-    kept = ("shop", "distinct_id", "api_key", "api_host", "arrival_seq")
+    arrived = [c for c in ("arrived_at",) if c in rows.columns]
+    kept = ("shop", "distinct_id", "api_key", "api_host", "arrival_seq", *arrived)
     # An inner explode would evaluate the entries a second time to filter empty ones.
     opened = rows.select(*kept, entries.alias("entries")).select(
         *kept, F.explode_outer("entries").alias("e")
@@ -100,6 +104,7 @@ def event_table(rows: DataFrame, *mappings: Mapping) -> DataFrame:
         "api_key",
         "api_host",
         "arrival_seq",
+        *arrived,
     )
 
 

@@ -19,6 +19,9 @@ def test_landed_json(spark):
     lines = [
         {"topic": "orders/create", "shop": "a", "arrival_seq": 0, "payload": '{"id": 5, "extra": 1}'},
         {"topic": "orders/create", "shop": "a", "arrival_seq": 1, "payload": "broken"},
+        {"topic": "orders/create", "shop": "a", "arrival_seq": 2, "payload": "5"},
+        {"topic": "orders/create", "shop": "a", "arrival_seq": 3, "payload": "[]"},
+        {"topic": "orders/create", "shop": "a", "arrival_seq": 4, "payload": None},
         {"topic": "shop/redact", "shop": "b", "arrival_seq": 0, "payload": "{}"},
         {"topic": "app/uninstalled", "shop": "c", "arrival_seq": 0, "payload": "{}"},
     ]
@@ -27,7 +30,7 @@ def test_landed_json(spark):
     landed = webhooks.read_landed(spark, folder)
     (order,) = webhooks.payloads(landed, "orders/create").collect()
     assert order.id == 5 and '"extra": 1' in order.raw and order.email is None
-    assert webhooks.unreadable(landed).count() == 1
+    assert sorted(r.arrival_seq for r in webhooks.unreadable(landed).collect()) == [1, 2, 3, 4]
     assert [r.shop for r in webhooks.notices(landed).collect()] == ["b"]
     assert [r.shop for r in webhooks.uninstalled_shops(landed).collect()] == ["c"]
     audit = tempfile.mkdtemp(prefix="run-")
