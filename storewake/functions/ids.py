@@ -67,11 +67,12 @@ def uuid5(name: Column, namespace: str = EVENT_NAMESPACE) -> Column:
 
 def _uuid_text(hex_digits: Column, version: str) -> Column:
     """The first 32 hex digits as a UUID with its version and variant digits set."""
-    parts = r"^(.{8})(.{4}).(.{3})(.)(.{3})(.{12}).*$"
-    text = F.regexp_replace(hex_digits, parts, rf"$1-$2-{version}$3-#$4$5-$6")
-    for low_bits, digit in (("048c", "8"), ("159d", "9"), ("26ae", "a"), ("37bf", "b")):
-        text = F.regexp_replace(text, f"#[{low_bits}]", digit)
-    return text
+    part = lambda first, size: F.substring(hex_digits, first, size)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(
+        part(1, 8), F.lit("-"), part(9, 4), F.lit(f"-{version}"), part(14, 3), F.lit("-"),
+        variant, part(18, 3), F.lit("-"), part(21, 12),
+    )
 
 
 def order_completed_uuid(shop: Column, checkout_token: Column) -> Column:
