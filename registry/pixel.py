@@ -9,6 +9,7 @@ from registry import pixel_sample, sample, server, state
 from registry.common import Catalog
 from registry.sample import with_views
 from storewake.functions import ids, urls
+from storewake.operators import browser_state as bs
 from storewake.operators import dedup, envelope, page_context, pixel_events, pixel_settings
 from storewake.operators import spec_events as spec
 from storewake.operators.joins import lookup_join
@@ -30,7 +31,7 @@ SUB = (
     "fx_sub",
     f"""
 select e.*, c.shop, c.anonymous, c.spec_enabled, c.has_customer, c.customer_id, c.customer_email,
-  c.last_name, c.href as load_href, c.loaded_us,
+  c.has_cart, c.load_cart_id, c.load_cart_quantity, c.last_name, c.href as load_href, c.loaded_us,
   case when e.name like 'checkout%' then 1 when e.name = 'payment_info_submitted' then 1 else 0 end as is_checkout
 from fx_px e join fx_contexts c using (page_load_id)
 where e.name <> 'input_focused' and ({_TRACKED} or ({_SWITCH}) = 'true')
@@ -40,6 +41,10 @@ VIEWS = (SHOPS, PX, LOADS, FACTS, CONTEXTS, SUB)
 
 _NAMES = "case name " + " ".join(f"when '{k}' then '{v}'" for k, v in spec.EVENT_NAMES.items()) + " else name end"
 _EVENT = f"case when spec_enabled then {_NAMES} else name end"
+# The load's customer is spread first and its cart then, so the cart's id wins.
+_LOAD_ID = "case when has_cart then load_cart_id when has_customer then customer_id end"
+_LOAD_QUANTITY = "case when has_cart then load_cart_quantity end"
+_ORDERS = "case when has_customer then load_cart_quantity end"
 _UUID = "case event_id % 3 when 0 then id when 1 then substr(id, 4) end"
 
 
@@ -539,7 +544,10 @@ select event_id, name, {_EVENT} as event, {_UUID} as uuid, href as current_url,
   case when event_id % 6 = 0 then 0 else value * 2 end as total_price,
   case when spec_enabled then case name when 'checkout_started' then {_TOKEN}
     when 'checkout_completed' then {_ORDER_ID} when 'payment_info_submitted' then {_ORDER_ID} end end as order_id,
-  case when has_customer then customer_id end as customer_id, anonymous as customer_null, true as cart_null
+  case when event_id % 4 <> 0 then '#' || cast(event_id as varchar) end as order_name,
+  case when event_id % 4 <> 0 then user_id % 2 = 0 end as first_order,
+  'n' || cast(event_id % 3 as varchar) as note, {_LOAD_QUANTITY} as load_quantity, {_ORDERS} as orders_count,
+  {_LOAD_ID} as load_id, anonymous as customer_null, true as cart_null
 from fx_sub where is_checkout = 1
 """,
         *VIEWS,
@@ -561,7 +569,12 @@ def checkout_events(spark, sf_dir):
         _get("$.order.customer.id").alias("order_customer_id"),
         _get("$.totalPrice.amount").cast("double").alias("total_price"),
         _get("$.order_id").alias("order_id"),
-        _get("$.id").alias("customer_id"),
+        _get("$.order.name").alias("order_name"),
+        _get("$.order.customer.isFirstOrder").cast("boolean").alias("first_order"),
+        _get("$.note").alias("note"),
+        _get("$.totalQuantity").cast("int").alias("load_quantity"),
+        _get("$.ordersCount").cast("int").alias("orders_count"),
+        _get("$.id").alias("load_id"),
         _written_null("customer", "purchasingCompany").alias("customer_null"),
         _written_null("cart").alias("cart_null"),
     )
@@ -574,7 +587,8 @@ select event_id, {_EVENT} as event, {_UUID} as uuid,
   case when event_id % 10 <> 1 then value * 3 end as cost,
   case when event_id % 10 <> 1 then case when spec_enabled then nullif(event_id % 4, 0) else event_id % 4 end end as quantity,
   case when event_id % 10 <> 1 then case when spec_enabled then nullif({_Z['price']}, 0) else {_Z['price']} end end as price,
-  case when event_id % 10 <> 1 then {_Z['id']} when has_customer then customer_id end as id,
+  case when event_id % 10 <> 1 then {_Z['id']} else {_LOAD_ID} end as id,
+  case when event_id % 10 <> 1 then event_id % 12 end as weight, {_LOAD_QUANTITY} as load_quantity,
   case when event_id % 10 <> 1 and spec_enabled then {_Z['product']} end as product_id,
   event_id % 10 <> 1 or spec_enabled as has_quantity, false as has_customer_key,
   case when spec_enabled then case when event_id % 10 <> 1 then {_Z['url']} end else href end as url
@@ -594,6 +608,8 @@ def cart_line_events(spark, sf_dir):
         _get("$.quantity").cast("int").alias("quantity"),
         price.alias("price"),
         _get("$.id").alias("id"),
+        _get("$.weight").cast("int").alias("weight"),
+        _get("$.totalQuantity").cast("int").alias("load_quantity"),
         _get("$.product_id").alias("product_id"),
         _has("quantity").alias("has_quantity"),
         _has("customer").alias("has_customer_key"),
@@ -630,7 +646,8 @@ def dom_events(spark, sf_dir):
 select event_id, {_EVENT} as event, {_UUID} as uuid, case when anonymous then 'false' end as person_profile,
   anonymous as customer_null, case when has_customer then customer_email end as set_email,
   has_customer and not anonymous as set_replaced, href as url,
-  case when has_customer and not anonymous then 5 when has_customer then 38 else 33 end as set_fields
+  case when has_customer and not anonymous then 6 when has_customer then 39 else 33 end as set_fields,
+  {_LOAD_ID} as load_id, {_LOAD_QUANTITY} as load_quantity
 from fx_sub where name = 'page_viewed'
 """,
         *VIEWS,
@@ -648,6 +665,8 @@ def page_view_events(spark, sf_dir):
         (~F.array_contains(F.json_object_keys(_get(person)), "$browser")).alias("set_replaced"),
         _get("$.url").alias("url"),
         F.size(F.json_object_keys(_get(person))).alias("set_fields"),
+        _get("$.id").alias("load_id"),
+        _get("$.totalQuantity").cast("int").alias("load_quantity"),
     )
 
 
@@ -657,9 +676,9 @@ def page_view_events(spark, sf_dir):
 select event_id, name, {_EVENT} as event, {_UUID} as uuid,
   case name when 'collection_viewed' then 'col' || cast(event_id % 20 as varchar)
     when 'product_viewed' then {_Z['id']}
-    when 'cart_viewed' then case when event_id % 10 = 3 then case when has_customer then customer_id end
+    when 'cart_viewed' then case when event_id % 10 = 3 then {_LOAD_ID}
       when event_id % 7 = 0 then '' else 'cart' || cast(user_id as varchar) end
-    else case when has_customer then customer_id end end as id,
+    else {_LOAD_ID} end as id,
   case when name = 'search_submitted' then 'q' || cast(event_id % 50 as varchar) end as query,
   case when spec_enabled and name = 'collection_viewed' then 'col' || cast(event_id % 20 as varchar) end as list_id,
   case when spec_enabled and name = 'product_viewed' then {_Z['product']} end as product_id,
@@ -928,16 +947,31 @@ def _pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NAMED = _EVENT.replace("case when spec_enabled then case name", "case when s.spec_enabled then case s.name").replace(
+    "else name end else name end", "else s.name end else s.name end"
+)
+SESSION_VIEWS = (*state._session_views(bs.IDLE_US, bs.LENGTH_US), state.WINDOWS)
+
+
+def _own(path: str) -> Column:
+    """A property of a browser event, null on all others."""
+    return F.when(F.col("properties").contains('"$window_id"'), _get(path))
+
+
 @query(
-    with_views(
-        f"""
-select s.event_id, s.shop, {_EVENT} as event, i.distinct_id, s.timestamp, {_UUID} as uuid,
-  c.api_key, c.api_host
-from fx_sub s join fx_identity i using (event_id) join fx_shops c on c.shop = s.shop
-""".replace("case when spec_enabled then case name", "case when s.spec_enabled then case s.name").replace(
-            "else name end else name end", "else s.name end else s.name end"
-        ),
-        *PIXEL_VIEWS,
+    state._recursive(
+        with_views(
+            f"""
+select s.event_id, s.shop, {_NAMED} as event, i.distinct_id, s.timestamp, {_UUID} as uuid,
+  c.api_key, c.api_host, w.session_id, w.window_id, s.client_id,
+  case when s.name in ('clicked', 'input_changed', 'form_submitted') then s.load_href else s.href end as current_url,
+  {_sql_host('s.load_href')} as host, {_LOAD_QUANTITY} as load_quantity
+from fx_sub s join fx_identity i using (event_id) join fx_window w using (event_id)
+  join fx_shops c on c.shop = s.shop
+""",
+            *PIXEL_VIEWS,
+            *SESSION_VIEWS,
+        )
     )
 )
 def pixel_event_feed(spark, sf_dir):
@@ -951,27 +985,79 @@ def pixel_event_feed(spark, sf_dir):
         "uuid",
         "api_key",
         "api_host",
+        _get("$['$session_id']").alias("session_id"),
+        _get("$['$window_id']").alias("window_id"),
+        _get("$.client_id").alias("client_id"),
+        _get("$['$current_url']").alias("current_url"),
+        _get("$['$host']").alias("host"),
+        _get("$.totalQuantity").cast("int").alias("load_quantity"),
+    )
+
+
+_IDENTIFY_SQL = """
+select shop, '$identify' as event, to_id as distinct_id, strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%SZ') as timestamp,
+  cast(null as varchar) as uuid, from_id as ref, cast(null as varchar) as session_id
+from (select shop, ts_us, distinct_id as from_id, post as to_id from fx_identity
+    where is_event and post <> '' and post <> distinct_id
+  union all select shop, ts_us, known, login from fx_known where not is_event and login <> '' and login <> known)
+"""
+
+
+@query(with_views(_IDENTIFY_SQL, *PIXEL_VIEWS, state.KNOWN))
+def pixel_identify_events(spark, sf_dir):
+    """The identify events that subscribed browser events and logins give rise to."""
+    return _identify_table(spark, sf_dir).select(
+        "shop",
+        "event",
+        "distinct_id",
+        "timestamp",
+        "uuid",
+        _get("$['$anon_distinct_id']").alias("ref"),
+        F.lit(None).cast("string").alias("session_id"),
+    )
+
+
+def _identify_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pixel.pixel_identify_table(
+        _events(spark, sf_dir),
+        pixel_sample.page_loads(spark, sf_dir),
+        sample.pixel_settings(spark, sf_dir),
     )
 
 
 @query(
-    with_views(
-        f"""
-select shop, event, distinct_id, timestamp, uuid from fx_server_events
+    state._recursive(
+        with_views(
+            f"""
+select shop, event, distinct_id, timestamp, uuid, ref, cast(null as varchar) as session_id from fx_server_events
 union all
-select s.shop, {_EVENT} as event, i.distinct_id, s.timestamp, {_UUID} as uuid
-from fx_sub s join fx_identity i using (event_id)
-""".replace("case when spec_enabled then case name", "case when s.spec_enabled then case s.name").replace(
-            "else name end else name end", "else s.name end else s.name end"
-        ),
-        *server.SERVER_VIEWS,
-        *PIXEL_VIEWS[1:],
+select s.shop, {_NAMED} as event, i.distinct_id, s.timestamp, {_UUID} as uuid, null, w.session_id
+from fx_sub s join fx_identity i using (event_id) join fx_window w using (event_id)
+union all {_IDENTIFY_SQL}
+""",
+            *server.SERVER_VIEWS,
+            *PIXEL_VIEWS[1:],
+            state.KNOWN,
+            *SESSION_VIEWS,
+        )
     )
 )
 def all_channel_events(spark, sf_dir):
-    """Server and browser events in one table, retries removed."""
+    """Server events, browser events and browser identifies in one table, retries removed."""
     feeds = envelope.all_events(
-        server.server_event_table(spark, sf_dir), _pixel_table(spark, sf_dir)
+        server.server_event_table(spark, sf_dir),
+        _pixel_table(spark, sf_dir),
+        _identify_table(spark, sf_dir),
     )
     unique = dedup.deduplicated(cut_lineage(feeds))
-    return unique.select("shop", "event", "distinct_id", "timestamp", "uuid")
+    session = _own("$['$session_id']")
+    ref = F.coalesce(_get("$['$anon_distinct_id']"), server._reference())
+    return unique.select(
+        "shop",
+        "event",
+        "distinct_id",
+        "timestamp",
+        "uuid",
+        F.when(session.isNull(), ref).alias("ref"),
+        session.alias("session_id"),
+    )

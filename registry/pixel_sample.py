@@ -67,6 +67,9 @@ select l.*, e.href,
   'cu' || cast(l.user_id as string) as customer_id,
   case when (l.user_id + l.blk) % 8 = 0 then 'Login' || cast(l.user_id as string) || '@Example.com'
     when l.user_id % 5 = 0 then null else 'user' || cast(l.user_id as string) || '@example.com' end as customer_email,
+  (l.user_id + l.blk) % 5 < 2 as has_cart,
+  'lc' || cast(l.user_id as string) as load_cart_id,
+  cast(l.user_id % 6 as int) as load_cart_quantity,
   case when l.user_id % 2 = 0 then 'Last' || cast(l.user_id as string) end as last_name,
   case when (l.user_id + l.blk) % 7 <> 0 then (l.user_id + l.blk) % 3 <> 0 end as analytics_allowed,
   l.first_id % 4 as flag_kind
@@ -78,6 +81,7 @@ _VARIANT = """named_struct(
   'id', concat('v', event_id, '-', {j}),
   'title', case when (event_id + {j}) % 6 = 0 then '' else concat('Var ', {j}) end,
   'sku', case when (event_id + {j}) % 5 = 0 then '' else concat('S', (event_id + {j}) % 50) end,
+  'weight', cast(event_id % 12 as int),
   'price', named_struct('amount', case when (event_id + {j}) % 8 = 0 then 0.0D else value end,
     'currencyCode', 'USD'),
   'image', case when (event_id + {j}) % 4 <> 0
@@ -104,7 +108,9 @@ _CHECKOUT = """named_struct(
   'shippingAddress', case when event_id % 2 = 0
     then named_struct('city', 'Lyon', 'country', 'FR', 'zip', cast(user_id as string)) end,
   'order', case when event_id % 4 <> 0
-    then named_struct('id', concat('o', event_id), 'customer', named_struct('id', concat('oc', user_id))) end,
+    then named_struct('id', concat('o', event_id), 'name', concat('#', event_id),
+      'customer', named_struct('id', concat('oc', user_id), 'isFirstOrder', user_id % 2 = 0)) end,
+  'note', concat('n', event_id % 3),
   'transactions', transform(slice(array(1, 2), 1, cast(event_id % 3 as int)),
     j -> named_struct('paymentMethod', case when (event_id + j) % 4 <> 0 then concat('pay', j) end)),
   'delivery', case when event_id % 9 <> 0 then named_struct('selectedDeliveryOptions',
@@ -214,6 +220,15 @@ def _page_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("Ann").alias("firstName"),
             F.col("last_name").alias("lastName"),
             none.alias("phone"),
+            F.col("load_cart_quantity").alias("ordersCount"),
+        ),
+    )
+    cart = F.when(
+        F.col("has_cart"),
+        F.struct(
+            F.col("load_cart_id").alias("id"),
+            F.col("load_cart_quantity").alias("totalQuantity"),
+            F.array(F.struct(F.lit("gift").alias("key"), none.alias("value"))).alias("attributes"),
         ),
     )
     flags = (
@@ -234,6 +249,7 @@ def _page_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("screen_height") - 100).alias("inner_height"),
         (F.col("screen_width") - 20).alias("inner_width"),
         customer.alias("customer"),
+        cart.alias("cart"),
         "analytics_allowed",
         flags.alias("feature_flags"),
     )

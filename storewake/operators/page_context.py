@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from storewake.functions import urls
 from storewake.functions.device import BROWSERS, DEVICE_TYPES, SYSTEMS, AgentRule, device_struct
@@ -13,7 +14,6 @@ from storewake.functions.objects import JsonObject, object_text, quoted
 from storewake.operators.joins import HOT_ROWS, detail_join
 
 TEXTS = ("base", "person_set", "person_bare", "customer_text")
-CUSTOMER_FIELDS = ("id", "email", "firstName", "lastName", "phone")
 
 
 def with_device(
@@ -92,8 +92,21 @@ def _campaign(prefix: str, struct: str = "campaign") -> dict[str, Column]:
     return {f"${prefix}{p}": F.col(f"{struct}.{p}") for p in urls.CAMPAIGN_PARAMS}
 
 
-def _customer(struct: str) -> dict[str, Column]:
-    return {f: F.col(f"{struct}.{f}") for f in CUSTOMER_FIELDS}
+def field_names(schema: StructType, path: str) -> list[str]:
+    """All fields of a payload object: payloads are open, so the rows' own schema names them.
+
+    A path that the schema does not have has none.
+    """
+    for part in path.split("."):
+        if not isinstance(schema, StructType) or part not in schema.names:
+            return []
+        schema = schema[part].dataType
+    return schema.names if isinstance(schema, StructType) else []
+
+
+def spread(schema: StructType, path: str) -> dict[str, Column]:
+    """Every field of a payload object as a property of its own."""
+    return {n: F.col(path)[n] for n in field_names(schema, path)}
 
 
 def with_texts(loads: DataFrame) -> DataFrame:
@@ -106,7 +119,8 @@ def with_texts(loads: DataFrame) -> DataFrame:
     first = JsonObject(conditions).put_all(_campaign("initial_"))
     first.put_all(_person_facts("initial_"))
     latest = JsonObject(conditions).put_all(_campaign(""))
-    latest.put_all(_customer("customer"), when="customer").put_all(_person_facts(""))
+    customer = spread(loads.schema, "customer")
+    latest.put_all(customer, when="customer").put_all(_person_facts(""))
     base = JsonObject(conditions)
     base.put_members(flag_members(F.col("feature_flags")))
     base.put_all(
@@ -133,7 +147,7 @@ def with_texts(loads: DataFrame) -> DataFrame:
         {
             "base": base.members(),
             "person_set": latest.text(),
-            "person_bare": latest.copy().drop(*CUSTOMER_FIELDS).text(),
+            "person_bare": latest.copy().drop(*customer).text(),
             "customer_text": object_text(F.col("customer")),
         }
     )
@@ -143,7 +157,8 @@ def page_contexts(loads: DataFrame) -> DataFrame:
     """One row per page load with a `context` struct that events join to."""
     rich = with_texts(with_device(with_page_facts(working_loads(loads))))
     keys = ["shop", "client_id", "page_load_id"]
-    rest = ("loaded_us", "href", "customer", "analytics_allowed", *TEXTS)
+    cart = [c for c in ("cart",) if c in loads.columns]
+    rest = ("loaded_us", "href", "customer", *cart, "analytics_allowed", *TEXTS)
     return rich.select(*keys, F.struct(*rest).alias("context"))
 
 
@@ -160,27 +175,32 @@ def join_context(events: DataFrame, contexts: DataFrame, hot_rows: int = HOT_ROW
     return detail_join(events, contexts, ["shop", "client_id", "page_load_id"], hot_rows)
 
 
-def context_conditions() -> dict[str, Column]:
-    return {
-        "customer": F.col("context.customer").isNotNull(),
-        "anonymous": F.col("anonymous"),
-        "spec": F.col("spec_enabled"),
-    }
+def context_conditions(schema: StructType) -> dict[str, Column]:
+    known = {"customer": F.col("context.customer").isNotNull()}
+    if field_names(schema, "context.cart"):
+        known["load_cart"] = F.col("context.cart").isNotNull()
+    return known | {"anonymous": F.col("anonymous"), "spec": F.col("spec_enabled")}
 
 
-def context_object(conditions: dict[str, Column], strict: bool = False) -> JsonObject:
+def context_object(
+    schema: StructType, conditions: dict[str, Column], strict: bool = False
+) -> JsonObject:
     """The properties every event of a page load starts from.
 
-    By default the customer fields stay on anonymous rows, as the sender leaves
-    them; `strict` leaves them out there.
+    All fields of the customer and then all of the load's cart are spread, so the
+    cart wins where both have a field (`id`). By default the customer fields stay
+    on anonymous rows, as the sender leaves them; `strict` leaves them out there.
     """
     c = F.col("context")
     o = JsonObject(conditions)
     o.put_members(c["base"])
     o.put("$current_url", c["href"])
-    o.put_all(_customer("context.customer"), when="customer")
+    customer = spread(schema, "context.customer")
+    o.put_all(customer, when="customer")
     person = c["person_set"]
     if strict:
-        o.drop(*CUSTOMER_FIELDS, when="anonymous")
+        o.drop(*customer, when="anonymous")
         person = F.when(F.col("anonymous"), c["person_bare"]).otherwise(person)
+    if "load_cart" in conditions:
+        o.put_all(spread(schema, "context.cart"), when="load_cart")
     return o.put_json("$set", person)

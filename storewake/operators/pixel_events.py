@@ -9,43 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from storewake.functions.ids import event_uuid
 from storewake.functions.objects import JsonObject, members_or_null, object_text
 from storewake.functions.values import text_or_null
 from storewake.operators import spec_events
-from storewake.operators.page_context import context_conditions, context_object
+from storewake.operators.page_context import context_conditions, context_object, spread
 from storewake.operators.pixel_settings import CART_LINE_EVENTS, CHECKOUT_EVENTS, DOM_EVENTS
 
 # Fixed value: reported with every event, in milliseconds.
 SESSION_TIMEOUT_MS = 30 * 60 * 1000
-
-VARIANT_FIELDS = ("id", "title", "sku", "price", "image", "product")
-DOM_FIELDS = ("id", "name", "type", "value", "href")
-CHECKOUT_FIELDS = (
-    "token",
-    "email",
-    "phone",
-    "smsMarketingPhone",
-    "currencyCode",
-    "subtotalPrice",
-    "totalPrice",
-    "totalTax",
-    "discountsAmount",
-    "shippingLine",
-    "billingAddress",
-    "shippingAddress",
-    "order",
-    "transactions",
-    "delivery",
-    "discountApplications",
-    "lineItems",
-)
-
-
-def _fields(struct: str, names: tuple[str, ...]) -> dict[str, Column]:
-    return {n: F.col(f"{struct}.{n}") for n in names}
-
+# Fields of an element that only a form has.
+FORM_FIELDS = ("action", "elements")
 
 def _session(o: JsonObject) -> None:
     o.put("$session_id", F.col("session_id"))
@@ -63,26 +39,40 @@ def _spec(o: JsonObject, name: str) -> JsonObject:
     return o.put_all(spec_events.spec_fields(name), when="spec")
 
 
-def _start(strict: bool, **more: Column) -> JsonObject:
-    return context_object(context_conditions() | more, strict)
+def _start(schema: StructType, strict: bool, **more: Column) -> JsonObject:
+    return context_object(schema, context_conditions(schema) | more, strict)
+
 
+def _order_without_ids(schema: StructType, strict: bool) -> Column:
+    """The order of an anonymous checkout: its id and its customer's are null, the rest stays.
 
-def checkout_properties(strict: bool = False) -> Column:
-    """A checkout; on anonymous rows the personal fields are null.
+    `strict` leaves nothing but the two.
+    """
+    bare = F.lit('{"customer":{"id":null},"id":null}')
+    if strict:
+        return bare
+    none = F.lit(None).cast("string").alias("id")
+    order = spread(schema, "checkout.order")
+    customer = spread(schema, "checkout.order.customer")
+    kept = [v.alias(n) for n, v in order.items() if n not in ("id", "customer")]
+    theirs = [v.alias(n) for n, v in customer.items() if n != "id"]
+    cleared = object_text(F.struct(*kept, F.struct(*theirs, none).alias("customer"), none))
+    return F.when(F.col("checkout.order").isNull(), bare).otherwise(cleared)
+
+
+def checkout_properties(schema: StructType, strict: bool = False) -> Column:
+    """A checkout with all its fields; on anonymous rows the personal ones are null.
 
     The vocabulary fields of checkouts have names of their own.
     """
-    order = F.col("checkout.order")
-    no_id = F.lit(None).cast("string")
-    blank_order = F.struct(no_id.alias("id"), F.struct(no_id.alias("id")).alias("customer"))
-    o = _start(strict)
+    o = _start(schema, strict)
     o.put_nulls("customer", "purchasingCompany", when="anonymous")
     o.put_nulls("cart")
     _page(o)
     _session(o)
-    o.put_all(_fields("checkout", CHECKOUT_FIELDS)).put("order", order)
+    o.put_all(spread(schema, "checkout"))
     o.put_nulls("billingAddress", "email", when="anonymous")
-    o.put("order", blank_order, when="anonymous")
+    o.put_json("order", _order_without_ids(schema, strict), when="anonymous")
     o.put_nulls("phone", "shippingAddress", "smsMarketingPhone", when="anonymous")
     change = _redacted if strict else dict
     spec = spec_events.spec_text(F.col("name"), CHECKOUT_EVENTS, change)
@@ -97,50 +87,52 @@ def _redacted(fields: spec_events.Fields) -> spec_events.Fields:
     return fields
 
 
-def cart_line_properties(strict: bool = False) -> Column:
-    o = _start(strict, line=F.col("cart_line").isNotNull())
+def cart_line_properties(schema: StructType, strict: bool = False) -> Column:
+    o = _start(schema, strict, line=F.col("cart_line").isNotNull())
     _page(o)
     _session(o)
-    o.put_all(_fields("cart_line.merchandise", VARIANT_FIELDS), when="line")
+    o.put_all(spread(schema, "cart_line.merchandise"), when="line")
     o.put("cost", F.col("cart_line.cost.totalAmount.amount"), when="line")
     o.put("quantity", F.col("cart_line.quantity"), when="line")
     return _spec(o, CART_LINE_EVENTS[0]).text()
 
 
-def dom_properties(strict: bool = False) -> Column:
+def dom_properties(schema: StructType, strict: bool = False) -> Column:
     """Clicks and input changes know no page of their own: the page load's address stays."""
-    o = _start(strict, element=F.col("element").isNotNull())
+    o = _start(schema, strict, element=F.col("element").isNotNull())
     _session(o)
     o.put("client_id", F.col("client_id"))
-    return o.put_all(_fields("element", DOM_FIELDS), when="element").text()
+    own = {n: v for n, v in spread(schema, "element").items() if n not in FORM_FIELDS}
+    return o.put_all(own, when="element").text()
 
 
-def page_view_properties(strict: bool = False) -> Column:
+def page_view_properties(schema: StructType, strict: bool = False) -> Column:
     known = F.col("context.customer").isNotNull() & ~F.col("anonymous")
-    o = _start(strict, known=known)
+    o = _start(schema, strict, known=known)
     o.put_nulls("customer", "purchasingCompany", when="anonymous")
     o.put("$process_person_profile", F.lit(False), when="anonymous")
     _page(o)
     _session(o)
+    o.put_all(spread(schema, "event_data"))
     o.put_json("$set", F.col("context.customer_text"), when="known")
     return o.text()
 
 
-# The column and the fields each browsing event spreads.
+# The column that each browsing event spreads.
 BROWSE_EVENTS = {
-    "collection_viewed": ("collection", ("id", "title", "productVariants")),
-    "product_viewed": ("product_variant", VARIANT_FIELDS),
-    "cart_viewed": ("cart", ("id", "lines")),
-    "search_submitted": ("search_result", ("query", "productVariants")),
+    "collection_viewed": "collection",
+    "product_viewed": "product_variant",
+    "cart_viewed": "cart",
+    "search_submitted": "search_result",
 }
 
 
-def browse_properties(name: str, strict: bool = False) -> Column:
-    struct, fields = BROWSE_EVENTS[name]
-    o = _start(strict, seen=F.col(struct).isNotNull())
+def browse_properties(schema: StructType, name: str, strict: bool = False) -> Column:
+    payload = BROWSE_EVENTS[name]
+    o = _start(schema, strict, seen=F.col(payload).isNotNull())
     _page(o)
     _session(o)
-    o.put_all(_fields(struct, fields), when="seen")
+    o.put_all(spread(schema, payload), when="seen")
     return _spec(o, name).text()
 
 
@@ -170,11 +162,11 @@ def form_body(elements: Column) -> Column:
     )
 
 
-def form_properties(strict: bool = False) -> Column:
+def form_properties(schema: StructType, strict: bool = False) -> Column:
     """A form; its contents are sent on anonymous rows too unless strict."""
     elements = F.col("element.elements")
     email = text_or_null(form_email(elements))
-    o = _start(strict, email=email.isNotNull() & ~F.col("anonymous"))
+    o = _start(schema, strict, email=email.isNotNull() & ~F.col("anonymous"))
     _session(o)
     o.put_nulls("customer", "purchasingCompany", when="anonymous")
     o.put("client_id", F.col("client_id"))
@@ -187,16 +179,19 @@ def form_properties(strict: bool = False) -> Column:
     return o.text()
 
 
-def pixel_properties(strict: bool = False) -> Column:
-    """Properties of any handled event as JSON text, in one pass over all names."""
+def pixel_properties(schema: StructType, strict: bool = False) -> Column:
+    """Properties of any handled event as JSON text, in one pass over all names.
+
+    `schema` is that of the rows: whatever fields their payload objects have are spread.
+    """
     name = F.col("name")
-    result = F.when(name.isin(*CHECKOUT_EVENTS), checkout_properties(strict))
-    result = result.when(name.isin(*CART_LINE_EVENTS), cart_line_properties(strict))
-    result = result.when(name.isin(*DOM_EVENTS), dom_properties(strict))
-    result = result.when(name == "page_viewed", page_view_properties(strict))
+    result = F.when(name.isin(*CHECKOUT_EVENTS), checkout_properties(schema, strict))
+    result = result.when(name.isin(*CART_LINE_EVENTS), cart_line_properties(schema, strict))
+    result = result.when(name.isin(*DOM_EVENTS), dom_properties(schema, strict))
+    result = result.when(name == "page_viewed", page_view_properties(schema, strict))
     for browse in BROWSE_EVENTS:
-        result = result.when(name == browse, browse_properties(browse, strict))
-    return result.when(name == "form_submitted", form_properties(strict))
+        result = result.when(name == browse, browse_properties(schema, browse, strict))
+    return result.when(name == "form_submitted", form_properties(schema, strict))
 
 
 def pixel_events(rows: DataFrame, strict: bool = False) -> DataFrame:
@@ -205,7 +200,7 @@ def pixel_events(rows: DataFrame, strict: bool = False) -> DataFrame:
         "shop",
         "event",
         "distinct_id",
-        pixel_properties(strict).alias("properties"),
+        pixel_properties(rows.schema, strict).alias("properties"),
         "timestamp",
         event_uuid(F.col("id")).alias("uuid"),
         "api_key",

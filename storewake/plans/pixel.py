@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storewake.functions.objects import object_text
 from storewake.operators import pixel_events, pixel_settings
-from storewake.operators.browser_state import browser_state
+from storewake.operators.browser_state import (
+    add_epochs,
+    add_identity,
+    browser_state,
+    identity_links,
+    timeline,
+)
 from storewake.operators.joins import lookup_join
 from storewake.operators.page_context import join_context, narrow_contexts, page_contexts
+from storewake.operators.server_events import IDENTIFY
 from storewake.operators.shops import is_anonymous
 from storewake.session import cut_lineage
 
@@ -76,3 +84,29 @@ def pixel_event_table(
     contexts = contexts_of(loads, shops)
     rows = join_context(pixel_settings.subscribed_events(events, shops), contexts)
     return pixel_events.pixel_events(browser_state(state_rows(rows, contexts), **limits), strict)
+
+
+def pixel_identify_table(
+    events: DataFrame, loads: DataFrame, settings: DataFrame, **limits: int
+) -> DataFrame:
+    """The person links of browsers as events: a checkout's or form's email, or a login.
+
+    The event belongs to the email and names the id that the browser had before.
+    It needs only the narrow part of the contexts.
+    """
+    shops = pixel_settings.pixel_shops(settings)
+    contexts = consents_of(loads, shops)
+    rows = join_context(pixel_settings.subscribed_events(events, shops), contexts)
+    state = add_identity(add_epochs(timeline(state_rows(rows, contexts), **limits))).result()
+    links = lookup_join(identity_links(state), settings.select("shop", "api_key", "api_host"), "shop")
+    return links.select(
+        "shop",
+        F.lit(IDENTIFY).alias("event"),
+        F.col("to_id").alias("distinct_id"),
+        object_text(F.struct(F.col("from_id").alias("$anon_distinct_id"))).alias("properties"),
+        F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+        F.lit(None).cast("string").alias("uuid"),
+        "api_key",
+        "api_host",
+        F.col("event_id").alias("arrival_seq"),
+    )
