@@ -1061,3 +1061,36 @@ def all_channel_events(spark, sf_dir):
         F.when(session.isNull(), ref).alias("ref"),
         session.alias("session_id"),
     )
+
+
+@query(
+    with_views(
+        f"""
+select url, api_key, (place - 1) // 10 as batch_no, count(*) as size,
+  string_agg(event || ' ' || distinct_id, ',' order by place) as listed from (
+  select regexp_replace(c.api_host, '/$', '') || '/batch/' as url, c.api_key, {_NAMED} as event, i.distinct_id,
+    row_number() over (partition by c.api_host, c.api_key order by s.timestamp, s.event_id) as place
+  from fx_sub s join fx_identity i using (event_id) join fx_shops c on c.shop = s.shop) group by 1, 2, 3
+""",
+        *PIXEL_VIEWS,
+    )
+)
+def pixel_requests(spark, sf_dir):
+    """Browser events as request bodies, read back: ten to a request per host and key, in order."""
+    sent = envelope.enveloped(envelope.all_events(_pixel_table(spark, sf_dir)))
+    numbered = envelope.numbered_batches(
+        sent, ["url", "api_key"], ["timestamp", "arrival_seq"], hot_rows=2000, slice_rows=1000
+    )
+    body = "struct<api_key: string, batch: array<struct<event: string, distinct_id: string,"
+    body += " properties: struct<distinct_id: string>>>>"
+    read = envelope.batch_requests(numbered).select(
+        "url", "batch_no", F.from_json("request", body).alias("r")
+    )
+    names = F.transform("r.batch", lambda e: F.concat_ws(" ", e["event"], e["properties"]["distinct_id"]))
+    return read.select(
+        "url",
+        "r.api_key",
+        "batch_no",
+        F.size("r.batch").cast("long").alias("size"),
+        F.array_join(names, ",").alias("listed"),
+    )

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry import sample, server, state
+from registry import pixel_sample, sample, server, state
 from registry.common import Catalog
 from registry.sample import landed, with_views
 from storewake.operators import browser_state as bs
 from storewake.operators import envelope
+from storewake.session import shared_folder
+from storewake.sources import browser
 from storewake.streaming import server_stream, session_stream, sink
 
 catalog = Catalog()
@@ -22,8 +24,10 @@ _TOPICS = {
     "orders/updated": lambda s, d: sample.orders(s, d),
     "orders/cancelled": sample.cancelled_orders,
     "refunds/create": sample.refunds,
-    "customers/update": sample.customers,
+    "customers": sample.customers,
 }
+# Half of the customers come as new ones.
+_CUSTOMER_TOPIC = "case when id % 2 = 0 then 'customers/create' else 'customers/update' end"
 
 
 def _webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def _webhooks(spark: SparkSession, sf_dir: str) -> DataFrame:
         body = [c for c in rows.columns if c not in ("shop", "arrival_seq", "status")]
         parts.append(
             rows.select(
-                F.lit(topic).alias("topic"),
+                F.expr(_CUSTOMER_TOPIC if topic == "customers" else f"'{topic}'").alias("topic"),
                 "shop",
                 "arrival_seq",
                 F.to_json(F.struct(*body)).alias("payload"),
@@ -126,8 +130,76 @@ def stream_sink(spark, sf_dir):
     )
 
 
+@query(
+    with_views(
+        """
+select regexp_replace(api_host, '/$', '') || '/batch/' as url, api_key, count(*) as events, true as small
+from (select shop from fx_server_events"""
+        + " union all select shop from fx_sent where source_name is distinct from 'web' and id % 10 = 0"
+        + " union all select shop from fx_sent where strategy = 'non-anonymized' and id % 10 = 0"
+        + ") join fx_eligible using (shop) group by 1, 2",
+        *server.SERVER_VIEWS,
+    )
+)
+def stream_requests(spark, sf_dir):
+    """Request bodies of all events per host and key; none holds more than a batch."""
+    sent = envelope.enveloped(_events(spark, sf_dir))
+    size = F.json_array_length(F.get_json_object("request", "$.batch"))
+    named = F.get_json_object("request", "$.api_key")
+    return _run(sent, "requests", requests=True).groupBy("url", named.alias("api_key")).agg(
+        F.sum(size).cast("long").alias("events"),
+        (F.max(size) <= envelope.BATCH_SIZE).alias("small"),
+    )
+
+
+_PIXEL_FIELDS = f"""
+select {sample.shop_name('shop_no')} as shop, event_id, name, client_id, tab_id, page_load_id, timestamp, href,
+  case when is_checkout and event_id % 4 <> 0 then '#' || cast(event_id as varchar) end as order_name,
+  case when is_checkout then 'n' || cast(event_id % 3 as varchar) end as note,
+  case when name in ('clicked', 'input_changed') then 'button' when name = 'form_submitted' then 'form' end as kind
+from (select *, name like 'checkout%' or name = 'payment_info_submitted' as is_checkout from fx_px)
+"""
+
+
+def _pixel_json(spark: SparkSession, sf_dir: str) -> str:
+    """Browser events as landed JSON lines."""
+    frame = pixel_sample.pixel_events(spark, sf_dir)
+    path = f"{shared_folder(spark)}/landed-json/{uuid.uuid4().hex}"
+    frame.repartition(4).write.json(path)
+    return path
+
+
+def _pixel_fields(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "shop",
+        "event_id",
+        "name",
+        "client_id",
+        "tab_id",
+        "page_load_id",
+        "timestamp",
+        "href",
+        F.col("checkout.order.name").alias("order_name"),
+        F.col("checkout.note").alias("note"),
+        F.col("element.type").alias("kind"),
+    )
+
+
+@query(with_views(_PIXEL_FIELDS, state.PX))
+def pixel_source(spark, sf_dir):
+    """Landed browser events, read with their schema."""
+    return _pixel_fields(browser.read_pixel_events(spark, _pixel_json(spark, sf_dir)))
+
+
+@query(with_views(_PIXEL_FIELDS, state.PX))
+def stream_pixel_source(spark, sf_dir):
+    """The same as a stream, one file at a time."""
+    rows = browser.stream_pixel_events(spark, _pixel_json(spark, sf_dir), 1)
+    return _run(_pixel_fields(rows), "pixel-source", partition_by=None)
+
+
 def _browser_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state._all_rows(spark, sf_dir).drop("tab_id", "name")
+    return state._all_rows(spark, sf_dir).drop("name")
 
 
 def heartbeat(rows: DataFrame) -> DataFrame:
@@ -140,6 +212,7 @@ def heartbeat(rows: DataFrame) -> DataFrame:
         (F.col("ts_us") + F.lit(40 * 24 * 3600 * 1_000_000)).alias("ts_us"),
         F.lit(True).alias("anonymous"),
         F.lit(True).alias("is_event"),
+        none.alias("tab_id"),
         none.alias("login_email"),
         none.alias("post_email"),
     )
@@ -149,12 +222,13 @@ def heartbeat(rows: DataFrame) -> DataFrame:
     state._recursive(
         with_views(
             f"""
-select s.shop, s.client_id, s.event_id, s.anonymous, s.reset, s.epoch, s.session_us, i.distinct_id
-from fx_session s join fx_identity i on i.event_id = s.event_id and i.is_event
+select s.shop, s.client_id, s.event_id, s.anonymous, s.reset, s.epoch, s.session_us, i.distinct_id, s.window_id
+from fx_window s join fx_identity i on i.event_id = s.event_id and i.is_event
 """,
             *state.STATE_VIEWS,
             state.IDENTITY,
             *state._session_views(bs.IDLE_US, bs.LENGTH_US),
+            state.WINDOWS,
         )
     )
 )
@@ -172,5 +246,5 @@ def stream_sessions(spark, sf_dir):
         else:
             spark.conf.set(session_stream.STATE_STORE, before)
     return out.where("shop <> 'heartbeat'").select(
-        "shop", "client_id", "event_id", "anonymous", "reset", "epoch", "session_us", "distinct_id"
+        "shop", "client_id", "event_id", "anonymous", "reset", "epoch", "session_us", "distinct_id", "window_id"
     )

@@ -1,8 +1,11 @@
-"""Identity, consent epochs and sessions of browser events as keyed state.
-
-The state of a browser is one small row. Rows wait in the state until the
-watermark has passed them and are then folded in time order, so that a row that
-arrives late, but within the watermark, cannot change what was already sent.
+"""Identity, consent epochs, sessions and window ids of browser events as keyed state.
+
+The state of a browser is one small row, one more per tab and the rows that
+wait. Rows wait by the minute until the watermark has passed it and are then
+folded in time order, so that a row that arrives late, but within the watermark,
+cannot change what was already sent; a minute's timer reads that minute's rows
+only. With a retention, a browser that is silent for so long is forgotten: its
+next row starts like a new browser's.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
+    ArrayType,
     BooleanType,
     DataType,
     LongType,
@@ -40,7 +44,12 @@ ROW = _struct(
     anonymous=BooleanType(),
     login=StringType(),
     post=StringType(),
+    tab_id=StringType(),
 )
+MINUTE = _struct(at_ms=LongType())
+WAITING = _struct(rows=ArrayType(ROW))
+TAB = _struct(tab_id=StringType())
+WINDOW = _struct(window_us=LongType(), window_epoch=LongType())
 STATE = _struct(
     email=StringType(),
     epoch=LongType(),
@@ -60,6 +69,10 @@ OUT = _struct(
     epoch_us=LongType(),
     email=StringType(),
     session_us=LongType(),
+    new_session=BooleanType(),
+    tab_id=StringType(),
+    window_us=LongType(),
+    window_epoch=LongType(),
 )
 _MINUTE_MS = 60_000
 
@@ -67,7 +80,8 @@ _MINUTE_MS = 60_000
 def _fold(state: tuple, row: tuple, idle_us: int, length_us: int) -> tuple[tuple, tuple | None]:
     """The state after a row, and what is sent for it."""
     email, epoch, epoch_us, was_anonymous, last_us, session_us = state
-    event_id, ts_us, is_event, anonymous, login, post = row
+    event_id, ts_us, is_event, anonymous, login, post, _ = row
+    session = (epoch, session_us)
     epoch_us = ts_us if epoch_us is None else epoch_us
     reset = bool(is_event and anonymous and was_anonymous is False)
     if reset:
@@ -76,57 +90,88 @@ def _fold(state: tuple, row: tuple, idle_us: int, length_us: int) -> tuple[tuple
         email = login
     sent = None
     if is_event:
+        was_none = was_anonymous is None
         if last_us is None or ts_us - last_us > idle_us or ts_us - session_us > length_us:
             session_us = ts_us
         last_us, was_anonymous = ts_us, bool(anonymous)
-        sent = (event_id, ts_us, bool(anonymous), reset, epoch, epoch_us, email, session_us)
+        opened = was_none or (epoch, session_us) != session
+        sent = (event_id, ts_us, bool(anonymous), reset, epoch, epoch_us, email, session_us, opened)
     if post and not anonymous:
         email = post
     return (email, epoch, epoch_us, was_anonymous, last_us, session_us), sent
 
 
+def _rows_of(part: pd.DataFrame) -> list[tuple]:
+    """Plain rows of a batch, converted column by column."""
+    columns = []
+    for field in ROW.fields:
+        column = part[field.name]
+        column = column.astype(object).where(column.notna(), None).tolist()
+        cast = {LongType: int, BooleanType: bool}.get(type(field.dataType))
+        columns.append([cast(v) for v in column] if cast else column)
+    return list(zip(*columns, strict=True))
+
+
 class BrowserProcessor(StatefulProcessor):
-    def __init__(self, idle_us: int, length_us: int):
+    def __init__(self, idle_us: int, length_us: int, retention_us: int | None):
         self._idle_us = idle_us
         self._length_us = length_us
+        self._retention_us = retention_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("browser", STATE)
-        self._waiting = handle.getListState("waiting", ROW)
+        self._waiting = handle.getMapState("waiting", MINUTE, WAITING)
+        self._tabs = handle.getMapState("tabs", TAB, WINDOW)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        by_minute: dict[int, list[tuple]] = {}
         for part in rows:
-            entries = [
-                tuple(None if pd.isna(v) else v for v in r)
-                for r in part[ROW.names].itertuples(index=False, name=None)
-            ]
-            self._waiting.appendList(
-                [(int(e), int(t), bool(i), bool(a), login, post) for e, t, i, a, login, post in entries]
-            )
-            due |= {(int(e[1]) // 1000 // _MINUTE_MS + 1) * _MINUTE_MS for e in entries}
-        for at_ms in due:
-            self._handle.registerTimer(at_ms)
+            for row in _rows_of(part):
+                by_minute.setdefault((row[1] // 1000 // _MINUTE_MS + 1) * _MINUTE_MS, []).append(row)
+        for at_ms, new in by_minute.items():
+            if self._waiting.containsKey((at_ms,)):
+                new = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]] + new
+            else:
+                self._handle.registerTimer(at_ms)
+            self._waiting.updateValue((at_ms,), (new,))
         yield pd.DataFrame()
 
+    def _window(self, row: tuple, sent: tuple) -> tuple:
+        """The window of the event's tab: a new one with its first event or a session it opens."""
+        tab = (row[6] or "",)
+        if not sent[-1] and self._tabs.containsKey(tab):
+            return tuple(self._tabs.getValue(tab))
+        window = (row[1], sent[4])
+        self._tabs.updateValue(tab, window)
+        return window
+
+    def _forget(self, now_us: int) -> None:
+        """Drop a browser that has been silent for the retention."""
+        if self._retention_us is None or not self._state.exists():
+            return
+        last_us = self._state.get()[4]
+        if last_us is not None and last_us + self._retention_us <= now_us:
+            self._state.clear()
+            self._tabs.clear()
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        waiting = [tuple(r) for r in self._waiting.get()]
-        ready = sorted((r for r in waiting if r[1] < limit_us), key=lambda r: (r[1], r[2], r[0]))
-        later = [r for r in waiting if r[1] >= limit_us]
-        state = tuple(self._state.get()) if self._state.exists() else (None, 0, None, None, None, None)
+        at_ms = expiredTimerInfo.getExpiryTimeInMs()
         sent = []
-        for row in ready:
-            state, out = _fold(state, row, self._idle_us, self._length_us)
-            if out is not None:
-                sent.append((*key, *out))
-        if ready:
+        if self._waiting.containsKey((at_ms,)):
+            ready = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]]
+            self._waiting.removeKey((at_ms,))
+            self._forget(at_ms * 1000 - _MINUTE_MS * 1000)
+            state = tuple(self._state.get()) if self._state.exists() else (None, 0, None, None, None, None)
+            for row in sorted(ready, key=lambda r: (r[1], r[2], r[0])):
+                state, out = _fold(state, row, self._idle_us, self._length_us)
+                if out is not None:
+                    sent.append((*key, *out, row[6], *self._window(row, out)))
             self._state.update(state)
-            if later:
-                self._waiting.put(later)
-            else:
-                self._waiting.clear()
+            if self._retention_us is not None:
+                self._handle.registerTimer(at_ms + self._retention_us // 1000)
+        else:
+            self._forget(at_ms * 1000)
         yield pd.DataFrame(sent, columns=OUT.names)
 
     def close(self) -> None:
@@ -138,15 +183,17 @@ def stream_browser_state(
     lateness: str = "10 minutes",
     idle_us: int = IDLE_US,
     length_us: int = LENGTH_US,
+    retention_us: int | None = None,
 ) -> DataFrame:
     """The columns of `browser_state` for a stream of the same rows.
 
-    Needs the RocksDB state store (see STATE_STORE and ROCKS).
+    Needs the RocksDB state store (see STATE_STORE and ROCKS). Without a retention
+    the state of every browser is kept.
     """
     timed = rows.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", lateness)
     named = timed.withColumnsRenamed({"login_email": "login", "post_email": "post"})
     state = named.groupBy(*KEYS).transformWithStateInPandas(
-        BrowserProcessor(idle_us, length_us), outputStructType=OUT, outputMode="Append", timeMode="EventTime"
+        BrowserProcessor(idle_us, length_us, retention_us), outputStructType=OUT, outputMode="Append", timeMode="EventTime"
     )
     who = (F.col("shop"), F.col("client_id"), F.col("epoch"))
     return state.select(
@@ -159,4 +206,8 @@ def stream_browser_state(
         "session_us",
         F.coalesce("email", time_key(F.col("epoch_us"), *who)).alias("distinct_id"),
         time_key(F.col("session_us"), *who).alias("session_id"),
+        "new_session",
+        time_key(F.col("window_us"), F.col("shop"), F.col("client_id"), F.col("tab_id"), F.col("window_epoch")).alias(
+            "window_id"
+        ),
     )

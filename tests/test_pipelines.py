@@ -125,7 +125,7 @@ def test_repeated_batch_replaces_itself(spark):
 
 
 def test_stream_state_does_not_depend_on_the_split(spark, sf_dir):
-    rows = state._all_rows(spark, sf_dir).drop("tab_id", "name")
+    rows = state._all_rows(spark, sf_dir).drop("name")
     spark.conf.set(session_stream.STATE_STORE, session_stream.ROCKS)
     t = bs.add_identity(bs.add_epochs(bs.timeline(rows)))
     batch = t.result().where("is_event").select("event_id", "epoch", "distinct_id")
@@ -140,3 +140,31 @@ def test_stream_state_does_not_depend_on_the_split(spark, sf_dir):
         )
         made = out.where("shop <> 'heartbeat'").select("event_id", "epoch", "distinct_id")
         assert sorted(map(tuple, made.collect())) == expected
+
+
+def test_stream_folds_minute_by_minute_and_forgets(spark):
+    """Files in the order of time and a short lateness: state is carried over many flushes."""
+    from test_state import MINUTE, SCHEMA, make_rows, plain_state
+
+    rows = sorted((r for r in make_rows(5, events=240) if r[1] is not None), key=lambda r: r[4])
+    last = max(r[4] for r in rows) + 400 * 24 * 60 * MINUTE
+    rows.append(("heartbeat", "", "a", 9999, last, True, True, None, None))
+    spark.conf.set(session_stream.STATE_STORE, session_stream.ROCKS)
+    folder = tempfile.mkdtemp(prefix="run-")
+    for n in range(0, len(rows), 31):
+        spark.createDataFrame(rows[n : n + 31], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    kept = session_stream.stream_browser_state(source, "1 minute")
+    made = sink.run_to_end(kept, "minutes", partition_by=None).where("shop <> 'heartbeat'").collect()
+    wanted = plain_state(rows[:-1], 30 * MINUTE, 24 * 60 * MINUTE)
+    assert {r.event_id: (r.epoch, r.session_us) for r in made} == {k: v[:2] for k, v in wanted.items()}
+    batch = bs.browser_state(spark.createDataFrame(rows[:-1], SCHEMA)).collect()
+    assert {r.event_id: r.window_id for r in made} == {r.event_id: r.window_id for r in batch}
+    forgetful = session_stream.stream_browser_state(source, "1 minute", retention_us=600 * MINUTE)
+    short = sink.run_to_end(forgetful, "forgets", partition_by=None).where("shop <> 'heartbeat'").collect()
+    assert len(short) == len(made)
+    before = {}
+    for r in sorted(short, key=lambda r: (r.client_id, r.ts_us, r.event_id)):
+        if r.client_id in before and r.ts_us - before[r.client_id] > 602 * MINUTE:
+            assert r.epoch == 0
+        before[r.client_id] = r.ts_us
