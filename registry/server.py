@@ -871,29 +871,56 @@ def deduplicated_events(spark, sf_dir):
     )
 
 
+# The fields of a person update that the latest and that the first one decides.
+_LATEST = (
+    "email", "first_name", "last_name", "phone", "orders_count", "total_spent", "tags", "city", "country",
+    "country_code", "last_order_date", "last_order_id", "customer_state",
+)
+_FIRST = ("first_order_date", "first_order_id", "shopify_customer_created_at")
+
+
 @query(
     with_views(
         f"""
-select shop, distinct_id,
-  arg_max(email, k) filter (email is not null) as email,
-  arg_max(city, k) filter (city is not null) as city,
-  arg_max(orders_count, k) filter (orders_count is not null) as orders_count,
-  arg_max(total_spent, k) filter (total_spent is not null) as total_spent,
-  arg_max(last_order_date, k) as last_order_date, arg_max(last_order_id, k) as last_order_id,
-  arg_min(first_order_date, k) as first_order_date, arg_min(first_order_id, k) as first_order_id
-from (select shop, distinct_id, created_at || lpad(cast(id as varchar), 20, '0') as k, {_ORDER_SET}
-  from fx_sent where strategy = 'non-anonymized') group by shop, distinct_id
+select shop, distinct_id, {", ".join(f"arg_max({n}, k) filter ({n} is not null) as {n}" for n in _LATEST)},
+  {", ".join(f"arg_min({n}, k) filter ({n} is not null) as {n}" for n in _FIRST)}
+from (
+  select shop, distinct_id, created_at || '0' || lpad(cast(id as varchar), 20, '0') as k, {_ORDER_SET},
+    cast(null as varchar) as customer_state, cast(null as varchar) as shopify_customer_created_at
+  from fx_sent where strategy = 'non-anonymized'
+  union all by name
+  select shop, distinct_id, coalesce(updated_at, '') || '1' || coalesce(created_at, '') as k, {_CUSTOMER_SET},
+    nullif(state, '') as customer_state, created_at as shopify_customer_created_at
+  from fx_customer_sent where distinct_id is not null) group by shop, distinct_id
 """,
         *ORDER_VIEWS,
+        CUSTOMERS,
+        CUSTOMER_SENT,
     )
 )
 def person_profiles(spark, sf_dir):
-    updates = server_events.order_identify(_orders(spark, sf_dir)).select(
-        "shop", "distinct_id", "timestamp", "properties.$set.*", "properties.$set_once.*"
+    """Profiles folded from the person updates of orders and of customers, all fields."""
+
+    def updates(events: DataFrame, feed: int, place: str) -> DataFrame:
+        return events.select(
+            "shop",
+            "distinct_id",
+            F.coalesce("timestamp", F.lit("")).alias("timestamp"),
+            F.lit(feed).alias("feed"),
+            F.lpad(F.col(place).cast("string"), 20, "0").alias("place"),
+            "properties.$set.*",
+            "properties.$set_once.*",
+        )
+
+    orders = updates(server_events.order_identify(_orders(spark, sf_dir)), 0, "properties.$set.last_order_id")
+    customers = updates(
+        server_events.customer_identify(_customers(spark, sf_dir)),
+        1,
+        "properties.$set_once.shopify_customer_created_at",
     )
     return profiles.person_profiles(
-        updates.withColumn("place", F.col("last_order_id")),
-        latest=["email", "city", "orders_count", "total_spent", "last_order_date", "last_order_id"],
-        first=["first_order_date", "first_order_id"],
-        order=("timestamp", "place"),
+        orders.unionByName(customers, allowMissingColumns=True),
+        latest=_LATEST,
+        first=_FIRST,
+        order=("timestamp", "feed", "place"),
     )
