@@ -929,6 +929,24 @@ def event_uuid(spark, sf_dir):
     return _events(spark, sf_dir).select("event_id", "id", ids.event_uuid(F.col("id")).alias("uuid"))
 
 
+@query(
+    with_views(
+        f"""
+select {sample.shop_name('shop_no')} as shop, event_id, page_load_id from fx_px
+where page_load_id not in (select page_load_id from fx_facts
+  where regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]'))
+""",
+        PX,
+        LOADS,
+        FACTS,
+    )
+)
+def orphan_events(spark, sf_dir):
+    """Events without a working page load, which the pipeline leaves out."""
+    orphans = page_context.orphan_events(_events(spark, sf_dir), pixel_sample.page_loads(spark, sf_dir))
+    return orphans.select("shop", "event_id", "page_load_id")
+
+
 # The whole table.
 
 SUB_ROWS = (

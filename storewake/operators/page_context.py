@@ -175,6 +175,12 @@ def join_context(events: DataFrame, contexts: DataFrame, hot_rows: int = HOT_ROW
     return detail_join(events, contexts, ["shop", "client_id", "page_load_id"], hot_rows)
 
 
+def orphan_events(events: DataFrame, loads: DataFrame) -> DataFrame:
+    """Events that `join_context` leaves out because their page load is missing or never worked."""
+    keys = ["shop", "client_id", "page_load_id"]
+    return events.join(working_loads(loads).select(*keys), keys, "left_anti")
+
+
 def context_conditions(schema: StructType) -> dict[str, Column]:
     known = {"customer": F.col("context.customer").isNotNull()}
     if field_names(schema, "context.cart"):
