@@ -22,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,8 @@ BLOCK = 256
 #: Similarities of found links are counted in bins of this width.
 _BINS = 20
 _SEED = 20240229
+#: Keys that a task remembers, so that copies in its rows make one set of nodes.
+REMEMBERED = 300_000
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -113,43 +116,118 @@ def signed_texts(docs: DataFrame, size: int, trees: int, depth: int) -> DataFram
     return docs.mapInArrow(run, f"id {kind}, text_hash bigint, key bigint, n bigint, sig binary")
 
 
-def _nodes(classes: DataFrame, trees: int, deepest: int, depth: int) -> DataFrame:
-    """The trie nodes of each class: tree, prefix of the given depth."""
+def _node_hashes(sig: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """The trie nodes of rows of signatures: a hash of the tree and the prefix of its minima."""
+    return prefixes(sig, trees, depth) ^ (np.arange(trees, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _nodes(rows: DataFrame, trees: int, deepest: int, depth: int) -> DataFrame:
+    """`node` and `key` of all rows; a task leaves out the copies that it remembers."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen_keys: set[int] = set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw = b"".join(batch.column("sig").to_pylist())
-            sig = np.frombuffer(raw, np.uint32).reshape(batch.num_rows, trees * deepest)
-            prefix = prefixes(sig, trees, depth)
-            yield pa.RecordBatch.from_pydict(
+            keys, take = batch.column("key").to_pylist(), []
+            for place, key in enumerate(keys):
+                if key not in seen_keys:
+                    seen_keys.add(key)
+                    take.append(place)
+            if len(seen_keys) > REMEMBERED:
+                seen_keys.clear()
+            if take:
+                batch = batch.take(pa.array(take))
+                raw = b"".join(batch.column("sig").to_pylist())
+                sig = np.frombuffer(raw, np.uint32).reshape(len(take), trees * deepest)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "node": _node_hashes(sig, trees, depth).view(np.int64).ravel(),
+                        "key": np.repeat(batch.column("key").to_numpy(), trees),
+                    }
+                )
+
+    return rows.select("key", "sig").mapInArrow(run, "node bigint, key bigint")
+
+
+def _trie_edges(rows: DataFrame, trees: int, deepest: int, depth: int, path: str) -> DataFrame:
+    """Edges `u`, `v` that connect all classes of a trie node, from the sorted nodes.
+
+    All nodes are sorted over the tasks once; a task links a node's classes to the
+    node's first one in its part. A node of any size is spread over several parts,
+    so each part also tells its first and last row, and neighbours that belong to
+    one node are linked.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        first = last = None
+        node_now = head = None
+
+        def out(u, v, end=None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict(
                 {
-                    "key": np.repeat(batch.column("key").to_numpy(), trees),
-                    "tree": np.tile(np.arange(trees, dtype=np.int32), batch.num_rows),
-                    "prefix": prefix.view(np.int64).ravel(),
+                    "u": pa.array(u, pa.int64()),
+                    "v": pa.array(v, pa.int64()),
+                    "part": pa.array([None if end is None else part] * len(u), pa.int32()),
+                    "side": pa.array([end] * len(u), pa.int32()),
                 }
             )
 
-    return classes.select("key", "sig").mapInArrow(run, "key bigint, tree int, prefix bigint")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            node, key = batch.column("node").to_numpy(), batch.column("key").to_numpy()
+            if first is None:
+                first = (node[0], key[0])
+            last = (node[-1], key[-1])
+            starts = np.ones(len(node), bool)
+            starts[1:] = node[1:] != node[:-1]
+            heads = key[np.maximum.accumulate(np.where(starts, np.arange(len(node)), 0))]
+            if node_now is not None and node[0] == node_now:
+                run = int(np.argmax(starts[1:])) + 1 if starts[1:].any() else len(node)
+                heads[:run] = head
+            node_now, head = node[-1], heads[-1]
+            differ = key != heads
+            yield out(key[differ], heads[differ])
+        if first is not None:
+            yield out([first[1]], [first[0]], 0)
+            yield out([last[1]], [last[0]], 1)
+
+    ordered = _nodes(rows, trees, deepest, depth).repartitionByRange(parts, "node", "key")
+    made = land(
+        ordered.sortWithinPartitions("node", "key").mapInArrow(link, "u bigint, v bigint, part int, side int"), path
+    )
+    # Two rows per part, whatever the number of documents.
+    along = Window.orderBy("part", "side")
+    ends = made.where("part is not null").select(
+        "u", F.lag("u").over(along).alias("w"), "v", F.lag("v").over(along).alias("before")
+    )
+    bridges = ends.where((F.col("v") == F.col("before")) & (F.col("u") != F.col("w"))).select("u", F.col("w").alias("v"))
+    return made.where("part is null").select("u", "v").unionByName(bridges)
 
 
-def _exact_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """`key` and shingle `set` of the wanted classes, from the text of each one's first document."""
-    texts = docs.join(sized(wanted.select(F.col("first_id"))), same(F.col("id"), F.col("first_id")), "left_semi")
+def _exact_sets(docs: DataFrame, wanted: DataFrame, size: int, trees: int, deepest: int, depth: int) -> DataFrame:
+    """The wanted classes with their shingle `set` and trie nodes (`marks`), from the text of each
+    one's first document."""
+    texts = docs.join(sized(wanted.select("first_id")), same(F.col("id"), F.col("first_id")), "left_semi")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(text, size) for text in batch.column("text").to_pylist()]
+            sigs = np.array([signature(s, trees * deepest) for s in sets], np.uint32)
+            marks = _node_hashes(sigs.reshape(len(sets), trees * deepest), trees, depth)
             yield pa.RecordBatch.from_pydict(
                 {
                     "key": pa.array([_set_key(s) for s in sets], pa.int64()),
                     "set": pa.array([s.tobytes() for s in sets], pa.binary()),
+                    "marks": pa.array([m.tobytes() for m in marks], pa.binary()),
                 }
             )
 
-    return texts.select("text").mapInArrow(run, "key bigint, set binary").join(
-        wanted.select("key"), "key", "left_semi"
+    return (
+        texts.select("text")
+        .mapInArrow(run, "key bigint, set binary, marks binary")
+        .join(sized(wanted.drop("first_id")), "key")
     )
 
 
@@ -177,10 +255,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(pdf: pd.DataFrame, trees: int, deepest: int, depth: int, similarity: float, block_row: tuple) -> pd.DataFrame:
+def _verify(pdf: pd.DataFrame, similarity: float, group: tuple) -> pd.DataFrame:
     """Links between two blocks of a group (or within one), per class, and a spanning forest."""
     pdf = pdf.drop_duplicates(["key", "side"]).sort_values("key")
-    one, two = block_row[1], block_row[2]
+    _, one, two = group
     left = pdf[pdf["side"] == one]
     right = pdf[pdf["side"] == two]
     sets = [[np.frombuffer(s, np.uint64) for s in x["set"]] for x in (left, right)]
@@ -188,12 +266,9 @@ def _verify(pdf: pd.DataFrame, trees: int, deepest: int, depth: int, similarity:
     out_keys, out_links, out_to, out_bins = [], [], [], []
     bins = np.zeros(_BINS, np.int64)
     if len(left) and len(right):
-        marks = [
-            prefixes(np.frombuffer(b"".join(x["sig"]), np.uint32).reshape(len(x), -1), trees, depth)
-            for x in (left, right)
-        ]
+        marks = [np.frombuffer(b"".join(x["marks"]), np.uint64).reshape(len(x), -1) for x in (left, right)]
         candidate = np.zeros((len(left), len(right)), bool)
-        for t in range(trees):
+        for t in range(marks[0].shape[1]):
             candidate |= marks[0][:, t][:, None] == marks[1][:, t][None, :]
         if one == two:
             candidate &= np.triu(np.ones_like(candidate), 1)
@@ -242,42 +317,32 @@ def _verify(pdf: pd.DataFrame, trees: int, deepest: int, depth: int, similarity:
 
 
 def _links(
-    classes: DataFrame, docs: DataFrame, depth: int, deepest: int, trees: int, size: int,
+    rows: DataFrame, classes: DataFrame, docs: DataFrame, depth: int, deepest: int, trees: int, size: int,
     similarity: float, block: int, folder: str,
 ) -> DataFrame:
     """Per class and block pair: `links`, the class `to` that it is joined to, and `bins`."""
-    nodes = land(_nodes(classes, trees, deepest, depth), f"{folder}/nodes")
-    first = nodes.groupBy("tree", "prefix").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("c"))
-    star = (
-        nodes.join(first.where("c > 1"), ["tree", "prefix"])
-        .select(F.col("key").alias("u"), "v")
-        .distinct()
-    )
+    star = _trie_edges(rows, trees, deepest, depth, f"{folder}/trie")
     groups = land(components(star, f"{folder}/groups"), f"{folder}/grouped")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    spread = groups.join(sizes, "root").select(
-        F.col("node").alias("key"),
-        F.col("root").alias("grp"),
-        F.ceil(F.col("c") / F.lit(block)).cast("int").alias("blocks"),
-    )
+    blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
     # Blocks are even up to chance: a class's block is a hash of its key.
     wanted = land(
-        spread.withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-        .join(classes.select("key", "sig", "first_id"), "key"),
+        groups.join(sizes, "root")
+        .select(F.col("node").alias("key"), F.col("root").alias("grp"), blocks.alias("blocks"))
+        .withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        .join(classes.select("key", "first_id"), "key"),
         f"{folder}/wanted",
     )
-    sets = land(_exact_sets(docs, wanted, size), f"{folder}/sets")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     placed = (
-        wanted.drop("first_id")
-        .join(sets.dropDuplicates(["key"]), "key")
+        _exact_sets(docs, wanted, size, trees, deepest, depth)
         .withColumn("other", other)
         .withColumn("one", F.least("side", "other"))
         .withColumn("two", F.greatest("side", "other"))
     )
 
     def verify(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _verify(pdf, trees, deepest, depth, similarity, group)
+        return _verify(pdf, similarity, group)
 
     verified = placed.groupBy("grp", "one", "two").applyInPandas(
         verify, "key bigint, links bigint, to bigint, bins array<bigint>"
@@ -318,24 +383,21 @@ def similar_groups(
     classes = land(
         rows.where("n > 0")
         .groupBy("key")
-        .agg(
-            F.min(lowest).alias("first"),
-            F.count(F.lit(1)).alias("copies"),
-            F.first("sig").alias("sig"),  # equal for equal keys
-        )
-        .select("key", "first", F.col("first.id").alias("first_id"), "copies", "sig"),
+        .agg(F.min(lowest).alias("first"), F.count(F.lit(1)).alias("copies"))
+        .select("key", "first", F.col("first.id").alias("first_id"), "copies"),
         f"{folder}/classes",
     )
+    signed = rows.where("n > 0").select("key", "sig")
     for depth in depths:
-        links = _links(classes, source, depth, deepest, trees, size, similarity, block, f"{folder}/depth{depth}")
+        step = f"{folder}/depth{depth}"
+        links = _links(signed, classes, source, depth, deepest, trees, size, similarity, block, step)
         if seen(similarity, depth, trees) >= FLOOR and _missing(links, depth, trees, similarity) <= MISSING:
             break
     joined = links.where("key <> to").select(F.col("key").alias("u"), F.col("to").alias("v"))
     roots = components(joined, f"{folder}/classes-joined")
     counts = links.where(F.col("key").isNotNull()).groupBy("key").agg(F.sum("links").alias("links"))
     grouped = land(
-        classes.drop("sig")
-        .join(roots, F.col("key") == F.col("node"), "left")
+        classes.join(roots, F.col("key") == F.col("node"), "left")
         .join(counts, "key", "left")
         .select(
             "key",
