@@ -6,8 +6,13 @@ secrets (`key: ...`, mixed runs of letters and digits) and endpoints (URLs,
 `host=...`). One of these means little, so it is reported only when
 complementary parts lie in its scope: an interval of `SCOPE` code points around
 it. A secret needs an identifier or an endpoint; an identifier or an endpoint
-needs a secret. Parts of a text meet by an interval join on bins of the scope's
-length; as a bin holds a bounded number of parts, so does the join.
+needs a secret. Parts may have any length. Parts of a text meet by an interval join on
+bins of the scope's length, each by where it starts and where it ends; as a bin
+holds a bounded number of ends, so does the join.
+
+An opaque secret may end a sentence, and may have parts between dots, like a web
+token, if one of them is opaque by itself and none holds a slash: dotted runs with
+slashes are paths and URLs.
 """
 
 from __future__ import annotations
@@ -33,19 +38,22 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Parts that mean something only together.
 IDENTIFIER = (
     r"(?<![A-Za-z0-9_])(?i:user(?:_?name|_?id)?|login|account|client_?id|key_?id)"
-    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,64}+)"""
+    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,}+)"""
 )
 SECRET = (
     r"(?<![A-Za-z0-9_])(?i:pwd|pass|key|auth|credential|private_?key|password|passwd|secret|token|api_?key)"
-    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,256}+)"""
+    r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{4,}+)"""
 )
+_OPAQUE_PART = r"(?=[A-Za-z0-9+_=-]{20})(?=[A-Za-z+_=-]*[0-9])(?=[0-9+_=-]*[A-Za-z])"
 OPAQUE = (
-    r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z0-9+/_=-]{20})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])"
-    r"[A-Za-z0-9+/_=-]{20,256}+(?![A-Za-z0-9+/_=.@-])"
+    r"(?<![A-Za-z0-9+/_=.@-])(?:"
+    r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}+(?!@|\.[A-Za-z0-9+/_=-])"
+    rf"|(?=(?:(?!{_OPAQUE_PART})[A-Za-z0-9+_=-]++\.)*+{_OPAQUE_PART})"
+    r"[A-Za-z0-9+_=-]++(?:\.[A-Za-z0-9+_=-]++)++(?![/@]))"
 )
 ENDPOINT = (
-    r"""(?<![A-Za-z])(?i:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]{1,256}+"""
-    r"""|(?<![A-Za-z0-9_])(?i:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,256}+"""
+    r"""(?<![A-Za-z])(?i:https?|ftp|jdbc|postgres|mysql|mongodb|redis|amqp)://[^\s"'<>]++"""
+    r"""|(?<![A-Za-z0-9_])(?i:host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{3,}+"""
 )
 
 
@@ -100,30 +108,36 @@ def linked_parts(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         _role(F.col("s.kind")).alias("role"),
         F.col("s.kind").isin(*WEAK_KINDS).alias("weak"),
     )
-    # An interval lies in every bin that it touches; a scope reaches one bin further on either side.
-    first, last = F.floor(F.col("s.start") / width), F.floor((F.col("s.end") - 1) / width)
-    reach = placed.where("weak").withColumn("bin", F.explode(F.sequence(first - 1, last + 1)))
-    other = (
-        placed.select(
-            F.col("id").alias("o_id"),
-            F.col("h").alias("o_h"),
-            F.col("role").alias("o_role"),
-            F.col("s.start").alias("o_start"),
-            F.col("s.end").alias("o_end"),
-        )
-        .withColumn("o_bin", F.explode(F.sequence(F.floor(F.col("o_start") / width), F.floor((F.col("o_end") - 1) / width))))
+    # A part in scope ends within a scope before the start or starts within one after the end, so
+    # two bins on either side hold them all, however long the parts are.
+    def bins(before: bool, low: Column, high: Column) -> Column:
+        places = F.sequence(F.floor(low / width), F.floor(high / width))
+        return F.transform(places, lambda b: F.struct(F.lit(before).alias("before"), b.alias("bin")))
+
+    start, end = F.col("s.start"), F.col("s.end")
+    reach = placed.where("weak").withColumn(
+        "at", F.explode(F.concat(bins(True, start - scope, start - 1), bins(False, end, end + scope - 1)))
     )
+    o_start, o_end = F.col("o_start"), F.col("o_end")
+    other = placed.select(
+        F.col("id").alias("o_id"),
+        F.col("h").alias("o_h"),
+        F.col("role").alias("o_role"),
+        start.alias("o_start"),
+        end.alias("o_end"),
+    ).withColumn("o_at", F.explode(F.concat(bins(True, o_end - 1, o_end - 1), bins(False, o_start, o_start))))
     complementary = F.when(F.col("role") == "secret", F.col("o_role") != "secret").otherwise(
         F.col("o_role") == "secret"
     )
-    apart = (F.col("o_start") >= F.col("s.end")) | (F.col("o_end") <= F.col("s.start"))
-    near = (F.col("o_start") < F.col("s.end") + scope) & (F.col("o_end") > F.col("s.start") - scope)
+    apart = (o_start >= end) | (o_end <= start)
+    near = (o_start < end + scope) & (o_end > start - scope)
     return (
         reach.join(
             other,
             same(F.col("id"), F.col("o_id"))
             & (F.col("h") == F.col("o_h"))
-            & (F.col("bin") == F.col("o_bin"))
+            & (F.col("at.before") == F.col("o_at.before"))
+            & (F.col("at.bin") == F.col("o_at.bin"))
             & complementary
             & apart
             & near,

@@ -237,6 +237,31 @@ def test_weak_parts_only_where_they_complement_each_other(spark):
     assert [s.start for s in out[7].found if s.kind == "secret"] == near
 
 
+def test_weak_parts_of_any_length_and_with_dots(spark):
+    blob = "aB3_" * 100
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOjF9." + "xY7-" * 90
+    long = "https://example.org/" + "p/" * 300
+    rows = [
+        (1, f"user=alice {blob} end", blob),
+        (2, f"user=alice key: {blob} end", f"key: {blob}"),
+        (3, f"pwd=ab12 {long} end", long),
+        (4, f"user={'n' * 500} pwd=ab12 end", f"user={'n' * 500}"),
+        (5, f"user=alice {blob}. Then more", blob),
+        (6, f"user=alice {token}. Then more", token),
+        (7, f"{blob} user=alice " + "x" * 300, "user=alice"),
+        (8, "user=alice /usr/lib/python3.11/site-packages/tool.py", None),
+        (9, "user=alice www.example.org/a/page-of-2024-and-more/x.y", None),
+        (10, "user=alice a.b.c1.d.e.f.g.h.i.j.k.l.m.n.o.p.q.r.s end", None),
+        (11, "user=alice " + "a." * 20_000 + "b", None),
+    ]
+    out = {r.doc_id: r for r in secrets.found_secrets(docs_of(spark, [r[:2] for r in rows])).collect()}
+    for i, text, part in rows:
+        found = [text[s.start : s.end] for s in out[i].found]
+        assert (part in found and part not in out[i].redacted) if part else found == []
+    assert out[1].redacted == "[IDENTIFIER] [SECRET] end" == out[2].redacted
+    assert out[6].redacted == "[IDENTIFIER] [SECRET]. Then more"
+
+
 def test_interval_join_equals_all_pairs(spark):
     import random
 
