@@ -3,15 +3,19 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Their
 values are the protected entities. A term discloses an entity by
 `PMI(term; entity) / IC(entity)`: 1 if the term is only ever seen in texts with
-that entity, 0 if it says nothing about it. Co-occurrence is counted in the
-words around each mention (`CONTEXT` code points either side), over distinct
-contexts so that copies of a text count once; how common a term is, over all
-texts. Terms above the threshold are spans of kind `term` wherever they occur
-in a text, and the sanitised text holds `[TERM]` in their place.
+that entity, 0 if it says nothing about it. The score is shrunk by the chance that
+term and entity meet in as many texts without having to do with each other, so it
+holds for an entity in one text as for one in thousands. Co-occurrence is counted
+in whole texts without the mentions themselves, over distinct texts. How common a
+term is, is counted over all texts. Terms from the threshold on are spans of kind
+`term` wherever they occur in a text, and the sanitised text holds `[TERM]` in
+their place.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +23,8 @@ from storewake.llm import spans
 from storewake.llm.common import land, same, sized, work_folder
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 80
-#: Disclosure from which a term goes, and distinct contexts that it needs with the entity.
+#: Disclosure from which a term goes.
 THRESHOLD = 0.9
-MIN_CONTEXTS = 3
 TERM = r"\p{L}{4,}"
 
 #: The patterns of the contract. The added `\G` and look-behind parts
@@ -84,62 +86,54 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _around(text: Column, span: Column, context: int) -> Column:
-    """The whole words before and after a span."""
-    first = F.greatest(span["start"] - context, F.lit(0))
-    before = F.substring(text, (first + 1).cast("int"), (span["start"] - first).cast("int"))
-    after = F.substring(text, (span["end"] + 1).cast("int"), F.lit(context))
-    return F.concat(
-        F.when(first > 0, F.regexp_replace(before, r"^\S+", "")).otherwise(before),
-        F.lit(" "),
-        F.when(F.length(after) == context, F.regexp_replace(after, r"\S+$", "")).otherwise(after),
-    )
+def _without(text: Column, found: Column) -> Column:
+    """The text without its mentions of entities."""
+    return spans.replaced(text, F.transform(found, lambda s: s.withField("kind", F.lit(""))))
 
 
-def disclosing_terms(
-    texts: DataFrame,
-    context: int = CONTEXT,
-    threshold: float = THRESHOLD,
-    min_contexts: int = MIN_CONTEXTS,
-) -> DataFrame:
+def disclosing_terms(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`term` and its highest `disclosure`, from rows of `text` and `found` (base spans).
 
-    Texts count once per row for how common a term is. An entity seen in fewer than
-    `min_contexts` distinct contexts has no term.
+    The threshold is above 0.
     """
-    heard = (
-        texts.where(F.size("found") > 0)
-        .select(F.xxhash64("text").alias("doc"), "text", F.explode("found").alias("s"))
-        .select("doc", _entity(F.col("s")).alias("entity"), _around(F.col("text"), F.col("s"), context).alias("c"))
-        .select("doc", "entity", F.xxhash64("c").alias("place"), _terms(F.col("c")).alias("terms"))
-    )
-    mentions = heard.drop("doc").distinct()
-    entities = mentions.groupBy("entity").agg(F.countDistinct("place").alias("n_entity"))
+    texts = texts.select(F.xxhash64("text").alias("doc"), _without(F.col("text"), F.col("found")).alias("text"), "found")
+    heard = texts.where(F.size("found") > 0)
+    folder = work_folder(texts.sparkSession)
+    mentions = land(
+        heard.select("doc", F.explode("found").alias("s")).select("doc", _entity(F.col("s")).alias("entity")).distinct(),
+        f"{folder}/mentions",
+    )
+    said = land(heard.select("doc", F.explode(_terms(F.col("text"))).alias("term")).distinct(), f"{folder}/said")
+    # Entities of the same texts have the same terms and count as one, so a text with many
+    # entities of its own is read once.
+    entities = mentions.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"),
+        F.bit_xor("doc").alias("one"),
+        F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("two"),
+    )
+    group = ["n_entity", "one", "two"]
+    members = mentions.join(sized(entities), "entity").select("doc", *group).distinct()
     pairs = (
-        mentions.select("entity", "place", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
+        members.join(said, "doc")
+        .groupBy(*group, "term")
         .agg(F.count(F.lit(1)).alias("n_both"))
-        .where(F.col("n_both") >= min_contexts)
-        .join(entities, "entity")
     )
     n_all = F.greatest(F.lit(texts.count()), F.col("n_entity") + 1).cast("double")
 
     def disclosure(n_term: Column) -> Column:
-        both = F.least(F.col("n_both"), n_term, F.col("n_entity"))
-        pmi = F.log(both * n_all / (n_term * F.col("n_entity")))
-        return pmi / F.log(n_all / F.col("n_entity"))
-
-    # A term is in no fewer texts than it has near mentions of any entity, so pairs that would not
+        n_both = F.least(F.col("n_both"), n_term)
+        expected = n_term * F.col("n_entity") / n_all
+        pmi = F.log(n_both / expected)
+        # Chernoff's bound of the chance of as many common texts.
+        chance = F.least(F.lit(1.0), F.pow(expected * math.e / n_both, n_both))
+        return pmi / F.log(n_all / F.col("n_entity")) * (1 - chance)
+
+    # A term is in no fewer texts than in those with any entity, so pairs that would not
     # disclose even then need no count over all texts.
-    near = (
-        heard.select("doc", F.explode("terms").alias("term"))
-        .distinct()
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_near"))
-    )
+    near = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = land(
         pairs.join(near, "term").where(disclosure(F.col("n_near")) >= threshold).drop("n_near"),
-        f"{work_folder(texts.sparkSession)}/pairs",
+        f"{folder}/pairs",
     )
     common = (
         texts.select(F.explode(_terms(F.col("text"))).alias("term"))
@@ -160,9 +154,7 @@ def personal_data(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    context: int = CONTEXT,
     threshold: float = THRESHOLD,
-    min_contexts: int = MIN_CONTEXTS,
 ) -> DataFrame:
     """Id, `base` (pattern spans), `found` (with the terms' spans) and `sanitised` text per row.
 
@@ -174,7 +166,7 @@ def personal_data(
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text")).withColumns(
         {"h": F.xxhash64("text"), "found": base_spans(F.col("text"))}
     )
-    terms = land(disclosing_terms(rows, context, threshold, min_contexts), f"{folder}/terms")
+    terms = land(disclosing_terms(rows, threshold), f"{folder}/terms")
     marked = land(
         rows.select("id", "h", F.explode(_terms(F.col("text"))).alias("term"))
         .join(sized(terms.select("term")), "term", "left_semi")

@@ -211,6 +211,22 @@ def test_terms_that_disclose_an_entity(spark):
     assert [s.kind for s in out[None].found] == ["term"]
 
 
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    filler = [prose(i, 30) for i in range(120)]
+    common = "walks often through quiet streets"
+    rows = [(i, f"{t} {common}") for i, t in enumerate(filler)]
+    rows += [(200, f"Quuxley {filler[0]} {common} {filler[1]} mail quux@example.org")]
+    rows += [(201 + i, f"Frobnitz {filler[3 + i]} {common} {filler[5 + i]} call +44 20 7946 0958") for i in range(2)]
+    # One text with many entities of its own.
+    rows += [(210, f"Wibblecombe {common} " + " ".join(f"n{i}@example.org" for i in range(300)))]
+    out = {r.doc_id: r for r in pii.personal_data(docs_of(spark, rows)).collect()}
+    for i, name in ((200, "Quuxley"), (201, "Frobnitz"), (202, "Frobnitz"), (210, "Wibblecombe")):
+        text = dict(rows)[i]
+        terms = {text[s.start : s.end] for s in out[i].found if s.kind == "term"}
+        assert name in terms and not terms & set(common.split())
+        assert name not in out[i].sanitised
+
+
 def test_weak_parts_only_where_they_complement_each_other(spark):
     far = " " + prose(3, 80) + " "
     rows = [
