@@ -6,8 +6,8 @@ values are the protected entities. A term discloses an entity by
 that entity, 0 if it says nothing about it. The score is shrunk by the chance that
 term and entity meet in as many texts without having to do with each other, so it
 holds for an entity in one text as for one in thousands. Co-occurrence is counted
-in whole texts without the mentions themselves, over distinct texts. How common a
-term is, is counted over all texts. Terms from the threshold on are spans of kind
+in whole texts without the mentions themselves. All counts are of distinct texts,
+so copies of a text count once. Terms from the threshold on are spans of kind
 `term` wherever they occur in a text, and the sanitised text holds `[TERM]` in
 their place.
 """
@@ -94,7 +94,7 @@ def _without(text: Column, found: Column) -> Column:
 def disclosing_terms(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`term` and its highest `disclosure`, from rows of `text` and `found` (base spans).
 
-    The threshold is above 0.
+    Rows of equal text count as one. The threshold is above 0.
     """
     texts = texts.select(F.xxhash64("text").alias("doc"), _without(F.col("text"), F.col("found")).alias("text"), "found")
     heard = texts.where(F.size("found") > 0)
@@ -118,10 +118,11 @@ def disclosing_terms(texts: DataFrame, threshold: float = THRESHOLD) -> DataFram
         .groupBy(*group, "term")
         .agg(F.count(F.lit(1)).alias("n_both"))
     )
-    n_all = F.greatest(F.lit(texts.count()), F.col("n_entity") + 1).cast("double")
+    copies = land(texts.groupBy("doc").agg(F.count(F.lit(1)).alias("copies")), f"{folder}/copies")
+    n_all = F.greatest(F.lit(copies.count()), F.col("n_entity") + 1).cast("double")
 
     def disclosure(n_term: Column) -> Column:
-        n_both = F.least(F.col("n_both"), n_term)
+        n_both = F.col("n_both")
         expected = n_term * F.col("n_entity") / n_all
         pmi = F.log(n_both / expected)
         # Chernoff's bound of the chance of as many common texts.
@@ -135,11 +136,13 @@ def disclosing_terms(texts: DataFrame, threshold: float = THRESHOLD) -> DataFram
         pairs.join(near, "term").where(disclosure(F.col("n_near")) >= threshold).drop("n_near"),
         f"{folder}/pairs",
     )
+    # The copies of a text share its count, so terms merge before the exchange without the texts.
+    share = 1 / F.coalesce(F.col("copies"), F.lit(1))
     common = (
-        texts.select(F.explode(_terms(F.col("text"))).alias("term"))
-        .join(sized(pairs.select("term").distinct()), "term", "left_semi")
+        texts.join(sized(copies.where("copies > 1")), "doc", "left")
+        .select(share.alias("share"), F.explode(_terms(F.col("text"))).alias("term"))
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_term"))
+        .agg(F.round(F.sum("share")).alias("n_term"))
     )
     return (
         pairs.join(common, "term")

@@ -227,6 +227,21 @@ def test_terms_of_entities_in_one_or_two_texts(spark):
         assert name not in out[i].sanitised
 
 
+def test_copies_of_a_text_do_not_change_its_terms(spark):
+    rows = [(i, prose(i, 30)) for i in range(60)]
+    held = [f"{prose(100 + i, 10)} Zyxwort {prose(200 + i, 10)} mail zed@example.org" for i in range(3)]
+    rows += [(100 + i, t) for i, t in enumerate(held)]
+
+    def terms(given):
+        docs = docs_of(spark, given).select("text", pii.base_spans(F.col("text")).alias("found"))
+        return {r.term: round(r.disclosure, 9) for r in pii.disclosing_terms(docs).collect()}
+
+    once = terms(rows)
+    assert "zyxwort" in once
+    assert terms(rows + [(1000 + i, held[0]) for i in range(500)]) == once
+    assert terms(rows + [(1000 + i, prose(0, 30)) for i in range(500)]) == once
+
+
 def test_weak_parts_only_where_they_complement_each_other(spark):
     far = " " + prose(3, 80) + " "
     rows = [
