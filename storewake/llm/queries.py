@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storewake.llm import (
+    conversation_repair,
     decontamination,
     exact_dedup,
     line_dedup,
+    lm_scoring,
     near_dedup,
     packing,
     pii,
+    prefix_trie,
     secrets,
     sharding,
     spans,
     toxicity,
     url_filter,
 )
-from storewake.llm.common import table
+from storewake.llm.common import land, table, work_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -179,3 +182,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans.listing(F.col("base")), 256).alias("base_sha256"),
         spans.listing(F.col("found")).alias("spans"),
     )
+
+
+@query()
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every whole text under a bigram model learnt from four fifths of them."""
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after planted damage."""
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.reports(rows, marker=F.col("gone"))
+
+
+@query()
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that share their first turns with the first of their hundred."""
+    numbered = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    turns = prefix_trie.rebuilt_turns(land(numbered, f"{work_folder(spark)}/turns"))
+    return prefix_trie.prefix_trie(turns).drop("node")
