@@ -5,18 +5,19 @@ steps of a geometric ladder (1, 2, 3, ... then times `LADDER`) that it reaches,
 the filter holds one membership for every (n-gram, step) up to that level. A
 reader probes the steps of an n-gram in turn until one is absent; the last one
 present stands for the count. Counts are never too low; each step too high needs
-a false positive of its own. Beside n-grams the filter holds, by the same rule,
-how often a history occurs and how many different words follow it.
+a false positive of its own.
 
-The model is absolute discounting, interpolated from single words up:
-p(w|h) = max(c(hw) - D, 0) / c(h) + D T(h) / c(h) p(w|shorter h), where a word on its
-own has (c + 0.5) / (N + 0.5 (V + 1)), and D comes from the numbers of n-grams seen
-once and twice. A history that was never seen leaves the shorter one's value.
+The model interpolates from single words up: p(w|h) = a c(hw) / c(h) + (1 - a) p(w|shorter h), where
+a word on its own has (c + 0.5) / (N + 0.5 (V + 1)). The weight a belongs to the level of
+c(h); it is the one under which the training texts are likeliest when each token is left out
+of the counts that judge it, found from a histogram over all training tokens. A
+history that was never seen leaves the shorter one's value.
 
-Bits and segments of the filter grow with the n-grams. A filter of at most
-`broadcast_bytes` goes to the workers; a larger one stays a table of segments, and
-the distinct probes of all texts travel to the segments instead. Both ways read the
-same bits.
+The filter lies in buckets of n-grams, whose number grows with the bytes of the training texts;
+every bucket has as many bits as its own n-grams need. One exchange brings the counts that
+tasks have packed to their buckets. A filter of at most `broadcast_bytes` goes to the
+workers; a larger one stays a table, and the distinct probes of all texts travel to the
+buckets instead. Both ways read the same bits.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+` with A-Z in lower case, and one end after each
 text (null is the empty text). They are compared by 64 bit hashes.
@@ -39,11 +40,14 @@ from storewake.llm.common import land, work_folder
 FOLDS = 5
 HELD_OUT_FOLD = 1
 ORDER = 2
-LADDER = 1.2
-BITS_PER_STEP = 12
-PROBES = 8
-SEGMENT_BITS = 1 << 24
+LADDER = 1.35
+BITS_PER_STEP = 10
+PROBES = 7
+#: Bytes of training text per bucket of the filter.
+BUCKET_BYTES = 16 << 20
 BROADCAST_BYTES = 128 << 20
+#: Distinct n-grams that a task holds before it hands its counts on.
+HELD_GRAMS = 1 << 21
 #: The most frequent words, whose exact counts go to every task: at most so many.
 HEAD_WORDS = 1 << 18
 #: Bytes of text that a task looks at in one go; longer texts are cut between words.
@@ -51,6 +55,8 @@ SLICE = (1 << 21) - (1 << 16)
 
 _U = np.uint64
 _MASK = (1 << 64) - 1
+#: Bins of the histogram that weights are fitted to: eighths of powers of two.
+_BINS = 512
 _NONE = np.zeros(0, np.int64)
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, *range(9, 14)]] = True
@@ -164,21 +170,23 @@ def token_slices(column: pa.Array, order: int) -> Iterator[Tokens]:
         low, done = high, ended
 
 
-def _keys(tokens: Tokens) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
-    """For every order the histories (none for single words) and the n-grams' keys."""
-    yield None, tokens.words
-    history = None
-    for n, earlier in enumerate(tokens.before):
-        history = _mixed(earlier + _U(n + 1)) if history is None else _joined(history, earlier)
-        yield history, _joined(history, tokens.words)
+def _gram(tokens: list[np.ndarray]) -> np.ndarray:
+    key = _mixed(tokens[0] + _U(1))
+    for token in tokens[1:]:
+        key = _joined(key, token)
+    return key
 
 
-def _count_key(history: np.ndarray) -> np.ndarray:
-    return _joined(history, _U(0x5851F42D4C957F2D))
-
-
-def _types_key(history: np.ndarray) -> np.ndarray:
-    return _joined(history, _U(0x14057B7EF767814F))
+def _keys(tokens: Tokens) -> Iterator[tuple[np.ndarray | None, np.ndarray | None, np.ndarray]]:
+    """For every order the keys of the histories (none for single words), which tokens have such a
+    history (all if none is given), and the n-grams' keys."""
+    words, before = tokens.words, tokens.before
+    yield None, None, words
+    if before:
+        yield np.where(before[0] == START, END, before[0]), None, _gram([before[0], words])
+    for k in range(1, len(before)):
+        far = before[k::-1]
+        yield _gram(far), before[k - 1] != START, _gram([*far, words])
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -191,28 +199,76 @@ def _unsigned(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def gram_counts(texts: DataFrame, order: int) -> DataFrame:
-    """`history` (0 for single words), `key` and `n` of all n-grams up to an order."""
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    all_keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+    order = np.argsort(all_keys, kind="stable")
+    all_keys, n = all_keys[order], np.concatenate([_NONE, *counts])[order]
+    starts = np.flatnonzero(np.concatenate([[True], all_keys[1:] != all_keys[:-1]])) if len(all_keys) else _NONE
+    return all_keys[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
+def _bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((_mixed(keys + _U(_STEP)) >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
+
+
+_PACKED = "bucket int, words binary, word_counts binary, grams binary, gram_counts binary"
+
+
+def packed_counts(texts: DataFrame, order: int, buckets: int) -> DataFrame:
+    """Counts of single words and of longer n-grams, per task and bucket that it meets one row of packed arrays."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            parts, present = [], set()
+            for keys, counts in (held[:2], held[2:]):
+                keys, counts = _summed(keys, counts)
+                at = _bucket_of(keys, buckets)
+                by_bucket = np.argsort(at, kind="stable")
+                parts.append((keys[by_bucket], counts[by_bucket], at[by_bucket]))
+                present.update(np.unique(at).tolist())
+            filled = np.array(sorted(present), np.int64)
+            columns: list[list] = []
+            for keys, counts, at in parts:
+                edges = np.stack([np.searchsorted(at, filled), np.searchsorted(at, filled, "right")], axis=1).tolist()
+                columns += [[x[a:b].tobytes() for a, b in edges] for x in (keys, counts)]
+            for some in held:
+                some.clear()
+            names = ["bucket", "words", "word_counts", "grams", "gram_counts"]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(filled.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], names=names
+            )
+
         for batch in batches:
             for tokens in token_slices(batch.column("text"), order):
-                for history, keys in _keys(tokens):
-                    found, at, n = np.unique(keys, return_index=True, return_counts=True)
-                    own = np.zeros(len(found), np.uint64) if history is None else history[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(own), _signed(found), pa.array(n, pa.int64())], names=["history", "key", "n"]
-                    )
-
-    partial = texts.mapInArrow(count, "history bigint, key bigint, n bigint")
-    return partial.groupBy("history", "key").agg(F.sum("n").alias("n"))
+                for history, some, keys in _keys(tokens):
+                    found, n = np.unique(keys if some is None else keys[some], return_counts=True)
+                    at = 0 if history is None else 2
+                    held[at].append(found)
+                    held[at + 1].append(n.astype(np.int64))
+                    size += len(found)
+                if size > HELD_GRAMS:
+                    for at in (0, 2):
+                        keys, n = _summed(held[at], held[at + 1])
+                        held[at], held[at + 1] = [keys], [n]
+                    size = len(held[0][0]) + len(held[2][0])
+                    if size > HELD_GRAMS:
+                        yield out()
+                        size = 0
+        if size:
+            yield out()
+
+    return texts.mapInArrow(count, _PACKED)
 
 
 @lru_cache(maxsize=4)
 def ladder(factor: float) -> np.ndarray:
     """The counts at which a new step begins."""
     steps = [1]
-    while steps[-1] < 1 << 62:
+    while steps[-1] < 1 << 61:
         steps.append(max(steps[-1] + 1, math.ceil(steps[-1] * factor)))
     return np.array(steps, np.int64)
 
@@ -221,70 +277,79 @@ def _levels(counts: np.ndarray, factor: float) -> np.ndarray:
     return np.searchsorted(ladder(factor), counts, "right")
 
 
-def _estimates(levels: np.ndarray, factor: float) -> np.ndarray:
-    """The middle of the counts that share a level; 0 at level 0."""
+@lru_cache(maxsize=4)
+def middles(factor: float) -> np.ndarray:
+    """The count that stands for each level: the middle of those that share it; 0 at level 0."""
     steps = ladder(factor).astype(float)
-    middle = np.concatenate([[0.0], (steps[:-1] + steps[1:] - 1) / 2, steps[-1:]])
-    return middle[levels]
-
-
-def _segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
-    return ((_mixed(keys + _U(_STEP)) >> _U(32)) * _U(segments)) >> _U(32)
+    return np.concatenate([[0.0], (steps[:-1] + steps[1:] - 1) / 2, steps[-1:]])
 
 
-def _bit_places(keys: np.ndarray, step: int) -> Iterator[np.ndarray]:
-    """Places within a segment that stand for one step of the keys, one array per probe."""
+def _bit_places(keys: np.ndarray, step: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
+    """Places among `bits` that stand for one step of the keys, one array per probe."""
     mixed = _mixed(keys + _U(step * _STEP & _MASK))
-    stride = (mixed >> _U(24)) | _U(1)
-    for n in range(PROBES):
-        yield (mixed + _U(n) * stride) & _U(SEGMENT_BITS - 1)
+    stride = _mixed(mixed) | _U(1)
+    for _ in range(PROBES):
+        yield ((mixed >> _U(32)) * bits) >> _U(32)
+        mixed = mixed + stride
 
 
-def _segment_bits(keys: np.ndarray, levels: np.ndarray) -> bytes:
-    bits = np.zeros(SEGMENT_BITS, bool)
+def _bucket_bits(keys: np.ndarray, levels: np.ndarray) -> bytes:
+    """A Bloom filter with room for all steps of all keys."""
+    size = max(64, -(-int(levels.sum()) * BITS_PER_STEP // 64) * 64)
+    bits = np.zeros(size, bool)
     for step in range(1, int(levels.max(initial=0)) + 1):
-        keys, levels = keys[levels >= step], levels[levels >= step]
-        for places in _bit_places(keys, step):
+        stay = levels >= step
+        keys, levels = keys[stay], levels[stay]
+        for places in _bit_places(keys, step, _U(size)):
             bits[places] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _probed(bits: np.ndarray, keys: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Levels of keys by repeated membership probes; `base` is the first bit of a key's segment."""
-    levels = np.zeros(len(keys), np.int64)
-    alive = np.arange(len(keys))
-    step = 0
-    while len(alive):
-        step += 1
-        here, start, at = keys[alive], base[alive], np.arange(len(alive))
-        for places in _bit_places(here, step):
-            places = places[at] + start[at]
-            at = at[(bits[places >> _U(3)] >> (places & _U(7)).astype(np.uint8)) & 1 == 1]
-            if not len(at):
-                break
-        alive = alive[at]
-        levels[alive] = step
-    return levels
+class Probe:
+    """Levels of keys by repeated membership probes, step by step until one is absent.
+
+    `bits` holds the buckets one after another; `edges` are their first bytes, and the end.
+    """
+
+    def __init__(self, bits: bytes, edges: np.ndarray):
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.starts = edges[:-1].astype(np.uint64) * _U(8)
+        self.sizes = np.diff(edges).astype(np.uint64) * _U(8)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        at_bucket = _bucket_of(keys, len(self.sizes))
+        start, size = self.starts[at_bucket], self.sizes[at_bucket]
+        levels = np.zeros(len(keys), np.int64)
+        alive = np.arange(len(keys))
+        step = 0
+        while len(alive):
+            step += 1
+            here, first = keys[alive], start[alive]
+            at = np.arange(len(alive))
+            for places in _bit_places(here, step, size[alive]):
+                places = places[at] + first[at]
+                at = at[(self.bits[places >> _U(3)] >> (places & _U(7)).astype(np.uint8)) & 1 == 1]
+                if not len(at):
+                    break
+            alive = alive[at]
+            levels[alive] = step
+        return levels
 
 
 @dataclass
 class Filter:
-    """The filter's segments as a table, and the sums that the model needs."""
+    """The buckets as a table (`bucket`, `bits`), exact counts of single words, and their sums."""
 
     table: DataFrame
-    segments: int
+    words: DataFrame
+    buckets: int
+    bytes: int
     order: int
     factor: float
     tokens: int
     vocabulary: int
-    discount: float
-    counts: DataFrame
     folder: str
 
-    @property
-    def bytes(self) -> int:
-        return self.segments * SEGMENT_BITS // 8
-
     @property
     def denominator(self) -> float:
         return self.tokens + 0.5 * (self.vocabulary + 1)
@@ -293,96 +358,133 @@ class Filter:
 def count_filter(texts: DataFrame, order: int = ORDER, factor: float = LADDER) -> Filter:
     """Count the n-grams of all `text` rows and write them into a filter."""
     folder = work_folder(texts.sparkSession)
-    counts = land(gram_counts(texts, order), f"{folder}/counts")
-    longer = F.col("history") != 0
-    sums = counts.agg(
-        F.sum(F.when(~longer, F.col("n"))).alias("tokens"),
-        F.count(F.when(~longer, 1)).alias("words"),
-        F.count(F.when(longer & (F.col("n") == 1), 1)).alias("once"),
-        F.count(F.when(longer & (F.col("n") == 2), 1)).alias("twice"),
-    ).first()
-    histories = land(
-        counts.where(longer).groupBy("history").agg(F.sum("n").alias("n"), F.count("*").alias("types")),
-        f"{folder}/histories",
-    )
-    steps = lambda column: F.coalesce(F.sum(F.floor(F.log(column) / math.log(factor)) + 1), F.lit(0))
-    total = (
-        counts.agg(steps(F.col("n"))).first()[0]
-        + histories.agg(steps(F.col("n"))).first()[0]
-        + histories.agg(steps(F.col("types"))).first()[0]
-    )
-    segments = max(1, -(-int(total) * BITS_PER_STEP // SEGMENT_BITS))
-
-    def rows(keys: np.ndarray, n: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(_segment_of(keys, segments).astype(np.int32)),
-                _signed(keys),
-                pa.array(_levels(n.to_numpy(zero_copy_only=False), factor).astype(np.int16)),
-            ],
-            names=["segment", "key", "level"],
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + size * (order - 1) // BUCKET_BYTES
+
+    def build(group: pa.Table) -> pa.Table:
+        made = []
+        for name, n in (("words", "word_counts"), ("grams", "gram_counts")):
+            keys = [np.frombuffer(x, np.uint64) for x in group.column(name).to_pylist()]
+            made.append(_summed(keys, [np.frombuffer(x, np.int64) for x in group.column(n).to_pylist()]))
+        (words, word_counts), (grams, gram_counts) = made
+        levels = np.concatenate([_levels(word_counts, factor), _levels(gram_counts, factor)])
+        bits = _bucket_bits(np.concatenate([words, grams]), levels)
+        return pa.table(
+            {
+                "bucket": group.column("bucket").slice(0, 1),
+                "bits": pa.array([bits], pa.binary()),
+                "words": pa.array([words.tobytes()], pa.binary()),
+                "word_counts": pa.array([word_counts.tobytes()], pa.binary()),
+            }
         )
 
-    def place_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield rows(_unsigned(batch.column("key")), batch.column("n"))
+            for words, n in zip(batch.column("words").to_pylist(), batch.column("word_counts").to_pylist(), strict=True):
+                keys, counts = np.frombuffer(words, np.int64), np.frombuffer(n, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
-    def place_histories(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = _unsigned(batch.column("history"))
-            yield rows(_count_key(own), batch.column("n"))
-            yield rows(_types_key(own), batch.column("types"))
-
-    def write_bits(group: pa.Table) -> pa.Table:
-        bits = _segment_bits(
-            _unsigned(group.column("key")), group.column("level").combine_chunks().to_numpy(zero_copy_only=False)
-        )
-        return pa.table(
-            {"segment": group.column("segment").slice(0, 1), "bits": pa.array([bits], pa.binary())}
-        )
-
-    placed = "segment int, key bigint, level smallint"
-    entries = counts.select("key", "n").mapInArrow(place_grams, placed).unionByName(
-        histories.mapInArrow(place_histories, placed)
-    )
     table = land(
-        entries.groupBy("segment").applyInArrow(write_bits, "segment int, bits binary"), f"{folder}/segments"
+        packed_counts(texts, order, buckets)
+        .groupBy("bucket")
+        .applyInArrow(build, "bucket int, bits binary, words binary, word_counts binary"),
+        f"{folder}/filter",
     )
-    once, twice = sums.once, sums.twice
+    words = land(
+        table.select("words", "word_counts").mapInArrow(unpack, "key bigint, n bigint"), f"{folder}/words"
+    )
+    sums = words.agg(F.sum("n").alias("tokens"), F.count("*").alias("words")).first()
+    bytes_ = table.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     return Filter(
-        table,
-        segments,
-        order,
-        factor,
-        sums.tokens or 0,
-        sums.words,
-        once / (once + 2 * twice) if once else 0.0,
-        counts.where(~longer).select("key", "n"),
-        folder,
+        table.select("bucket", "bits"), words, buckets, bytes_, order, factor, sums.tokens or 0, sums.words, folder
     )
 
 
-def _logs(tokens: Tokens, estimate, model: dict) -> np.ndarray:
-    """log10 of every token's probability; `estimate` gives the counts of an array of keys."""
-    p = None
-    for history, keys in _keys(tokens):
+def collected(made: Filter) -> tuple[bytes, np.ndarray]:
+    """All bits, and where the buckets begin: what `Probe` takes. Of checked size."""
+    found: dict[int, bytes] = {r.bucket: r.bits for r in made.table.toLocalIterator()}
+    empty = bytes(8)
+    parts = [found.get(b, empty) for b in range(made.buckets)]
+    return b"".join(parts), np.cumsum([0, *map(len, parts)])
+
+
+def _ratios(seen: np.ndarray, total: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Bins of how much likelier the history makes a token than the shorter one does, the token itself left out."""
+    share = np.maximum(np.minimum(seen, total) - 1, 0) / np.maximum(total - 1, 1)
+    with np.errstate(divide="ignore"):
+        return np.clip(np.floor(np.log2(share / shorter) * 8) + _BINS // 2, 0, _BINS - 1).astype(np.int64)
+
+
+def fitted_weights(histogram: np.ndarray) -> np.ndarray:
+    """Per level the weight a that makes sum(n log(1 - a + a r)) largest; bin 0 has r = 0."""
+    r = 2.0 ** ((np.arange(_BINS) - _BINS // 2 + 0.5) / 8)
+    r[0] = 0.0
+    low, high = np.zeros(len(histogram)), np.full(len(histogram), 0.999)
+    for _ in range(40):
+        a = (low + high) / 2
+        slope = (histogram * (r - 1) / (1 - a[:, None] + a[:, None] * r)).sum(1)
+        low, high = np.where(slope > 0, a, low), np.where(slope > 0, high, a)
+    return low
+
+
+class _Scorer:
+    """Probabilities of the tokens of slices, by probes."""
+
+    def __init__(self, probe: Probe, factor: float, denominator: float, weights: list[np.ndarray]):
+        self.probe, self.denominator, self.weights = probe, denominator, weights
+        self.middle = middles(factor)
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(keys, return_inverse=True)
-        seen = estimate(distinct)[back]
-        if history is None:
-            p = (seen + 0.5) / model["denominator"]
-            continue
-        known, where = np.unique(history, return_inverse=True)
-        total, types = estimate(_count_key(known))[where], estimate(_types_key(known))[where]
-        p = _interpolated(np, seen, total, types, p, model["discount"])
-    return np.log10(p)
+        return self.probe.levels(distinct)[back]
+
+    def probabilities(self, tokens: Tokens, meet=None) -> np.ndarray:
+        """`meet` is called with order, levels of the histories, and bins of `_ratios`."""
+        p = None
+        for k, (history, some, keys) in enumerate(_keys(tokens)):
+            if history is None:
+                p = (self.middle[self._levels(keys)] + 0.5) / self.denominator
+                continue
+            chosen = slice(None) if some is None else some
+            level = self._levels(history[chosen])
+            seen, total, shorter = self.middle[self._levels(keys[chosen])], self.middle[level], p[chosen]
+            if meet is not None:
+                meet(k - 1, level, _ratios(seen, total, shorter))
+            if k - 1 < len(self.weights):
+                a = np.where(total > 0, self.weights[k - 1][level], 0.0)
+                p[chosen] = a * np.minimum(seen, total) / np.maximum(total, 1) + (1 - a) * shorter
+        return p
+
+
+def _histogram(texts: DataFrame, made: Filter, shipped, weights: list[np.ndarray]) -> np.ndarray:
+    """For the next order, levels by bins: numbers of training tokens."""
+    order, factor, denominator, at = len(weights) + 2, made.factor, made.denominator, len(weights)
+    levels = len(middles(factor))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(Probe(*shipped.value), factor, denominator, weights)
+        sums = np.zeros(levels * _BINS, np.int64)
+
+        def meet(k: int, level: np.ndarray, bins: np.ndarray) -> None:
+            if k == at:
+                sums[:] += np.bincount(level * _BINS + bins, minlength=len(sums))
+
+        for batch in batches:
+            for tokens in token_slices(batch.column("text"), order):
+                scorer.probabilities(tokens, meet)
+        cells = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(sums[cells])], names=["cell", "n"])
 
+    cells = texts.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    return _as_histogram(cells, levels)
 
-def _interpolated(lib, seen, total, types, shorter, discount):
-    """One order up; `lib` is numpy, so arrays come and go."""
-    least = lib.maximum(total, 1.0)
-    gain = lib.maximum(lib.minimum(seen, total) - discount, 0.0) / least
-    rest = lib.minimum(discount * lib.minimum(types, total) / least, 1.0)
-    return lib.where(total > 0, gain + rest * shorter, shorter)
+
+def _as_histogram(cells: DataFrame, levels: int) -> np.ndarray:
+    """`cell` and `n` as an array; there are at most levels times bins of them."""
+    out = np.zeros(levels * _BINS)
+    for r in cells.collect():
+        out[r.cell] = r.n
+    return out.reshape(levels, _BINS)
 
 
 def _head(counts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -418,24 +520,16 @@ _SUMS = (
 )
 
 
-def _first_pass(docs: DataFrame, made: Filter, bits: bytes | None, head_words: int) -> DataFrame:
+def _first_pass(docs: DataFrame, made: Filter, shipped, weights: list[np.ndarray], head_words: int) -> DataFrame:
     """Per row the sums over frequent words, the rare words with their numbers, and, where
     the filter is at hand, the model's score."""
-    spark = docs.sparkSession
     schema = _SUMS.format(id=docs.schema["id"].dataType.simpleString())
-    head = spark.sparkContext.broadcast(_head(made.counts, head_words))
-    shipped = spark.sparkContext.broadcast(bits)
-    order, segments, factor, denominator = made.order, made.segments, made.factor, made.denominator
-    model = {"denominator": denominator, "discount": made.discount}
+    head = docs.sparkSession.sparkContext.broadcast(_head(made.words, head_words))
+    order, factor, denominator = made.order, made.factor, made.denominator
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = head.value
-        filled = None if shipped.value is None else np.frombuffer(shipped.value, np.uint8)
-
-        def estimate(wanted: np.ndarray) -> np.ndarray:
-            base = _segment_of(wanted, segments) * _U(SEGMENT_BITS)
-            return _estimates(_probed(filled, wanted, base), factor)
-
+        scorer = None if shipped is None else _Scorer(Probe(*shipped.value), factor, denominator, weights)
         for batch in batches:
             size = batch.num_rows
             total, known = np.zeros(size), np.zeros(size)
@@ -451,8 +545,8 @@ def _first_pass(docs: DataFrame, made: Filter, bits: bytes | None, head_words: i
                 base_sum += np.bincount(texts[hit], weights=logs, minlength=size)
                 for found, made_of in zip((owners, rare, times), _pairs(texts[~hit], words[~hit]), strict=True):
                     found.append(made_of)
-                if filled is not None:
-                    found = _logs(tokens, estimate, model)
+                if scorer is not None:
+                    found = np.log10(scorer.probabilities(tokens))
                     model_sum += np.bincount(texts, weights=found, minlength=size)
             starts = np.searchsorted(np.concatenate([_NONE, *owners]), np.arange(size + 1))
             offsets = pa.array(starts.astype(np.int32))
@@ -474,63 +568,95 @@ def _first_pass(docs: DataFrame, made: Filter, bits: bytes | None, head_words: i
     return docs.mapInArrow(score, schema)
 
 
-def _scores_by_segment(docs: DataFrame, made: Filter) -> DataFrame:
-    """`row` and `score` without sending the filter round: distinct probes meet the segments."""
-    order, segments, factor = made.order, made.segments, made.factor
-    longer = [f"{name}{k}" for k in range(2, order + 1) for name in ("gram", "total", "types")]
-    names = ["word", *longer]
+def _levels_by_bucket(keys: DataFrame, made: Filter) -> DataFrame:
+    """`key` and `level` of distinct keys, which meet their buckets by an exchange."""
+    buckets = made.buckets
+
+    def with_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bucket_of(_unsigned(batch.column("key")), buckets)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(at.astype(np.int32))], names=["key", "bucket"]
+            )
+
+    def answer(wanted: pa.Table, bucket: pa.Table) -> pa.Table:
+        keys = _unsigned(wanted.column("key")) if wanted.num_rows else np.zeros(0, np.uint64)
+        found = np.zeros(len(keys), np.int64)
+        if bucket.num_rows and len(keys):
+            bits, at = bucket.column("bits")[0].as_py(), int(wanted.column("bucket")[0].as_py())
+            edges = np.zeros(buckets + 1, np.int64)
+            edges[at + 1 :] = len(bits)
+            found = Probe(bits, edges).levels(keys)
+        return pa.table({"key": _signed(keys), "level": pa.array(found)})
+
+    placed = keys.mapInArrow(with_bucket, "key bigint, bucket int")
+    return placed.groupBy("bucket").cogroup(made.table.groupBy("bucket")).applyInArrow(answer, "key bigint, level bigint")
+
+
+def _scores_by_bucket(docs: DataFrame, made: Filter) -> DataFrame:
+    """`row` and `score` without sending the filter round.
+
+    The longest n-gram at a token determines the shorter ones, so probabilities are made once
+    per distinct longest n-gram and joined to the rows.
+    """
+    order, middle = made.order, middles(made.factor)
+    names = ["word", *[f"{name}{k}" for k in range(2, order + 1) for name in ("history", "gram")]]
+
+    def columns_of(tokens: Tokens) -> list[np.ndarray]:
+        out = []
+        for history, some, keys in _keys(tokens):
+            if history is None:
+                out.append(keys)
+            else:
+                # A token without such a history asks for one that no text has.
+                out += [history if some is None else np.where(some, history, START), keys]
+        return out
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taught = ~np.array(batch.column("held_out").to_pylist(), bool)
+            for tokens in token_slices(batch.column("text"), order):
+                columns = columns_of(tokens)
+                top, at, back = np.unique(columns[-1], return_index=True, return_inverse=True)
+                n = np.bincount(back, weights=taught[tokens.texts], minlength=len(top)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(_signed(c[at]) for c in columns), pa.array(n)], names=[*names, "n"])
+
+    def emit_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column("row").to_numpy(zero_copy_only=False)
             for tokens in token_slices(batch.column("text"), order):
-                columns = []
-                for history, keys in _keys(tokens):
-                    columns += [keys] if history is None else [keys, _count_key(history), _types_key(history)]
+                texts, top, times = _pairs(tokens.texts, columns_of(tokens)[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[tokens.texts]), *map(_signed, columns)], names=["row", *names]
+                    [pa.array(rows[texts]), pa.array(top), pa.array(times)], names=["row", "top", "times"]
                 )
 
-    schema = "row bigint, " + ", ".join(f"{c} bigint" for c in names)
-    tokens = docs.select("row", "text").mapInArrow(emit, schema)
-    tokens = tokens.groupBy("row", *names).agg(F.count("*").alias("times"))
-    tokens = land(tokens, f"{made.folder}/tokens")
-    probes = tokens.select(F.explode(F.array(*names)).alias("key")).distinct()
-
-    def with_segment(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = _segment_of(_unsigned(batch.column("key")), segments)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array(at.astype(np.int32))], names=["key", "segment"]
-            )
-
-    def answer(wanted: pa.Table, segment: pa.Table) -> pa.Table:
-        keys = _unsigned(wanted.column("key")) if wanted.num_rows else np.zeros(0, np.uint64)
-        if segment.num_rows:
-            bits = np.frombuffer(segment.column("bits")[0].as_py(), np.uint8)
-            found = _probed(bits, keys, np.zeros(len(keys), np.uint64))
-        else:
-            found = np.zeros(len(keys), np.int64)
-        return pa.table({"key": _signed(keys), "count": pa.array(_estimates(found, factor))})
-
-    placed = probes.mapInArrow(with_segment, "key bigint, segment int")
-    answers = land(
-        placed.groupBy("segment")
-        .cogroup(made.table.groupBy("segment"))
-        .applyInArrow(answer, "key bigint, count double"),
-        f"{made.folder}/answers",
-    )
+    grams = docs.mapInArrow(emit, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+    grams = land(grams.groupBy(*names).agg(F.sum("n").alias("n")), f"{made.folder}/grams")
+    probes = grams.select(F.explode(F.array(*names)).alias("key")).distinct()
+    answers = land(_levels_by_bucket(probes, made), f"{made.folder}/answers")
     for name in names:
-        tokens = tokens.join(answers.select(F.col("key").alias(name), F.col("count").alias(f"n_{name}")), name)
-    p = (F.col("n_word") + 0.5) / F.lit(made.denominator)
-    discount = F.lit(made.discount)
+        grams = grams.join(answers.select(F.col("key").alias(name), F.col("level").alias(f"l_{name}")), name)
+    grams = land(grams.select(F.col(names[-1]).alias("top"), "n", *[f"l_{n}" for n in names]), f"{made.folder}/levels")
+    count = F.array(*[F.lit(float(m)) for m in middle])
+    by_level = lambda values, name: F.element_at(values, F.col(f"l_{name}").cast("int") + 1)
+    p = (by_level(count, "word") + 0.5) / F.lit(made.denominator)
     for k in range(2, order + 1):
-        seen, total, types = (F.col(f"n_{name}{k}") for name in ("gram", "total", "types"))
-        least = F.greatest(total, F.lit(1.0))
-        gain = F.greatest(F.least(seen, total) - discount, F.lit(0.0)) / least
-        rest = F.least(discount * F.least(types, total) / least, F.lit(1.0))
-        p = F.when(total > 0, gain + rest * p).otherwise(p)
-    return tokens.groupBy("row").agg(F.sum(F.col("times") * F.log10(p)).alias("score"))
+        total = by_level(count, f"history{k}")
+        seen = F.least(by_level(count, f"gram{k}"), total)
+        share = F.greatest(seen - 1, F.lit(0.0)) / F.greatest(total - 1, F.lit(1.0))
+        bin_ = F.floor(F.log2(share / p) * 8) + _BINS // 2
+        bin_ = F.when(share > 0, F.greatest(F.lit(0), F.least(F.lit(_BINS - 1), bin_))).otherwise(F.lit(0))
+        known = F.lit(True) if k == 2 else F.col(f"l_history{k}") > 0
+        cells = grams.where((F.col("n") > 0) & known).groupBy(
+            (F.col(f"l_history{k}") * _BINS + bin_).alias("cell")
+        )
+        histogram = _as_histogram(cells.agg(F.sum("n").alias("n")), len(middle))
+        weights = fitted_weights(histogram)
+        a = F.when(total > 0, by_level(F.array(*[F.lit(float(w)) for w in weights]), f"history{k}")).otherwise(F.lit(0.0))
+        p = a * seen / F.greatest(total, F.lit(1.0)) + (1 - a) * p
+    logs = land(grams.select("top", F.log10(p).alias("log")), f"{made.folder}/logs")
+    rows = docs.mapInArrow(emit_rows, "row bigint, top bigint, times bigint").join(logs, "top")
+    return rows.groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("score"))
 
 
 def scored(
@@ -549,24 +675,24 @@ def scored(
     A null id belongs to the training rows. Equal rows get equal results. Without
     training rows every probability is 1 and both scores are 0. Other columns are not read.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    made = count_filter(source.where(~is_held_out(F.col("id"))).select("text"), order, factor)
+    taught = source.where(~is_held_out(F.col("id"))).select("text")
+    made = count_filter(taught, order, factor)
     rows = source.select(
         F.monotonically_increasing_id().alias("row"), "id", is_held_out(F.col("id")).alias("held_out"), "text"
     )
-    bits = None
+    shipped, weights = None, []
     if made.bytes > broadcast_bytes:
         rows = land(rows, f"{made.folder}/rows")
     else:
-        whole, size = bytearray(made.bytes), SEGMENT_BITS // 8
-        for r in made.table.toLocalIterator():
-            whole[r.segment * size : (r.segment + 1) * size] = r.bits
-        bits = bytes(whole)
-    first = land(_first_pass(rows, made, bits, head_words), f"{made.folder}/sums")
+        shipped = context.broadcast(collected(made))
+        for _ in range(2, order + 1):
+            weights.append(fitted_weights(_histogram(taught, made, shipped, weights)))
+    first = land(_first_pass(rows, made, shipped, weights, head_words), f"{made.folder}/sums")
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     counted = rare.select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times")).join(
-        made.counts, "key", "left"
+        made.words, "key", "left"
     )
     c = F.coalesce(F.col("n"), F.lit(0))
     tail = counted.groupBy("row").agg(
@@ -574,8 +700,8 @@ def scored(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("tail_known"),
     )
     out = first.drop("rare", "times").join(tail, "row", "left")
-    if bits is None:
-        out = out.drop("score").join(_scores_by_segment(rows, made), "row", "left")
+    if shipped is None:
+        out = out.drop("score").join(_scores_by_bucket(rows, made), "row", "left")
     return out.select(
         F.col("id").alias(id_column),
         "held_out",
@@ -585,4 +711,3 @@ def scored(
         (F.col("base_score") + F.coalesce("tail", F.lit(0.0))).alias("base_score"),
         "score",
     )
-
