@@ -42,12 +42,12 @@ HELD_OUT_FOLD = 1
 ORDER = 2
 LADDER = 1.35
 BITS_PER_STEP = 10
-PROBES = 7
+PROBES = 4
 #: Bytes of training text per bucket of the filter.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 128 << 20
 #: Distinct n-grams that a task holds before it hands its counts on.
-HELD_GRAMS = 1 << 21
+HELD_GRAMS = 1 << 20
 #: The most frequent words, whose exact counts go to every task: at most so many.
 HEAD_WORDS = 1 << 18
 #: Bytes of text that a task looks at in one go; longer texts are cut between words.
@@ -108,7 +108,8 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     up, down = _powers(1 << max(21, (n - 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_LETTERS[data] * up[:n], out=sums[1:])
+    np.multiply(_LETTERS[data], up[:n], out=sums[1:])
+    np.cumsum(sums, out=sums)
     hashes = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
     return _mixed(hashes), np.searchsorted(offsets, starts, "right") - 1
 
@@ -284,13 +285,14 @@ def middles(factor: float) -> np.ndarray:
     return np.concatenate([[0.0], (steps[:-1] + steps[1:] - 1) / 2, steps[-1:]])
 
 
-def _bit_places(keys: np.ndarray, step: int, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Places among `bits` that stand for one step of the keys, one array per probe."""
+def _first_places(keys: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes for one step of the keys begin, and how far apart they are."""
     mixed = _mixed(keys + _U(step * _STEP & _MASK))
-    stride = _mixed(mixed) | _U(1)
-    for _ in range(PROBES):
-        yield ((mixed >> _U(32)) * bits) >> _U(32)
-        mixed = mixed + stride
+    return mixed, _mixed(mixed) | _U(1)
+
+
+def _place(mixed: np.ndarray, bits: np.ndarray | np.uint64) -> np.ndarray:
+    return ((mixed >> _U(32)) * bits) >> _U(32)
 
 
 def _bucket_bits(keys: np.ndarray, levels: np.ndarray) -> bytes:
@@ -300,8 +302,10 @@ def _bucket_bits(keys: np.ndarray, levels: np.ndarray) -> bytes:
     for step in range(1, int(levels.max(initial=0)) + 1):
         stay = levels >= step
         keys, levels = keys[stay], levels[stay]
-        for places in _bit_places(keys, step, _U(size)):
-            bits[places] = True
+        mixed, stride = _first_places(keys, step)
+        for _ in range(PROBES):
+            bits[_place(mixed, _U(size))] = True
+            mixed = mixed + stride
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -324,14 +328,16 @@ class Probe:
         step = 0
         while len(alive):
             step += 1
-            here, first = keys[alive], start[alive]
-            at = np.arange(len(alive))
-            for places in _bit_places(here, step, size[alive]):
-                places = places[at] + first[at]
-                at = at[(self.bits[places >> _U(3)] >> (places & _U(7)).astype(np.uint8)) & 1 == 1]
-                if not len(at):
-                    break
-            alive = alive[at]
+            mixed, stride = _first_places(keys, step)
+            for _ in range(PROBES):
+                places = _place(mixed, size) + start
+                there = (self.bits[places >> _U(3)] >> (places & _U(7)).astype(np.uint8)) & 1 == 1
+                left = np.flatnonzero(there)
+                if len(left) < len(there):
+                    alive, keys, mixed, stride, start, size = (
+                        x.take(left) for x in (alive, keys, mixed, stride, start, size)
+                    )
+                mixed = mixed + stride
             levels[alive] = step
         return levels
 
@@ -434,25 +440,34 @@ class _Scorer:
         self.probe, self.denominator, self.weights = probe, denominator, weights
         self.middle = middles(factor)
 
-    def _levels(self, keys: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(keys, return_inverse=True)
-        return self.probe.levels(distinct)[back]
-
     def probabilities(self, tokens: Tokens, meet=None) -> np.ndarray:
-        """`meet` is called with order, levels of the histories, and bins of `_ratios`."""
-        p = None
+        """`meet` is called with order, levels of the histories, and bins of `_ratios`.
+
+        A token's history is the n-gram, one order down, that ends just before it: its level is known already.
+        A text's first token has the end before it, which is as frequent as a start.
+        """
+        p = np.zeros(0)
+        earlier = None
+        if not len(tokens.words):
+            return p
         for k, (history, some, keys) in enumerate(_keys(tokens)):
             if history is None:
-                p = (self.middle[self._levels(keys)] + 0.5) / self.denominator
-                continue
-            chosen = slice(None) if some is None else some
-            level = self._levels(history[chosen])
-            seen, total, shorter = self.middle[self._levels(keys[chosen])], self.middle[level], p[chosen]
-            if meet is not None:
-                meet(k - 1, level, _ratios(seen, total, shorter))
-            if k - 1 < len(self.weights):
-                a = np.where(total > 0, self.weights[k - 1][level], 0.0)
-                p[chosen] = a * np.minimum(seen, total) / np.maximum(total, 1) + (1 - a) * shorter
+                distinct, back = np.unique(keys, return_inverse=True)
+                levels = self.probe.levels(distinct)[back]
+                p = (self.middle[levels] + 0.5) / self.denominator
+            else:
+                chosen = slice(None) if some is None else some
+                before = np.concatenate([self.probe.levels(history[:1]), earlier[:-1]])[chosen]
+                levels = np.zeros(len(keys), np.int64)
+                distinct, back = np.unique(keys[chosen], return_inverse=True)
+                levels[chosen] = self.probe.levels(distinct)[back]
+                seen, total, shorter = self.middle[levels[chosen]], self.middle[before], p[chosen]
+                if meet is not None:
+                    meet(k - 1, before, _ratios(seen, total, shorter))
+                if k - 1 < len(self.weights):
+                    a = np.where(total > 0, self.weights[k - 1][before], 0.0)
+                    p[chosen] = a * np.minimum(seen, total) / np.maximum(total, 1) + (1 - a) * shorter
+            earlier = levels
         return p
 
 
@@ -690,6 +705,8 @@ def scored(
         for _ in range(2, order + 1):
             weights.append(fitted_weights(_histogram(taught, made, shipped, weights)))
     first = land(_first_pass(rows, made, shipped, weights, head_words), f"{made.folder}/sums")
+    if shipped is not None:
+        shipped.unpersist()
     rare = first.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x"))
     counted = rare.select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times")).join(
         made.words, "key", "left"
