@@ -9,7 +9,7 @@ from registry import pixel_sample, sample
 from registry.common import Catalog
 from registry.sample import view, with_views
 from storewake.operators import browser_state as bs
-from storewake.operators import envelope, pixel_settings
+from storewake.operators import buffers, envelope, pixel_settings
 from storewake.operators.joins import lookup_join
 from storewake.plans import pixel
 
@@ -405,3 +405,62 @@ def capture_batches(spark, sf_dir):
         joined, ["api_host", "api_key"], ["ts_us", "event_id"], hot_rows=2000, slice_rows=1000
     )
     return numbered.select("api_host", "api_key", "batch_no", "place", "event_id")
+
+
+# Time runs 400,000 times faster, so that buffers fill up and wait.
+_FAST = 400_000
+BUFFERED = (
+    "fx_buffered",
+    f"""
+select shop, client_id, event_id, at_us, row_number() over (partition by {{keys}} order by at_us nulls first, event_id) as place
+from (select r.*, case when event_id % 11 > 0 then ts_us // {_FAST} end as at_us from fx_rows r)""",
+)
+BUFFER_STARTS = (
+    "fx_buffer_starts",
+    """
+select {keys}, 1::bigint as place, at_us from fx_buffered where place = 1
+union all
+select {same}, min(m.place), arg_min(coalesce(m.at_us, -2305843009213693952), m.place) from fx_buffer_starts s join fx_buffered m
+  on {on} and m.place > s.place and m.place <= s.place + 10
+  and (m.place = s.place + 10 or coalesce(m.at_us, -2305843009213693952) >= coalesce(s.at_us, -2305843009213693952) + 100000)
+group by {same}, s.place""",
+)
+
+
+def _buffer_oracle(keys: str) -> str:
+    names = keys.split(", ")
+    parts = {
+        "keys": keys,
+        "same": ", ".join(f"s.{k}" for k in names),
+        "on": " and ".join(f"m.{k} is not distinct from s.{k}" for k in names),
+    }
+    views = [(name, text.format(**parts)) for name, text in (BUFFERED, BUFFER_STARTS)]
+    return _recursive(
+        with_views(
+            f"""
+select m.shop, m.client_id, m.event_id, m.place, count(*) - 1 as batch_no from fx_buffered m join fx_buffer_starts s
+  on {parts["on"]} and s.place <= m.place group by all
+""",
+            *STATE_VIEWS[:6],
+            *views,
+        )
+    )
+
+
+def _buffered(spark: SparkSession, sf_dir: str, keys: list[str], **limits: int) -> DataFrame:
+    rows = _all_rows(spark, sf_dir).where("is_event").select("shop", "client_id", "event_id", "ts_us")
+    at = F.when(F.col("event_id") % 11 > 0, F.floor(F.col("ts_us") / F.lit(_FAST)))
+    batches = buffers.timed_batches(rows.withColumn("at_us", at), keys, ["at_us", "event_id"], "at_us", **limits)
+    return batches.select("shop", "client_id", "event_id", "place", "batch_no")
+
+
+@query(_buffer_oracle("shop, client_id"))
+def timed_batches(spark, sf_dir):
+    """Every browser's buffer: ten events, or what comes within 100 ms of the first."""
+    return _buffered(spark, sf_dir, ["shop", "client_id"])
+
+
+@query(_buffer_oracle("shop"))
+def timed_batches_hot(spark, sf_dir):
+    """The same with one buffer per shop, of which one has a third of all events, numbered in slices."""
+    return _buffered(spark, sf_dir, ["shop"], hot_rows=200, slice_rows=100)

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry import pixel_sample, sample, server, state
+from registry import pixel, pixel_sample, sample, server, state
 from registry.common import Catalog
 from registry.sample import landed, with_views
 from storewake.operators import browser_state as bs
-from storewake.operators import envelope
-from storewake.session import shared_folder
+from storewake.operators import envelope, page_context, pixel_settings
+from storewake.session import cut_lineage, shared_folder
 from storewake.sources import browser
-from storewake.streaming import server_stream, session_stream, sink
+from storewake.streaming import browser_stream, server_stream, session_stream, sink
 
 catalog = Catalog()
 query = catalog.query
@@ -218,6 +220,20 @@ def heartbeat(rows: DataFrame) -> DataFrame:
     )
 
 
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs."""
+    before = spark.conf.get(session_stream.STATE_STORE, None)
+    spark.conf.set(session_stream.STATE_STORE, session_stream.ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(session_stream.STATE_STORE)
+        else:
+            spark.conf.set(session_stream.STATE_STORE, before)
+
+
 @query(
     state._recursive(
         with_views(
@@ -235,16 +251,165 @@ from fx_window s join fx_identity i on i.event_id = s.event_id and i.is_event
 def stream_sessions(spark, sf_dir):
     """Identity, epochs and sessions as keyed state; equals the batch answer."""
     frame = landed(spark, sf_dir, "browser_rows", _browser_rows, heartbeat)
-    before = spark.conf.get(session_stream.STATE_STORE, None)
-    spark.conf.set(session_stream.STATE_STORE, session_stream.ROCKS)
-    try:
+    with rocks(spark):
         states = session_stream.stream_browser_state(_stream(spark, frame, 2), lateness="30 days")
         out = _run(states, "sessions", partition_by=None)
-    finally:
-        if before is None:
-            spark.conf.unset(session_stream.STATE_STORE)
-        else:
-            spark.conf.set(session_stream.STATE_STORE, before)
-    return out.where("shop <> 'heartbeat'").select(
+    return out.where("shop <> 'heartbeat' and not late").select(
         "shop", "client_id", "event_id", "anonymous", "reset", "epoch", "session_us", "distinct_id", "window_id"
     )
+
+
+# Rows that arrive in pieces of time: a stream takes one piece per micro-batch.
+
+HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
+PIECES = 4
+
+
+def arriving(
+    spark: SparkSession, frame: DataFrame, arrival_us: Column, bounds: tuple[int, int], last: DataFrame | None = None
+) -> DataFrame:
+    """A stream over the rows in PIECES equal parts of the time between the bounds, then `last`."""
+    path = f"{shared_folder(spark)}/arrivals/{uuid.uuid4().hex}"
+    first, end = bounds
+    piece = F.floor((arrival_us - first) * PIECES / F.lit(end - first + 1))
+    placed = cut_lineage(frame.withColumn("_piece", F.greatest(F.lit(0), F.least(piece, F.lit(PIECES - 1)))))
+    for n in range(PIECES):
+        placed.where(F.col("_piece") == n).drop("_piece").coalesce(1).write.mode("append").parquet(path)
+    if last is not None:
+        last.select(*frame.columns).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _bounds(frame: DataFrame, column: str = "ts_us") -> tuple[int, int]:
+    return tuple(frame.agg(F.min(column), F.max(column)).first())
+
+
+def _pixel_streams(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events and page loads up to six hours out of order; a last event with its load follows 40 days later."""
+    events, loads = pixel_sample.pixel_events(spark, sf_dir), pixel_sample.page_loads(spark, sf_dir)
+    settings = pixel_settings.pixel_shops(sample.pixel_settings(spark, sf_dir))
+    bounds = _bounds(events)
+    later = F.lit(40 * DAY_US)
+    wanted = pixel_settings.subscribed_events(events, settings).select(*events.columns)
+    load = page_context.working_loads(loads).where("customer.email is not null")
+    pair = wanted.join(load.select(*browser_stream.LOAD_KEYS), list(browser_stream.LOAD_KEYS)).orderBy("event_id").limit(1)
+    beat = {"client_id": F.lit("heartbeat"), "page_load_id": F.lit("heartbeat")}
+    last_event = pair.withColumns(beat | {"ts_us": F.lit(bounds[1]) + later})
+    last_load = (
+        load.join(pair.select("shop", "page_load_id"), ["shop", "page_load_id"], "left_semi")
+        .withColumns(beat | {"loaded_us": F.lit(bounds[1]) + later})
+    )
+    jitter = F.pmod(F.col("event_id"), F.lit(7)) * HOUR_US
+    load_jitter = F.pmod(F.xxhash64("page_load_id"), F.lit(7)) * HOUR_US
+    return (
+        arriving(spark, events, F.col("ts_us") + jitter, bounds, last_event),
+        arriving(spark, loads, F.col("loaded_us") + load_jitter, bounds, last_load),
+    )
+
+
+_BODY = """api_key string, batch array<struct<event: string, timestamp: string, uuid: string, properties: struct<
+  shop: string, distinct_id: string, `$session_id`: string, `$window_id`: string, client_id: string,
+  `$current_url`: string, `$host`: string, totalQuantity: int>>>"""
+
+
+@query(
+    f"""
+select regexp_replace(api_host, '/$', '') || '/batch/' as url, api_key, shop, event, distinct_id, timestamp, uuid,
+  session_id, window_id, client_id, current_url, host, load_quantity from ({pixel.catalog.oracles["pixel_event_feed"]})
+"""
+)
+def stream_pixel_feed(spark, sf_dir):
+    """The browser pipeline as a stream, up to the bodies of its requests: the events of the batch table."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    events, loads = _pixel_streams(spark, sf_dir)
+    send = sink.request_writer(f"{folder}/out")
+    with rocks(spark):
+        stream = browser_stream.BrowserStream(
+            events, loads, sample.pixel_settings(spark, sf_dir), folder,
+            lateness="12 hours", page_life="3 days", state_lateness="9 days",
+        )
+        stream.start_join(availableNow=True).awaitTermination()
+        stream.start_events(
+            f"{folder}/out", lambda rows, n: send(envelope.enveloped(rows), n), 60, availableNow=True
+        ).awaitTermination()
+    body = F.from_json("request", _BODY)
+    sent = sink.read_sink(spark, f"{folder}/out").select("url", body.alias("r"))
+    sent = sent.select("url", "r.api_key", F.explode("r.batch").alias("e")).where("e.properties.client_id <> 'heartbeat'")
+    p = F.col("e.properties")
+    return sent.select(
+        "url", "api_key", p["shop"].alias("shop"), "e.event", p["distinct_id"].alias("distinct_id"), "e.timestamp", "e.uuid",
+        p["$session_id"].alias("session_id"), p["$window_id"].alias("window_id"), p["client_id"].alias("client_id"),
+        p["$current_url"].alias("current_url"), p["$host"].alias("host"), p["totalQuantity"].alias("load_quantity"),
+    )
+
+
+@query(pixel.catalog.oracles["orphan_events"])
+def stream_orphans(spark, sf_dir):
+    """Events whose page load did not come, known once the watermark has passed its time."""
+    events, loads = _pixel_streams(spark, sf_dir)
+    keyed = events.select(*browser_stream.LOAD_KEYS, "event_id", "ts_us")
+    with rocks(spark):
+        joined = browser_stream.join_page_loads(keyed, page_context.narrow_contexts(loads), "12 hours", "3 days")
+        out = _run(browser_stream.orphans(joined).drop("context"), "orphans", partition_by=None)
+    return out.select("shop", "event_id", "page_load_id")
+
+
+_LATE_DAYS = 6
+_ARRIVAL = f"ts_us + case when event_id % 23 = 5 then {_LATE_DAYS * DAY_US} else 0 end + greatest(event_id, 0) % 7 * {HOUR_US}"
+# A row is late if its minute ends before the watermark: the latest earlier piece less a day.
+LATE = (
+    "fx_late",
+    f"""
+select *, coalesce(((ts_us // 60000000) + 1) * 60000 <= seen_us // 1000 - {DAY_US // 1000}, false) as late from (
+  select l.*, (select max(e.ts_us) from fx_pieces e where e.piece < l.piece) as seen_us from fx_pieces l)""",
+)
+PIECED = (
+    "fx_pieces",
+    f"""
+select *, greatest(0, least({PIECES - 1},
+  floor((arrival_us - first_us) * {PIECES} / (end_us - first_us + 1))))::int as piece
+from (select *, {_ARRIVAL} as arrival_us, min(ts_us) over () as first_us, max(ts_us) over () as end_us from fx_line)""",
+)
+ACCEPTED = ("fx_accepted", "select * from fx_late where not late")
+
+
+@query(
+    with_views(
+        """
+select is_event, late, event_id, epoch, ts_us from (
+  select is_event, late, event_id, cast(null as bigint) as epoch, ts_us from fx_late where late
+  union all select is_event, late, event_id, epoch, ts_us from fx_epoch where is_event)
+""",
+        *state.STATE_VIEWS[:7],
+        PIECED,
+        LATE,
+        ACCEPTED,
+        *state._epoch_views("fx_accepted"),
+    )
+)
+def stream_late_rows(spark, sf_dir):
+    """Rows up to six days late: those behind the watermark come out aside, all others as if they had not been."""
+    frame = landed(spark, sf_dir, "browser_rows_plain", _browser_rows)
+    rows = arriving(spark, frame, F.expr(_ARRIVAL), _bounds(frame), heartbeat(frame))
+    with rocks(spark):
+        out = _run(session_stream.stream_browser_state(rows, lateness="1 day"), "late", partition_by=None)
+    return out.where("shop <> 'heartbeat'").select("is_event", "late", "event_id", "epoch", "ts_us")
+
+
+@query(catalog.oracles["stream_sessions"])
+def stream_warm_start(spark, sf_dir):
+    """The first half in batch, the second as a stream that starts from what the first left behind."""
+    frame = landed(spark, sf_dir, "browser_rows_plain", _browser_rows)
+    first, end = _bounds(frame)
+    middle = (first + end) // 2
+    before = frame.where(F.col("ts_us") <= middle)
+    after = arriving(spark, frame.where(F.col("ts_us") > middle), F.col("ts_us"), (middle + 1, end), heartbeat(frame))
+    with rocks(spark):
+        states = session_stream.stream_browser_state(after, "1 day", initial=bs.closing_state(before))
+        streamed = _run(states, "warm", partition_by=None)
+    columns = (
+        "shop", "client_id", "event_id", "anonymous", "reset", "epoch", "session_us", "distinct_id", "window_id",
+    )
+    old = bs.browser_state(before).select(*columns)
+    return old.unionByName(streamed.where("shop <> 'heartbeat' and not late").select(*columns))

@@ -213,7 +213,7 @@ def add_windows(t: Timeline) -> Timeline:
     return t
 
 
-def browser_state(
+def _stated(
     rows: DataFrame,
     idle_us: int = IDLE_US,
     length_us: int = LENGTH_US,
@@ -221,18 +221,64 @@ def browser_state(
     fold_rows: int = FOLD_ROWS,
     slice_rows: int | None = None,
 ) -> DataFrame:
-    """All state columns of the events; page load rows are left out of the result."""
     t = timeline(rows, hot_rows, slice_rows)
     for add in (add_epochs, add_identity):
         add(t)
     add_segments(t, idle_us)
     add_sessions(t, length_us, fold_rows)
     add_windows(t)
-    return t.result().where("is_event").drop(
+    return t.result()
+
+
+def browser_state(rows: DataFrame, **limits: int) -> DataFrame:
+    """All state columns of the events; page load rows are left out of the result.
+
+    `limits` are idle_us, length_us, hot_rows, fold_rows and slice_rows.
+    """
+    return _stated(rows, **limits).where("is_event").drop(
         "is_event", "first_row", "prev_event_us", "segment_us", "known_id"
     )
 
 
+def closing_state(rows: DataFrame, **limits: int) -> DataFrame:
+    """What every browser's rows leave behind: a stream of later rows can start from it.
+
+    One row per browser: email, epoch, epoch_us, was_anonymous, last_us, session_us, and
+    `tabs` with the window of every tab. Aggregates only, so hot browsers merge before the exchange; the tabs of one browser are taken to fit one row.
+    """
+    order = F.struct(*ORDER)
+    open_row = ~F.col("anonymous")
+    left = F.coalesce(
+        F.when(open_row & (F.col("post_email") != ""), F.col("post_email")),
+        F.when(open_row & (F.col("login_email") != ""), F.col("login_email")),
+    )
+    stated = cut_lineage(
+        _stated(rows, **limits).select(
+            *KEYS, "tab_id", *ORDER, "anonymous", "epoch", "session_us", "new_session", left.alias("left")
+        )
+    )
+    last_event = F.when(F.col("is_event"), order)
+    epochs = stated.groupBy(*KEYS, "epoch").agg(
+        F.max_by("left", F.when(F.col("left").isNotNull(), order)).alias("email"),
+        F.min("ts_us").alias("epoch_us"),
+        F.max_by("anonymous", last_event).alias("was_anonymous"),
+        F.max(_on_event(F.col("ts_us"))).alias("last_us"),
+        F.max_by("session_us", last_event).alias("session_us"),
+    )
+    last = F.max_by(F.struct("email", "epoch", "epoch_us", "was_anonymous", "last_us", "session_us"), F.col("epoch"))
+    browsers = epochs.groupBy(*KEYS).agg(last.alias("s")).select(*KEYS, "s.*")
+    window = F.struct(F.col("ts_us").alias("window_us"), F.col("epoch").alias("window_epoch"))
+    tab = F.coalesce("tab_id", F.lit("")).alias("tab_id")
+    tabs = (
+        stated.where("is_event")
+        .groupBy(*KEYS, tab)
+        .agg(F.coalesce(F.max_by(window, F.when(F.col("new_session"), order)), F.min_by(window, order)).alias("w"))
+        .groupBy(*KEYS)
+        .agg(F.collect_list(F.struct("tab_id", "w.window_us", "w.window_epoch")).alias("tabs"))
+    )
+    return join_keys(browsers, tabs, KEYS, "left", null_safe=True)
+
+
 def identity_links(state: DataFrame) -> DataFrame:
     """(person before, email) pairs where an email differs from the current id.
 

@@ -45,6 +45,20 @@ def context_rows(events: DataFrame, loads: DataFrame, settings: DataFrame) -> Da
     return join_context(wanted, contexts_of(loads, shops))
 
 
+def login_rows(contexts: DataFrame, *more: str) -> DataFrame:
+    """The page loads that bring a login email, as rows of the timeline."""
+    return contexts.where(F.col("context.customer.email").isNotNull()).select(
+        "shop",
+        "client_id",
+        *more,
+        F.lit(-1).cast("long").alias("event_id"),
+        F.col("context.loaded_us").alias("ts_us"),
+        "anonymous",
+        F.lit(False).alias("is_event"),
+        F.col("context.customer.email").alias("login_email"),
+    )
+
+
 def state_rows(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     """Events and page loads on one timeline: a load can bring a login email.
 
@@ -55,16 +69,7 @@ def state_rows(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     stated = rows.withColumns(
         {"is_event": F.lit(True), "login_email": none, "post_email": post}
     )
-    logins = contexts.where(F.col("context.customer.email").isNotNull()).select(
-        "shop",
-        "client_id",
-        "page_load_id",
-        F.lit(-1).cast("long").alias("event_id"),
-        F.col("context.loaded_us").alias("ts_us"),
-        "anonymous",
-        F.lit(False).alias("is_event"),
-        F.col("context.customer.email").alias("login_email"),
-    )
+    logins = login_rows(contexts, "page_load_id")
     return stated.unionByName(logins, allowMissingColumns=True)
 
 

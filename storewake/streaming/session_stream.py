@@ -6,6 +6,13 @@ folded in time order, so that a row that arrives late, but within the watermark,
 cannot change what was already sent; a minute's timer reads that minute's rows
 only. With a retention, a browser that is silent for so long is forgotten: its
 next row starts like a new browser's.
+
+Spark would drop rows behind the watermark without a trace. Here the processor
+sees them: a row whose minute has already been folded, or that has no time, comes out
+at once with `late` set and changes nothing, so accepted and late rows are the input.
+
+The state can start from a batch: `operators.browser_state.closing_state` of what came
+before is handed in as the initial state.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import (
@@ -50,6 +57,7 @@ MINUTE = _struct(at_ms=LongType())
 WAITING = _struct(rows=ArrayType(ROW))
 TAB = _struct(tab_id=StringType())
 WINDOW = _struct(window_us=LongType(), window_epoch=LongType())
+_NO_STATE = (None, 0, None, None, None, None)
 STATE = _struct(
     email=StringType(),
     epoch=LongType(),
@@ -73,6 +81,8 @@ OUT = _struct(
     tab_id=StringType(),
     window_us=LongType(),
     window_epoch=LongType(),
+    is_event=BooleanType(),
+    late=BooleanType(),
 )
 _MINUTE_MS = 60_000
 
@@ -108,7 +118,7 @@ def _rows_of(part: pd.DataFrame) -> list[tuple]:
         column = part[field.name]
         column = column.astype(object).where(column.notna(), None).tolist()
         cast = {LongType: int, BooleanType: bool}.get(type(field.dataType))
-        columns.append([cast(v) for v in column] if cast else column)
+        columns.append([None if v is None else cast(v) for v in column] if cast else column)
     return list(zip(*columns, strict=True))
 
 
@@ -126,16 +136,34 @@ class BrowserProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         by_minute: dict[int, list[tuple]] = {}
+        late, folded_ms = [], timerValues.getCurrentWatermarkInMs()
         for part in rows:
             for row in _rows_of(part):
-                by_minute.setdefault((row[1] // 1000 // _MINUTE_MS + 1) * _MINUTE_MS, []).append(row)
+                at_ms = None if row[1] is None else (row[1] // 1000 // _MINUTE_MS + 1) * _MINUTE_MS
+                if at_ms is None or at_ms <= folded_ms:
+                    late.append((*key, *row[:2], row[3], *[None] * 6, row[6], None, None, row[2], True))
+                else:
+                    by_minute.setdefault(at_ms, []).append(row)
         for at_ms, new in by_minute.items():
             if self._waiting.containsKey((at_ms,)):
                 new = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]] + new
             else:
                 self._handle.registerTimer(at_ms)
             self._waiting.updateValue((at_ms,), (new,))
-        yield pd.DataFrame()
+        yield pd.DataFrame(late, columns=OUT.names)
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """One row of `closing_state`."""
+        (row,) = initialState.astype(object).where(initialState.notna(), None).to_dict("records")
+        whole = {n: None if row[n] is None else int(row[n]) for n in ("epoch", "epoch_us", "last_us", "session_us")}
+        anonymous = None if row["was_anonymous"] is None else bool(row["was_anonymous"])
+        self._state.update(
+            (row["email"], whole["epoch"] or 0, whole["epoch_us"], anonymous, whole["last_us"], whole["session_us"])
+        )
+        for tab in row["tabs"] if row["tabs"] is not None else ():
+            self._tabs.updateValue((tab["tab_id"],), (int(tab["window_us"]), int(tab["window_epoch"])))
+        if self._retention_us is not None and whole["last_us"] is not None:
+            self._handle.registerTimer((whole["last_us"] + self._retention_us) // 1000 + _MINUTE_MS)
 
     def _window(self, row: tuple, sent: tuple) -> tuple:
         """The window of the event's tab: a new one with its first event or a session it opens."""
@@ -162,11 +190,11 @@ class BrowserProcessor(StatefulProcessor):
             ready = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]]
             self._waiting.removeKey((at_ms,))
             self._forget(at_ms * 1000 - _MINUTE_MS * 1000)
-            state = tuple(self._state.get()) if self._state.exists() else (None, 0, None, None, None, None)
+            state = tuple(self._state.get()) if self._state.exists() else _NO_STATE
             for row in sorted(ready, key=lambda r: (r[1], r[2], r[0])):
                 state, out = _fold(state, row, self._idle_us, self._length_us)
                 if out is not None:
-                    sent.append((*key, *out, row[6], *self._window(row, out)))
+                    sent.append((*key, *out, row[6], *self._window(row, out), True, False))
             self._state.update(state)
             if self._retention_us is not None:
                 self._handle.registerTimer(at_ms + self._retention_us // 1000)
@@ -178,22 +206,36 @@ class BrowserProcessor(StatefulProcessor):
         pass
 
 
+def with_event_time(rows: DataFrame, lateness: str, ts_us: Column | None = None) -> DataFrame:
+    """Rows with `_at`, the time that the stream's watermark follows."""
+    micros = F.col("ts_us") if ts_us is None else ts_us
+    return rows.withColumn("_at", F.timestamp_micros(micros)).withWatermark("_at", lateness)
+
+
 def stream_browser_state(
     rows: DataFrame,
     lateness: str = "10 minutes",
     idle_us: int = IDLE_US,
     length_us: int = LENGTH_US,
     retention_us: int | None = None,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
-    """The columns of `browser_state` for a stream of the same rows.
+    """The columns of `browser_state` for a stream of the same rows, and `is_event` and `late`.
 
-    Needs the RocksDB state store (see STATE_STORE and ROCKS). Without a retention
+    Rows without an `_at` of `with_event_time` get one with the given lateness; a union of streams has
+    them already. Late rows have no state columns. `initial` has rows of
+    `closing_state`. Needs the RocksDB state store (see STATE_STORE and ROCKS). Without a retention
     the state of every browser is kept.
     """
-    timed = rows.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", lateness)
-    named = timed.withColumnsRenamed({"login_email": "login", "post_email": "post"})
+    timed = rows if "_at" in rows.columns else with_event_time(rows, lateness)
+    # Without its event time the processor is given late rows too.
+    named = timed.withColumnsRenamed({"login_email": "login", "post_email": "post"}).select(*KEYS, *ROW.names)
     state = named.groupBy(*KEYS).transformWithStateInPandas(
-        BrowserProcessor(idle_us, length_us, retention_us), outputStructType=OUT, outputMode="Append", timeMode="EventTime"
+        BrowserProcessor(idle_us, length_us, retention_us),
+        outputStructType=OUT,
+        outputMode="Append",
+        timeMode="EventTime",
+        initialState=None if initial is None else initial.groupBy(*KEYS),
     )
     who = (F.col("shop"), F.col("client_id"), F.col("epoch"))
     return state.select(
@@ -210,4 +252,6 @@ def stream_browser_state(
         time_key(F.col("window_us"), F.col("shop"), F.col("client_id"), F.col("tab_id"), F.col("window_epoch")).alias(
             "window_id"
         ),
+        "is_event",
+        "late",
     )
