@@ -141,14 +141,18 @@ def token_slices(column: pa.Array, order: int) -> Iterator[Tokens]:
     """All tokens of a column of texts, slice by slice, with the end of every text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    binary = column.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
-    _, places, buffer = binary.buffers()
-    offsets = np.frombuffer(places, np.int64)[binary.offset : binary.offset + len(binary) + 1]
+    if not len(column):
+        return
+    if column.null_count:
+        column = column.fill_null("")
+    _, places, buffer = column.buffers()
+    whole = np.frombuffer(places, np.int64 if pa.types.is_large_string(column.type) else np.int32)
+    offsets = whole[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(buffer, np.uint8) if buffer else np.zeros(0, np.uint8)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     carry = [START] * (order - 1)
     low = done = 0
-    while done < len(binary):
+    while done < len(column):
         high = _cut(data, offsets, low)
         hashes, texts = _word_hashes(data[low:high], np.clip(offsets, low, high) - low)
         ended = int(np.searchsorted(offsets[1:], high, "right"))

@@ -163,9 +163,9 @@ def test_counts_are_never_too_low(spark, monkeypatch, bucket_bytes):
     keys, n = np.array(list(found), np.uint64), np.array(list(found.values()))
     levels, exact = probe.levels(keys), lm_scoring._levels(n, made.factor)
     assert (levels >= exact).all()
-    assert (levels == exact).mean() > 0.98
+    assert (levels == exact).mean() > 0.95
     fresh = np.random.default_rng(1).integers(0, 1 << 62, 100_000).astype(np.uint64)
-    assert (probe.levels(fresh) > 0).mean() < 0.02
+    assert (probe.levels(fresh) > 0).mean() < (0.04 if bucket_bytes == 4000 else 0.02)
     assert made.bytes == len(probe.bits)
 
 
