@@ -5,7 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storewake.llm.common import land
+from storewake.llm.common import BROADCAST_ROWS, land
+
+#: Least number of neighbours of a centre whose smallest one goes to the neighbours.
+HOT_LINKS = 64
+
+
+def _with_least(links: DataFrame, n_links: int, path: str, hot_links: int = HOT_LINKS) -> DataFrame:
+    """Links with `m`, the smallest `v` of their `u`.
+
+    Of centres with very many links the smallest one is broadcast, so their links stay where they
+    are; at most BROADCAST_ROWS centres have so many. All others meet by shuffle.
+    """
+    least = land(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), path)
+    bound = max(hot_links, 2 * n_links // BROADCAST_ROWS)
+    hot = F.broadcast(least.where(F.col("n") > bound).drop("n"))
+    near = links.join(hot, "u")
+    rest = links.join(hot.drop("m"), "u", "left_anti").join(least.where(F.col("n") <= bound).drop("n"), "u")
+    return near.unionByName(rest)
 
 
 def components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame:
@@ -25,16 +42,15 @@ def components(edges: DataFrame, folder: str, max_rounds: int = 60) -> DataFrame
     state = _state(now)
     for i in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = (
-            both.join(smallest, "u")
+        large = land(
+            _with_least(both, state[0], f"{folder}/least{i}")
             .where("v > u")
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
+            .distinct(),
+            f"{folder}/large{i}",
         )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.join(least, "u")
+            _with_least(large, state[0], f"{folder}/smaller{i}")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v")
             .where("u <> v")

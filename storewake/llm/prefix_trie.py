@@ -349,9 +349,10 @@ def _with_parents(nodes: DataFrame, hot_children: int) -> DataFrame:
     hot = details.where(F.col("n_children") >= hot_children).drop("n_children")
     near = nodes.join(sized(hot), "parent", "left")
     cold = details.where(F.col("n_children") < hot_children).select("parent", F.col("parent_conv_id").alias("other"))
-    key = F.when(F.col("parent_conv_id").isNull(), F.col("parent"))
+    # Rows that have theirs keep a key of their own, so that they do not meet in one task.
+    known = F.col("parent_conv_id").isNotNull()
     return (
-        near.withColumn("cold_parent", key)
+        near.withColumn("cold_parent", F.when(known, F.col("node")).otherwise(F.col("parent")))
         .join(cold.withColumnRenamed("parent", "cold_parent"), "cold_parent", "left")
         .withColumn("parent_conv_id", F.coalesce("parent_conv_id", "other"))
         .drop("other", "cold_parent")

@@ -165,10 +165,7 @@ def found_secrets(
     rows = docs.select(F.col(id_column).alias("id"), text.alias("text")).withColumns(
         {"h": F.xxhash64("text"), "base": base_spans(F.col("text"))}
     )
-    weak = F.filter(
-        weak_spans(F.col("text")),
-        lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])),
-    )
+    weak = spans.disjoint(weak_spans(F.col("text")), F.col("base"))
     parts = land(
         rows.select("id", "h", F.concat("base", weak).alias("all"))
         .where(F.size("all") > 1)

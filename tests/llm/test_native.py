@@ -1,6 +1,7 @@
 """Exact dedup, sharding, personal data and secrets against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -320,3 +321,28 @@ def test_interval_join_equals_all_pairs(spark):
             if i == j and k in secrets.WEAK_KINDS and fits and apart and a2 < b + 100 and b2 > a - 100:
                 wanted.add((i, k, a, b))
     assert made == wanted
+
+
+def test_many_matches_in_one_text(spark):
+    """One log file as a document: work that grew with the square of the matches would not end."""
+    text = " ".join(f"10.{n % 250}.{n // 250}.7 token=abcdef{n}" for n in range(12_000))
+    (found,) = pii.personal_data(docs_of(spark, [(1, text)])).collect()
+    ips = [(m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+){3}", text)]
+    assert [(s.start, s.end) for s in found.base if s.kind == "ip"] == ips
+    assert re.sub(r"[0-9]+(\.[0-9]+){3}", "", text).count(" ") == found.sanitised.replace("[IP]", "").count(" ")
+    (kept,) = secrets.found_secrets(docs_of(spark, [(1, text)])).collect()
+    assert [(s.start, s.end) for s in kept.base] == [(m.start(), m.end()) for m in re.finditer(r"token=[a-z0-9]+", text)]
+    assert kept.redacted == re.sub(r"token=[a-z0-9]+", "[ASSIGN]", text)
+
+
+def test_disjoint_spans(spark):
+    r = random.Random(12)
+    for _ in range(5):
+        make = lambda rank, n: [
+            (f"k{rank}", s, s + r.randint(1, 30), "", rank) for s in (r.randrange(900) for _ in range(n))
+        ]
+        others, own = make(0, 40), make(4, 150)
+        frame = spark.createDataFrame([(own, others)], f"own {spans.SPAN}, others {spans.SPAN}")
+        (row,) = frame.select(spans.disjoint(F.col("own"), F.col("others")).alias("s")).collect()
+        wanted = sorted((s[1], s[2]) for s in own if not any(o[1] < s[2] and s[1] < o[2] for o in others))
+        assert sorted((s.start, s.end) for s in row.s) == wanted

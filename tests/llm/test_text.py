@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from storewake.llm import decontamination, near_dedup, packing, toxicity
 from storewake.llm.common import land, words, work_folder
-from storewake.llm.components import components
+from storewake.llm.components import _with_least, components
 from storewake.llm.queries import QUERIES
 
 LABELS = "doc_id bigint, quality int, toxic int, text string, lang string"
@@ -382,3 +382,16 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     finder = toxicity.Finder(model.language, model.evidence)
     fine = sorted(i for i, t in before if model.score(Counter(f for f, _ in finder.hits(t))) < 0.7)
     assert sorted(r.doc_id for r in after) == fine
+
+
+def test_neighbours_of_one_centre_stay_where_they_are(spark):
+    """A star and a chain: the centre's links are joined by broadcast, and all reach the smallest node."""
+    edges = [(0, n) for n in range(1, 5000)] + [(n, n + 1) for n in range(6000, 6100)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    out = {x.node: x.root for x in components(frame, work_folder(spark)).collect()}
+    assert out == {n: 0 for n in range(5000)} | {n: 6000 for n in range(6000, 6101)}
+    both = frame.unionByName(frame.selectExpr("v as u", "u as v")).repartition(8, "v")
+    joined = _with_least(both, len(edges), f"{work_folder(spark)}/least")
+    sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in sizes) == 2 * len(edges)
+    assert max(r["count"] for r in sizes) < len(edges) / 2
