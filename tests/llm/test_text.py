@@ -390,7 +390,7 @@ def test_neighbours_of_one_centre_stay_where_they_are(spark):
     frame = spark.createDataFrame(edges, "u long, v long")
     out = {x.node: x.root for x in components(frame, work_folder(spark)).collect()}
     assert out == {n: 0 for n in range(5000)} | {n: 6000 for n in range(6000, 6101)}
-    both = frame.unionByName(frame.selectExpr("v as u", "u as v")).repartition(8, "v")
+    both = frame.unionByName(frame.selectExpr("v as u", "u as v")).repartition(8)
     joined = _with_least(both, len(edges), f"{work_folder(spark)}/least")
     sizes = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
     assert sum(r["count"] for r in sizes) == 2 * len(edges)
