@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from storewake.llm.common import land, sized, work_folder
 
-TASK_ROWS = 1024
+TASK_ROWS = 256
 #: Children of one node above which its details go to them, and not they to it.
 HOT_CHILDREN = 2000
 #: An end list is put together from pieces of ids that differ in so many low bits only.
