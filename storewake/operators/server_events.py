@@ -8,7 +8,7 @@ kinds in one pass over the rows, with the properties as JSON text.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +57,11 @@ class Mapping:
         return F.to_json(self.properties) if self.sparse else object_text(self.properties)
 
 
+def only(condition: Column, mapping: Mapping) -> Mapping:
+    """The mapping for the rows that meet a condition."""
+    return replace(mapping, when=condition if mapping.when is None else condition & mapping.when)
+
+
 def typed_events(rows: DataFrame, mapping: Mapping) -> DataFrame:
     wanted = rows if mapping.when is None else rows.where(mapping.when)
     return wanted.select(
@@ -286,8 +291,11 @@ def with_refund_email(refunds: DataFrame) -> DataFrame:
 
     Placeholder texts are not refused here, unlike for orders.
     """
-    email = first_text(F.col("customer.email"), F.col("order.email"), F.col("email"))
-    return refunds.withColumn("distinct_id", ids.normal_email(email)).where(email.isNotNull())
+    return refunds.withColumn("distinct_id", refund_person_id()).where(F.col("distinct_id").isNotNull())
+
+
+def refund_person_id() -> Column:
+    return ids.normal_email(first_text(F.col("customer.email"), F.col("order.email"), F.col("email")))
 
 
 def order_refunded_mapping() -> Mapping:
@@ -345,8 +353,11 @@ def order_identify(orders: DataFrame, timestamp: str = "created_at") -> DataFram
 
 
 def with_customer_person(customers: DataFrame) -> DataFrame:
-    person = ids.person_id(F.col("email"), customer_id=F.col("id"))
-    return customers.withColumn("distinct_id", person).where(F.col("distinct_id").isNotNull())
+    return customers.withColumn("distinct_id", customer_person_id()).where(F.col("distinct_id").isNotNull())
+
+
+def customer_person_id() -> Column:
+    return ids.person_id(F.col("email"), customer_id=F.col("id"))
 
 
 def customer_identify_mapping() -> Mapping:

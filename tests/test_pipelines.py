@@ -1,15 +1,16 @@
 """Sources, redaction, sinks and plans."""
 
 import json
+from collections import Counter
 import tempfile
 
 from pyspark.sql import functions as F
 
-from registry import pixel_sample, sample, state
+from registry import pixel_sample, sample, state, streams
 from registry.streams import heartbeat
 from storewake.operators import browser_state as bs
 from storewake.operators import envelope, server_events, shops
-from storewake.plans import pixel
+from storewake.plans import pixel, server
 from storewake.sources import webhooks
 from storewake.streaming import session_stream, sink
 
@@ -168,3 +169,30 @@ def test_stream_folds_minute_by_minute_and_forgets(spark):
         if r.client_id in before and r.ts_us - before[r.client_id] > 602 * MINUTE:
             assert r.epoch == 0
         before[r.client_id] = r.ts_us
+
+
+def test_the_feed_is_read_and_parsed_once(spark, sf_dir):
+    landed = sample.landed(spark, sf_dir, "webhooks", streams._webhooks)
+    table = server.feed_events_table(sample.shops(spark, sf_dir), webhooks.feed(landed))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("payload") > 0
+    scans = [line for line in plan.splitlines() if "Relation" in line and "payload" in line]
+    assert len(scans) == 1
+    topics = {
+        "created": ["orders/create"], "updated": ["orders/updated"], "cancelled": ["orders/cancelled"],
+        "refunds": ["refunds/create"], "customers": ["customers/create", "customers/update"],
+    }
+    parts = {name: webhooks.payloads(landed, *some) for name, some in topics.items()}
+    apart = server.server_events_table(sample.shops(spark, sf_dir), **parts)
+    columns = ["shop", "event", "distinct_id", "timestamp", "uuid", "properties", "arrival_seq", "arrived_at"]
+    count = lambda frame: Counter(map(tuple, frame.select(*columns).collect()))
+    assert count(table) == count(apart)
+
+
+def test_broken_payloads_make_no_event(spark, sf_dir):
+    shop = sample.shops(spark, sf_dir).where("api_key <> '' and api_host <> '' and server_enabled").first().shop
+    bodies = ["broken", "5", "[]", None, "{", '[{"email":"a@x"}]', "{}", '{"id":"no number","email":"a@x.com"}']
+    rows = [(topic, shop, n, body) for topic in webhooks.TOPIC_SCHEMAS for n, body in enumerate(bodies)]
+    landed = spark.createDataFrame(rows, "topic string, shop string, arrival_seq long, payload string")
+    made = server.feed_events_table(sample.shops(spark, sf_dir), webhooks.feed(landed)).collect()
+    assert {r.arrival_seq for r in made} == {7}
