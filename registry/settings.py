@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from registry.common import Catalog
 from registry.sample import landed, run_sql, view, with_views
 from storewake.operators import settings_jobs as jobs
+from storewake.sources import settings as settings_source
 from storewake.sources import webhooks
 from storewake.sources.settings import SETTING_TYPES, theme_blocks, wide_settings
 
@@ -315,6 +316,46 @@ def any_block_enabled(spark, sf_dir):
     )
 
 
+# One file per theme: five ways that JSON5 may be written, three that it may not, and none.
+_BODIES = (
+    '// saved\n{"current": {"blocks": {"a": {"type": "%s"}}}}',
+    '{"current": /* a } , */ {"blocks": {"a": {"type": "%s", "note": "// no comment"}}}}',
+    "{current: {blocks: {'a,}': {type: 'x/%s', note: 'it\\'s, }'}}}}",
+    '{"current": {"blocks": {"a": {"type": "%s", "disabled": true,},"b": {"type": "other",},},},}',
+    '{"current": {"blocks": {"a": {"type": "%s"}, // last\n /* one */ }}}',
+    '{"current": {"blocks": {"a": {"type": "%s"}}',
+    "saved by %s",
+    '[{"current": "%s"}]',
+)
+
+
+def _written_themes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = F.array(*[F.lit(body % _EMBED) for body in _BODIES])
+    content = F.get(bodies, (F.col("n") % 9).cast("int"))
+    file = F.struct(F.lit("config/settings_data.json").alias("filename"), content.alias("content"))
+    return _flat(spark, sf_dir).select(
+        "shop", F.lit(0).alias("position"), F.lit("MAIN").alias("role"), F.array(file).alias("files")
+    )
+
+
+@query(
+    with_views(
+        """
+select shop, n % 9 in (5, 6, 7) as quarantined, n % 9 in (0, 1, 2, 4) as enabled from fx_fleet
+""",
+        _FLEET,
+    )
+)
+def theme_quarantine(spark, sf_dir):
+    """Themes in JSON5 of all kinds: which are read, and which are kept aside."""
+    themes = _written_themes(spark, sf_dir)
+    aside = settings_source.theme_quarantine(themes).select("shop", F.lit(True).alias("quarantined"))
+    status = jobs.embed_status(themes, _EMBED)
+    return status.join(aside, "shop", "left").select(
+        "shop", F.coalesce("quarantined", F.lit(False)).alias("quarantined"), "enabled"
+    )
+
+
 @query(
     with_views(
         """

@@ -42,10 +42,41 @@ def wide_settings(settings: DataFrame, stored_names: Mapping[str, str] | None =
     )
 
 
+# Texts, which stay, and what the reader does not know between tokens: comments, and commas before a bracket.
+_COMMENT = r"/\*(?s:.*?)\*/|//[^\n]*+"
+_TOKENS = (
+    r"""("(?:[^"\\]++|\\(?s:.))*+"|'(?:[^'\\]++|\\(?s:.))*+')|"""
+    rf"{_COMMENT}|,(?=(?:\s|{_COMMENT})*+[}}\]])"
+)
+_BROKEN = "_broken"
+
+
+def plain_json5(content: Column) -> Column:
+    """JSON5 text without comments and without commas that no value follows."""
+    return F.regexp_replace(content, _TOKENS, "$1")
+
+
+def is_readable(content: Column) -> Column:
+    """Whether a text is an object in JSON or JSON5; false for null."""
+    plain = plain_json5(content)
+    read = F.from_json(plain, f"current string, {_BROKEN} string", JSON5_OPTIONS | {"columnNameOfCorruptRecord": _BROKEN})
+    return F.coalesce(plain.rlike(r"^\s*\{") & read.isNotNull() & read[_BROKEN].isNull(), F.lit(False))
+
+
+def theme_quarantine(themes: DataFrame) -> DataFrame:
+    """The theme files whose content does not read as an object, one row per file, with their text.
+
+    Files without content are not there to be read and are left out.
+    """
+    files = themes.select("shop", "position", "role", F.posexplode("files").alias("file_no", "file"))
+    named = files.select("shop", "position", "role", "file_no", "file.filename", "file.content")
+    return named.where(F.col("content").isNotNull() & ~is_readable(F.col("content")))
+
+
 def theme_blocks(content: Column) -> Column:
     """The blocks of a theme's current settings; null when there are none.
 
     `current` may be a plain text, which has no blocks.
     """
-    current = F.from_json(content, "current string", JSON5_OPTIONS)["current"]
+    current = F.from_json(plain_json5(content), "current string", JSON5_OPTIONS)["current"]
     return F.from_json(current, f"blocks {BLOCKS}", JSON5_OPTIONS)["blocks"]
