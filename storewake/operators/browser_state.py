@@ -97,57 +97,35 @@ def _folded_starts(times: DataFrame, length_us: int) -> DataFrame:
         return F.when(late, F.concat(starts, F.array(time))).otherwise(starts)
 
     sorted_times = F.array_sort(F.collect_set("ts_us"))
-    return (
-        times.groupBy(*SEGMENT)
-        .agg(sorted_times.alias("times"))
-        .select(
-            *SEGMENT, F.aggregate("times", F.slice("times", 1, 1), step).alias("session_starts")
-        )
-    )
+    starts = F.aggregate("times", F.slice("times", 1, 1), step)
+    listed = times.groupBy(*SEGMENT).agg(sorted_times.alias("times"))
+    return listed.select(*SEGMENT, F.explode(starts).alias("ts_us"))
 
 
-def _next_starts(times: DataFrame, length_us: int) -> DataFrame:
+def _next_starts(times: DataFrame, length_us: int, **limits: int | None) -> DataFrame:
     """For each event time the first one later than it by more than length_us.
 
-    A time and its question (time + length_us) meet in buckets of length_us, so
-    no task sees more of a segment than one bucket.
+    Times and questions (a time + length_us) stand on one timeline, backwards, so that the answer is the
+    latest time before the question; a long segment is cut into slices.
     """
-    bucket = F.floor(F.col("at_us") / F.lit(length_us)).cast("long")
     points = times.distinct()
     asked = points.select(
-        *SEGMENT, "ts_us", (F.col("ts_us") + length_us).alias("at_us"), F.lit(1).alias("asks")
-    )
-    given = points.select(*SEGMENT, "ts_us", F.col("ts_us").alias("at_us"), F.lit(0).alias("asks"))
-    both = asked.unionByName(given).withColumn("bucket", bucket)
-    backwards = Window.partitionBy(*SEGMENT, "bucket").orderBy(F.desc("at_us"), F.desc("asks"))
-    point = F.when(F.col("asks") == 0, F.col("ts_us"))
-    inside = both.withColumn("next_us", F.last(point, ignorenulls=True).over(backwards)).where(
-        F.col("asks") == 1
-    )
-    later = Window.partitionBy(*SEGMENT).orderBy(F.desc("bucket"))
-    firsts = both.groupBy(*SEGMENT, "bucket").agg(F.min(point).alias("first_us"))
-    after = firsts.select(
-        *SEGMENT,
-        "bucket",
-        F.last("first_us", ignorenulls=True)
-        .over(later.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("after_us"),
-    )
-    return (
-        lookup_join(inside, after, [*SEGMENT, "bucket"], "left", null_safe=True)
-        .select(*SEGMENT, "ts_us", F.coalesce("next_us", "after_us").alias("next_us"))
-        .where(F.col("next_us").isNotNull())
+        *SEGMENT, "ts_us", (-(F.col("ts_us") + length_us)).alias("_order"), F.lit(0).alias("_given")
     )
+    given = points.select(*SEGMENT, "ts_us", (-F.col("ts_us")).alias("_order"), F.lit(1).alias("_given"))
+    line = Timeline(asked.unionByName(given), SEGMENT, ("_order", "_given"), **limits)
+    answered = line.last_before(next_us=F.when(F.col("_given") == 1, F.col("ts_us"))).result()
+    return answered.where((F.col("_given") == 0) & F.col("next_us").isNotNull()).select(*SEGMENT, "ts_us", "next_us")
 
 
-def _distributed_starts(times: DataFrame, length_us: int) -> DataFrame:
+def _distributed_starts(times: DataFrame, length_us: int, **limits: int | None) -> DataFrame:
     """Session starts of segments of any size, by doubling the jumps from start to start.
 
     After round r the starts up to 2^r sessions away are known, so the rounds
     grow with the logarithm of the longest segment's days.
     """
     starts = cut_lineage(times.groupBy(*SEGMENT).agg(F.min("ts_us").alias("ts_us")))
-    jumps = cut_lineage(_next_starts(times, length_us))
+    jumps = cut_lineage(_next_starts(times, length_us, **limits))
     while True:
         near = F.broadcast(starts) if fits_broadcast(starts) else starts
         reached = join_keys(jumps, near, [*SEGMENT, "ts_us"], "inner", null_safe=True).select(
@@ -160,7 +138,7 @@ def _distributed_starts(times: DataFrame, length_us: int) -> DataFrame:
         hop = jumps.withColumnRenamed("next_us", "mid_us")
         rest = jumps.withColumnRenamed("ts_us", "mid_us")
         jumps = cut_lineage(join_keys(hop, rest, [*SEGMENT, "mid_us"], "inner", null_safe=True).drop("mid_us"))
-    return starts.groupBy(*SEGMENT).agg(F.array_sort(F.collect_list("ts_us")).alias("session_starts"))
+    return starts
 
 
 def add_sessions(
@@ -183,10 +161,12 @@ def add_sessions(
         starts = _folded_starts(chosen.where(F.col("n") <= fold_rows).drop("n"), length_us)
         if not long_ones.where(F.col("n") > fold_rows).isEmpty():
             large = chosen.where(F.col("n") > fold_rows).drop("n")
-            starts = starts.union(_distributed_starts(large, length_us))
-        t.rows = lookup_join(t.rows, cut_lineage(starts), SEGMENT, "left", null_safe=True)
-        passed = F.filter("session_starts", lambda s: s <= F.col("ts_us"))
-        session_us = F.coalesce(F.element_at(passed, -1), session_us)
+            starts = starts.unionByName(_distributed_starts(large, length_us, **t.limits))
+        marks = cut_lineage(starts.withColumn("_starts", F.lit(True)))
+        t.rows = lookup_join(t.rows, marks, [*SEGMENT, "ts_us"], "left", null_safe=True)
+        segment = t.within("segment").last_through(_start_us=F.when(F.col("_starts"), F.col("ts_us")))
+        t.rows = segment.rows
+        session_us = F.coalesce("_start_us", session_us)
     t.add(session_us=_on_event(session_us))
     t.last_before(_prev=_on_event(F.struct("epoch", "session_us")))
     changed = ~F.struct("epoch", "session_us").eqNullSafe(F.col("_prev"))
@@ -194,7 +174,7 @@ def add_sessions(
         new_session=F.col("is_event") & changed,
         session_id=time_key(F.col("session_us"), F.col("shop"), F.col("client_id"), F.col("epoch")),
     )
-    t.rows = t.rows.drop("_prev", "session_starts")
+    t.rows = t.rows.drop("_prev", "_starts", "_start_us")
     return t
 
 

@@ -35,6 +35,7 @@ class Timeline:
     ):
         self.keys = list(keys)
         self.order = list(order)
+        self.limits = {"hot_rows": hot_rows, "slice_rows": slice_rows}
         self.sliced = False
         sizes = rows.groupBy(*self.keys).count().where(F.col("count") > hot_rows)
         n_hot = sizes.agg(F.sum("count")).first()[0]
