@@ -14,10 +14,12 @@ HOT_LINKS = 64
 def _with_least(links: DataFrame, n_links: int, path: str, hot_links: int = HOT_LINKS) -> DataFrame:
     """Links with `m`, the smallest `v` of their `u`.
 
-    Of centres with very many links the smallest one is broadcast, so their links stay where they
-    are; at most BROADCAST_ROWS centres have so many. All others meet by shuffle.
+    Up to BROADCAST_ROWS centres are broadcast, so all links stay where they are. Of more centres
+    those with very many links are (at most BROADCAST_ROWS have so many); the others meet by shuffle.
     """
     least = land(links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), path)
+    if least.count() <= BROADCAST_ROWS:
+        return links.join(F.broadcast(least.drop("n")), "u")
     bound = max(hot_links, 2 * n_links // BROADCAST_ROWS)
     hot = F.broadcast(least.where(F.col("n") > bound).drop("n"))
     near = links.join(hot, "u")

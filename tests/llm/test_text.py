@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from storewake.llm import decontamination, near_dedup, packing, toxicity
 from storewake.llm.common import land, words, work_folder
+from storewake.llm import components as components_module
 from storewake.llm.components import _with_least, components
 from storewake.llm.queries import QUERIES
 
@@ -384,8 +385,10 @@ def test_pipeline_against_brute_force(spark, sf_dir):
     assert sorted(r.doc_id for r in after) == fine
 
 
-def test_neighbours_of_one_centre_stay_where_they_are(spark):
+@pytest.mark.parametrize("broadcast_rows", [300_000, 200])
+def test_neighbours_of_one_centre_stay_where_they_are(spark, monkeypatch, broadcast_rows):
     """A star and a chain: the centre's links are joined by broadcast, and all reach the smallest node."""
+    monkeypatch.setattr(components_module, "BROADCAST_ROWS", broadcast_rows)
     edges = [(0, n) for n in range(1, 5000)] + [(n, n + 1) for n in range(6000, 6100)]
     frame = spark.createDataFrame(edges, "u long, v long")
     out = {x.node: x.root for x in components(frame, work_folder(spark)).collect()}
