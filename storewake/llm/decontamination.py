@@ -1,11 +1,12 @@
 """Benchmark items found in training texts by rare n-gram seeds and Smith-Waterman alignment.
 
 Seeds are the word n-grams of the items that chance would hardly make: the
-product of their words' shares among all words of the corpus is small. That
-depends on the words alone, so a passage that leaked into a third of all texts
-has the same seeds as one that leaked once. Where a text shares a seed with an
-item, the words around it are aligned with the item; the score is the share of
-the best possible one, so edits and insertions lower it a little each.
+product of their words' shares among all words of the corpus is small. Where
+neighbouring n-grams are all made of common words, or of words that leaks made
+common, the rarest of every few is a seed too, so seeds lie all over an item
+and some run of its words that an edited copy kept has one. Where a text shares
+a seed with an item, the words around it are aligned with the item; the score is
+the share of the best possible one, so edits and insertions lower it a little each.
 
 Items go to the tasks in blocks of bounded size, each block against all texts.
 """
@@ -26,8 +27,9 @@ from storewake.llm.common import fresh, land, same, sized, words, work_folder
 SEED_WORDS = 3
 #: Expected number of a seed at one place of a text.
 MAX_CHANCE = 1e-8
-#: Seeds that an item of common words has at least (its rarest ones).
-MIN_SEEDS = 4
+#: Of so many neighbouring n-grams one is a seed at least (the rarest, of equal ones the first). With
+#: n words in a seed, every 2 * COVER + n - 2 words of an item in a row hold one.
+COVER = 2
 THRESHOLD = 0.5
 BLOCK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -63,7 +65,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """A block of benchmark items with their seeds."""
 
-    def __init__(self, items: list[tuple], chance: dict[bytes, float], n: int, max_chance: float, min_seeds: int):
+    def __init__(self, items: list[tuple], chance: dict[bytes, float], n: int, max_chance: float, cover: int):
         self.items: list[tuple[object, list[bytes]]] = []
         self.seeds: dict[tuple[bytes, ...], list[tuple[int, int]]] = defaultdict(list)
         self.sizes: set[int] = set()
@@ -75,12 +77,12 @@ class Items:
             grams = [
                 (sum(chance[w] for w in tokens[i : i + size]), i) for i in range(len(tokens) - size + 1)
             ]
-            grams.sort()
-            rare = [i for place, (c, i) in enumerate(grams) if c <= math.log(max_chance) or place < min_seeds]
+            rare = {i for c, i in grams if c <= math.log(max_chance)}
+            rare |= {min(grams[i : i + cover])[1] for i in range(0, len(grams), cover)}
             number = len(self.items)
             self.items.append((item_id, tokens))
             self.sizes.add(size)
-            for i in rare:
+            for i in sorted(rare):
                 self.seeds[tuple(tokens[i : i + size])].append((number, i))
         self.seeds = dict(self.seeds)
 
@@ -158,7 +160,7 @@ def leaks(
     threshold: float = THRESHOLD,
     seed_words: int = SEED_WORDS,
     max_chance: float = MAX_CHANCE,
-    min_seeds: int = MIN_SEEDS,
+    cover: int = COVER,
     block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """Id, `item_id`, `score`, `first_word`, `last_word` (exclusive): one row per text and item found.
@@ -182,7 +184,7 @@ def leaks(
         vocabulary = frozenset(w for _, text in chunk for w in words(text))
         counts, total = _word_counts(source, vocabulary)
         chance = {w: math.log((counts.get(w, 0) + 1) / (total + len(vocabulary) + 1)) for w in vocabulary}
-        block = spark.sparkContext.broadcast(Items(chunk, chance, seed_words, max_chance, min_seeds))
+        block = spark.sparkContext.broadcast(Items(chunk, chance, seed_words, max_chance, cover))
 
         def run(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in batches:

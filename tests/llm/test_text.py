@@ -188,6 +188,54 @@ def test_a_leak_in_most_texts_is_found_in_all(spark):
     assert sorted(r.doc_id for r in out) == [i for i in range(150) if i % 3]
 
 
+def edited_copy(r, tokens, vocabulary, rate):
+    """The words with some replaced, left out or followed by another one."""
+    out = []
+    for word in tokens:
+        kind = r.random() / rate
+        if kind < 0.2:
+            continue
+        out.append(r.choice(vocabulary) if kind < 0.8 else word)
+        if 0.8 <= kind < 1:
+            out.append(r.choice(vocabulary))
+    return out
+
+
+@pytest.mark.parametrize("vocabulary_size", [250, 20_000])
+def test_edited_copies_of_items_of_common_and_of_rare_words(spark, vocabulary_size):
+    """Against the alignment of every item with the whole text that holds its copy."""
+    r = random.Random(vocabulary_size)
+    vocabulary = [f"w{i}" for i in range(vocabulary_size)]
+    items = {i: [r.choice(vocabulary) for _ in range(r.randint(12, 50))] for i in range(40)}
+    rows, wanted = [], set()
+    for place in range(400):
+        item = place % 40
+        copy = edited_copy(r, items[item], vocabulary, r.choice([0.15, 0.25]))
+        text = [r.choice(vocabulary) for _ in range(30)] + copy + [r.choice(vocabulary) for _ in range(30)]
+        rows.append((place, " ".join(text)))
+        codes = {w: i for i, w in enumerate(set(items[item]))}
+        score = decontamination.align(
+            np.array([codes[w] for w in items[item]]), np.array([codes.get(w, -1) for w in text])
+        )[0]
+        if score >= decontamination.THRESHOLD * decontamination.MATCH * len(items[item]):
+            wanted.add((place, item))
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string")
+    found = {(x.doc_id, x.item_id) for x in decontamination.leaks(docs_of(spark, rows), frame).collect()}
+    assert len(wanted) > 350
+    assert len(wanted & found) >= 0.95 * len(wanted)
+    assert all(place % 40 == item for place, item in found)
+
+
+def test_every_run_of_words_of_an_item_has_a_seed():
+    r = random.Random(5)
+    text = " ".join(r.choice("abcde") for _ in range(60))
+    chance = {w.encode(): -1.0 - ord(w) / 1000 for w in "abcde"}
+    block = decontamination.Items([(1, text)], chance, 3, 1e-8, 2)
+    tokens = words(text)
+    for i in range(len(tokens) - 4):
+        assert any(tuple(tokens[k : k + 3]) in block.seeds for k in range(i, i + 3))
+
+
 def check_packing(out, rows, sequence, tokenizer):
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     exact.encode_special_tokens = True
