@@ -1,8 +1,7 @@
 """Toxicity of texts after noisy-channel restoration.
 
-A token that may be disguised (letters mixed with digits or signs, letters
-repeated three times or more, letters spelled out one by one) becomes a lattice
-of readings. A character language model, counted over all texts, decides by
+A token that is more than letters without doubles between ordinary punctuation,
+and a run of letters spelled out one by one, becomes a lattice of readings. A character language model, counted over all texts, decides by
 Viterbi decoding which reading it is: digits and signs as the letters they
 resemble or as a boundary, runs as one or two letters, separators as nothing or
 as a boundary. Restored words are scored next to the words as written.
@@ -43,12 +42,14 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e",
 }
 _SIGNS = re.escape("".join(LOOKALIKES))
-_SEPARATORS = r".\-_*~·"
-_DISGUISED = re.compile(
-    rf"[^\W\d_][{_SIGNS}*]+[^\W\d_]|(?:^|[^\w])[{_SIGNS}]+[^\W\d_]{{2}}|[^\W\d_]{{2}}[013457$@|]+(?:$|[^\w])"
-    rf"|([^\W\d_])\1\1|(?:^|[^\w])[^\W\d_][{_SEPARATORS}]+[^\W\d_][{_SEPARATORS}]"
-)
-_SPELLED = re.compile(r"(?<!\S)(?:\S\s){3,}\S(?!\S)")
+_OPENING = r"[(\[{<\"'«“„‘¿¡–—]*"
+_CLOSING = r"[)\]}>\"'»”“’.,;:?!…–—]*"
+#: Tokens that have one reading: letters without doubles between ordinary punctuation.
+_PLAIN = re.compile(rf"{_OPENING}(?:([^\W\d_])(?!\1))*{_CLOSING}")
+_SPELLED = re.compile(rf"(?<!\S){_OPENING}(?:\S\s+){{3,}}\S{_CLOSING}(?!\S)")
+_WIDE = re.compile(r"\s{2,}")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_SEPARATED = re.compile(rf"[^\W\d_](?:[^\w\s{_SIGNS}*]|_)+[^\W\d_]")
 _WORD = re.compile(r"[^\W\d_]+")
 
 _LETTERS = 28  # 0 boundary, 1 to 26 a to z, 27 any other letter
@@ -136,21 +137,24 @@ class LanguageModel:
 _ANY_LETTER = [(chr(c), math.log(1 / 26)) for c in range(97, 123)]
 
 
-def lattice_of(token: str, collapse: bool = False) -> list[list[tuple[str, float]]]:
+def lattice_of(token: str, collapse: bool = False, single: bool = False) -> list[list[tuple[str, float]]]:
     """The readings of a lower-case token, symbol by symbol.
 
     Letters stay; three or more of one are one or two, with `collapse` two may be
     one. A digit or sign is most likely a letter, a final `!` or `|` a boundary. A
-    separator between short pieces is most likely nothing, else a boundary.
+    separator between short pieces is most likely nothing, else a boundary. With
+    `single` repeated letters are one and any separator is most likely nothing.
     """
     steps: list[list[tuple[str, float]]] = []
     runs = [m[0] for m in re.finditer(r"(.)\1*", token, re.DOTALL)]
     pieces = re.split(rf"[^\w{_SIGNS}*]|_", token)
-    short = max(map(len, pieces)) <= 2
+    short = single or max(map(len, pieces)) <= 2
     for i, run in enumerate(runs):
         c, inner = run[0], 0 < i < len(runs) - 1
         if c.isalpha():
-            if len(run) > 2:
+            if single:
+                steps.append([(c, 0.0)])
+            elif len(run) > 2:
                 steps.append([(c, math.log(0.5)), (c * 2, math.log(0.5))])
             elif len(run) == 2 and collapse:
                 steps.append([(run, math.log(0.5)), (c, math.log(0.5))])
@@ -179,16 +183,18 @@ class Restorer:
     def read(self, token: str) -> tuple[str, ...]:
         """Words of a token as written and, if it may be disguised, as restored."""
         written = _WORD.findall(token)
-        if _DISGUISED.search(token):
-            written += self.decoded(token)
+        if written and not _PLAIN.fullmatch(token):
+            written += _WORD.findall(self.model.decode(lattice_of(token)))
         return tuple(dict.fromkeys(written))
 
-    def decoded(self, token: str) -> list[str]:
-        """Words of the likeliest readings with double letters as they are and as they may be."""
-        out = _WORD.findall(self.model.decode(lattice_of(token)))
-        if re.search(r"([^\W\d_])\1", token):
-            out += _WORD.findall(self.model.decode(lattice_of(token, collapse=True)))
-        return out
+    def reread(self, token: str) -> tuple[str, ...]:
+        """Words of the less likely readings: repeated letters as they may be and as one, separated
+        pieces as one word."""
+        doubled = _DOUBLE.search(token)
+        readings = [lattice_of(token, collapse=True)] if doubled else []
+        if doubled or _SEPARATED.search(token):
+            readings.append(lattice_of(token, single=True))
+        return tuple(dict.fromkeys(w for steps in readings for w in _WORD.findall(self.model.decode(steps))))
 
     def words(self, token: str) -> tuple[str, ...]:
         found = self.memo.get(token)
@@ -202,9 +208,10 @@ class Restorer:
         """Words that are written letter by letter."""
         out = []
         for match in _SPELLED.finditer(text):
-            letters = match[0]
-            if sum(c.isalpha() for c in letters) >= 3:
-                out += self.decoded(letters)
+            # Where some gaps are wider than others, they may part words.
+            for letters in dict.fromkeys([match[0], *_WIDE.split(match[0])]):
+                if sum(c.isalpha() for c in letters) >= 2:
+                    out += [*self.read(letters), *self.reread(letters)]
         return out
 
 
@@ -243,7 +250,9 @@ class Finder:
         if found is None:
             if len(self.known) >= MEMO:
                 self.known.clear()
-            found = self.known[token] = self._pairs(self.restorer.read(token))
+            # A word that has evidence as it is needs no other reading, so it counts once.
+            found = self._pairs(self.restorer.read(token)) or self._pairs(self.restorer.reread(token))
+            self.known[token] = found
         return found
 
     def hits(self, text: str | None) -> list[tuple[str, str]]:

@@ -91,10 +91,31 @@ def language():
     [
         ("1d10t", "idiot"), ("m0r0n", "moron"), ("$tup1d", "stupid"), ("i.d.i.o.t", "idiot"),
         ("stuuuupid", "stupid"), ("st*pid", "stupid"), ("w0rthl3ss", "worthless"), ("tr@sh", "trash"),
+        ("idiiot", "idiot"), ("morron", "moron"), ("id-iot", "idiot"), ("mo.ron", "moron"), ("st_upid", "stupid"),
+        ("i/d/i/o/t", "idiot"), ("(id-iiot),", "idiot"), ("!diot", "idiot"), ("lo$er!", "loser"), ("(m0r0n)", "moron"),
     ],
 )
 def test_restored_words(language, seen, word):
-    assert word in toxicity.Restorer(language).read(seen)
+    restorer = toxicity.Restorer(language)
+    assert word in restorer.read(seen) + restorer.reread(seen)
+    assert (word + "$", word) in toxicity.Finder(language, [word + "$"]).hits(f"so {seen} is")
+
+
+def test_signs_and_doubles_at_the_end(language):
+    assert "ass" in toxicity.Restorer(language).read("a$$")
+    assert toxicity.Restorer(language).read("(met),") == ("met",)
+    assert toxicity.Restorer(language).read("2026-12-01") == ()
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "i d i o t", "i d i o t.", "so i d i o t! then", "(i d i o t)", "i  d  i  o  t", "a man,\ni d i o t", "1 d 1 0 t?",
+        "y o u  i d i o t  t h e r e",
+    ],
+)
+def test_spelled_words(language, text):
+    assert "idiot" in toxicity.Restorer(language).spelled(text)
 
 
 def test_viterbi_equals_all_paths(language):
