@@ -10,7 +10,7 @@ from registry.common import Catalog
 from registry.sample import with_views
 from storewake.functions import ids, urls
 from storewake.operators import browser_state as bs
-from storewake.operators import dedup, envelope, page_context, pixel_events, pixel_settings
+from storewake.operators import agents, dedup, envelope, page_context, pixel_events, pixel_settings
 from storewake.operators import spec_events as spec
 from storewake.operators.joins import lookup_join
 from storewake.operators.shops import is_anonymous, with_pixel_key
@@ -832,6 +832,13 @@ def device_enrichment(spark, sf_dir):
     return loads.select("page_load_id", "device.*")
 
 
+@query(with_views(f"select page_load_id, {_DEVICE_SQL} from fx_facts", PX, LOADS, FACTS))
+def device_dictionary(spark, sf_dir):
+    """The same by rules as rows and a dictionary of distinct agents."""
+    loads = agents.with_agents(pixel_sample.page_loads(spark, sf_dir))
+    return loads.select("page_load_id", "device.*")
+
+
 @query(
     with_views(
         f"""

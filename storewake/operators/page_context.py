@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -153,9 +153,9 @@ def with_texts(loads: DataFrame) -> DataFrame:
     )
 
 
-def page_contexts(loads: DataFrame) -> DataFrame:
-    """One row per page load with a `context` struct that events join to."""
-    rich = with_texts(with_device(with_page_facts(working_loads(loads))))
+def page_contexts(loads: DataFrame, device: Callable[[DataFrame], DataFrame] = with_device) -> DataFrame:
+    """One row per page load with a `context` struct that events join to; `device` adds that column."""
+    rich = with_texts(device(with_page_facts(working_loads(loads))))
     keys = ["shop", "client_id", "page_load_id"]
     cart = [c for c in ("cart",) if c in loads.columns]
     rest = ("loaded_us", "href", "customer", *cart, "analytics_allowed", *TEXTS)

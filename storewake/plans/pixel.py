@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from storewake.functions.objects import object_text
 from storewake.operators import pixel_events, pixel_settings
+from storewake.operators.agents import with_agents
 from storewake.operators.browser_state import (
     add_epochs,
     add_identity,
@@ -30,7 +31,7 @@ def with_consent(contexts: DataFrame, shops: DataFrame) -> DataFrame:
 
 def contexts_of(loads: DataFrame, shops: DataFrame) -> DataFrame:
     """Contexts with consent; events join to it and logins are read from it, so it is written once."""
-    return cut_lineage(with_consent(page_contexts(loads), shops))
+    return cut_lineage(with_consent(page_contexts(loads, with_agents), shops))
 
 
 def consents_of(loads: DataFrame, shops: DataFrame) -> DataFrame:
