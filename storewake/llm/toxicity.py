@@ -240,18 +240,36 @@ class Finder:
     def __init__(self, language: LanguageModel, wanted: Iterable[str]):
         self.restorer = Restorer(language)
         self.wanted = frozenset(wanted)
+        # A feature that goes on from another one needs its letters too.
+        stems = {f.rstrip("$") for f in self.wanted}
+        first = {s for s in stems if not any(s[:n] in stems for n in PREFIXES if n < len(s))}
+        self.needs = tuple({frozenset(s) for s in first})
         self.known: dict[str, tuple[tuple[str, str], ...]] = {}
 
     def _pairs(self, words: Iterable[str]) -> tuple[tuple[str, str], ...]:
         return tuple((f, w) for w in words for f in features(w) if f in self.wanted)
 
+    def possible(self, token: str) -> bool:
+        """Whether some reading may have a feature: the token has its letters, or signs for them."""
+        if "*" in token:
+            return True
+        have = set(token)
+        for sign in have & LOOKALIKES.keys():
+            have.update(LOOKALIKES[sign])
+        return any(need <= have for need in self.needs)
+
     def _of(self, token: str) -> tuple[tuple[str, str], ...]:
         found = self.known.get(token)
         if found is None:
             if len(self.known) >= MEMO:
                 self.known.clear()
-            # A word that has evidence as it is needs no other reading, so it counts once.
-            found = self._pairs(self.restorer.read(token)) or self._pairs(self.restorer.reread(token))
+            if _PLAIN.fullmatch(token):
+                found = self._pairs(dict.fromkeys(_WORD.findall(token)))
+            elif self.possible(token):
+                # A word that has evidence as it is needs no other reading, so it counts once.
+                found = self._pairs(self.restorer.read(token)) or self._pairs(self.restorer.reread(token))
+            else:
+                found = ()
             self.known[token] = found
         return found
 

@@ -118,6 +118,20 @@ def test_spelled_words(language, text):
     assert "idiot" in toxicity.Restorer(language).spelled(text)
 
 
+def test_tokens_that_are_not_decoded_have_no_evidence(language):
+    """Against all readings of every token."""
+    r = random.Random(11)
+    finder = toxicity.Finder(language, ["idiot$", "scu", "scum$", "moro", "ass", "trash$"])
+    seen = 0
+    for _ in range(4000):
+        stem = r.choice(["idiot", "scum", "moron", "ass", "trash", "the", "loser"])
+        token = "".join(r.choice([c, c, c * 2, c * 3, c + r.choice(".-_*/01345$@!|2"), r.choice("01345$@!|*2")]) for c in stem)
+        every = finder._pairs(finder.restorer.read(token)) or finder._pairs(finder.restorer.reread(token))
+        assert finder._of(token) == every
+        seen += bool(every)
+    assert seen > 300
+
+
 def test_viterbi_equals_all_paths(language):
     """The decoded reading is the likeliest of all combinations of the lattice."""
     import itertools
