@@ -85,7 +85,7 @@ def seed_settings(spark, sf_dir):
     stored = _settings(spark, sf_dir)
     seeded = jobs.seed_settings(flat.select("shop"), stored)
     old = stored.select("shop", "key", F.lit(False).alias("seeded"))
-    return seeded.join(old, ["shop", "key"], "left").select(
+    return seeded.join(old.hint("merge"), ["shop", "key"], "left").select(
         "shop", "key", "value", F.coalesce("seeded", F.lit(True)).alias("seeded")
     )
 

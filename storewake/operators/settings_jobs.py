@@ -120,17 +120,19 @@ def seed_settings(
     shops: DataFrame, settings: DataFrame, defaults: Mapping[str, str] | None = None
 ) -> DataFrame:
     """The settings table with the missing defaults of every shop filled in."""
-    entries = [
-        F.struct(
-            F.lit(key).alias("key"),
-            F.lit(SETTING_TYPES[key]).alias("type"),
-            F.lit(value).alias("value"),
-        )
-        for key, value in (defaults or seed_defaults()).items()
-    ]
-    wanted = shops.select("shop", F.inline(F.array(*entries)))
-    missing = wanted.join(settings.select("shop", "key"), ["shop", "key"], "left_anti")
-    return settings.unionByName(missing)
+    given = dict(defaults or seed_defaults())
+
+    def of(texts: Mapping[str, str]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(t) for pair in texts.items() for t in pair]), F.col("key"))
+
+    # The texts follow after the join. Stored settings can be many, however small their files look, so they
+    # are never broadcast.
+    wanted = shops.select("shop", F.explode(F.array(*[F.lit(key) for key in given])).alias("key"))
+    stored = settings.select("shop", "key").hint("merge")
+    missing = wanted.join(stored, ["shop", "key"], "left_anti")
+    return settings.unionByName(
+        missing.select("shop", "key", of({key: SETTING_TYPES[key] for key in given}).alias("type"), of(given).alias("value"))
+    )
 
 
 def shops_from_settings(wide: DataFrame) -> DataFrame:
