@@ -54,20 +54,35 @@ def lookup_join(
     max_rows: int = MAX_BROADCAST_ROWS,
     salts: int = 32,
     null_safe: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join many rows to a dimension that is unique on the key.
 
     A dimension of checked size is broadcast, so rows of a hot key stay where
-    they are. A larger one is joined by shuffle: the rows of every key are
-    spread over `salts` parts and the dimension is repeated once per part.
+    they are. A larger one is joined by shuffle: the rows of keys with more than
+    `hot_rows` rows, which are few, are spread over `salts` parts, and their
+    dimension rows alone are repeated once per part. Of a stream, whose rows
+    cannot be counted before, every key is spread.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(dimension, max_rows):
         return join_keys(rows, F.broadcast(dimension), keys, how, null_safe)
     atoms = [f.name for f in rows.schema.fields if isinstance(f.dataType, AtomicType)]
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*atoms), F.lit(salts)).cast("int"))
-    repeated = dimension.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return join_keys(salted, repeated, [*keys, "_salt"], how, null_safe).drop("_salt")
+    salt = F.pmod(F.xxhash64(*atoms), F.lit(salts)).cast("int")
+    parts = F.sequence(F.lit(0), F.lit(salts - 1))
+    if not rows.isStreaming:
+        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot = counts.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
+        if hot.isEmpty():
+            return join_keys(rows, dimension.hint("merge"), keys, how, null_safe)
+        hot = F.broadcast(cut_lineage(hot))
+        rows = join_keys(rows, hot, keys, "left", null_safe=True)
+        dimension = join_keys(dimension, hot, keys, "left", null_safe=True)
+        salt = F.when(F.col("_hot"), salt).otherwise(0)
+        parts = F.when(F.col("_hot"), parts).otherwise(F.array(F.lit(0)))
+    salted = rows.withColumn("_salt", salt).drop("_hot")
+    repeated = dimension.withColumn("_salt", F.explode(parts)).drop("_hot")
+    return join_keys(salted, repeated.hint("merge"), [*keys, "_salt"], how, null_safe).drop("_salt")
 
 
 def detail_join(
