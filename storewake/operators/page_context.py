@@ -14,6 +14,9 @@ from storewake.functions.objects import JsonObject, object_text, quoted
 from storewake.operators.joins import HOT_ROWS, detail_join
 
 TEXTS = ("base", "person_set", "person_bare", "customer_text")
+KEYS = ("shop", "client_id", "page_load_id")
+# Facts that only the device is made of.
+UNUSED = ("user_agent",)
 
 
 def with_device(
@@ -156,10 +159,31 @@ def with_texts(loads: DataFrame) -> DataFrame:
 def page_contexts(loads: DataFrame, device: Callable[[DataFrame], DataFrame] = with_device) -> DataFrame:
     """One row per page load with a `context` struct that events join to; `device` adds that column."""
     rich = with_texts(device(with_page_facts(working_loads(loads))))
-    keys = ["shop", "client_id", "page_load_id"]
-    cart = [c for c in ("cart",) if c in loads.columns]
-    rest = ("loaded_us", "href", "customer", *cart, "analytics_allowed", *TEXTS)
-    return rich.select(*keys, F.struct(*rest).alias("context"))
+    return rich.select(*KEYS, _context(rich))
+
+
+def _context(rich: DataFrame) -> Column:
+    cart = [c for c in ("cart",) if c in rich.columns]
+    return F.struct("loaded_us", "href", "customer", *cart, "analytics_allowed", *TEXTS).alias("context")
+
+
+def bare_contexts(loads: DataFrame, device: Callable[[DataFrame], DataFrame] = with_device) -> DataFrame:
+    """One row per page load with what its context is made of, a tenth of the bytes of the context itself.
+
+    Events join to these, and `with_contexts` makes the context where it is used: its texts go
+    through no exchange and no file.
+    """
+    rich = device(working_loads(loads))
+    facts = [c for c in rich.columns if c not in KEYS and c not in UNUSED]
+    return rich.select(*KEYS, F.struct(*facts).alias("context"))
+
+
+def with_contexts(rows: DataFrame) -> DataFrame:
+    """Rows with the facts of `bare_contexts` as `context` get the context of `page_contexts` in its place."""
+    own = [c for c in rows.columns if c != "context"]
+    apart = rows.select(F.struct(*own).alias("_row"), "shop", "context.*")
+    rich = with_texts(with_page_facts(apart))
+    return rich.select("_row.*", _context(rich)).select(*rows.columns)
 
 
 def narrow_contexts(loads: DataFrame) -> DataFrame:

@@ -16,10 +16,9 @@ from storewake.operators.browser_state import (
     timeline,
 )
 from storewake.operators.joins import lookup_join
-from storewake.operators.page_context import join_context, narrow_contexts, page_contexts
+from storewake.operators.page_context import bare_contexts, join_context, narrow_contexts, with_contexts
 from storewake.operators.server_events import IDENTIFY
 from storewake.operators.shops import is_anonymous
-from storewake.session import cut_lineage
 
 
 def with_consent(contexts: DataFrame, shops: DataFrame) -> DataFrame:
@@ -30,8 +29,8 @@ def with_consent(contexts: DataFrame, shops: DataFrame) -> DataFrame:
 
 
 def contexts_of(loads: DataFrame, shops: DataFrame) -> DataFrame:
-    """Contexts with consent; events join to it and logins are read from it, so it is written once."""
-    return cut_lineage(with_consent(page_contexts(loads, with_agents), shops))
+    """What contexts are made of, with consent; `with_contexts` makes them once the rows are where they stay."""
+    return with_consent(bare_contexts(loads, with_agents), shops)
 
 
 def consents_of(loads: DataFrame, shops: DataFrame) -> DataFrame:
@@ -43,7 +42,7 @@ def context_rows(events: DataFrame, loads: DataFrame, settings: DataFrame) -> Da
     """Subscribed events with their context: the input of the property mappings."""
     shops = pixel_settings.pixel_shops(settings)
     wanted = pixel_settings.subscribed_events(events, shops)
-    return join_context(wanted, contexts_of(loads, shops))
+    return with_contexts(join_context(wanted, contexts_of(loads, shops)))
 
 
 def login_rows(contexts: DataFrame, *more: str) -> DataFrame:
@@ -89,7 +88,9 @@ def pixel_event_table(
     shops = pixel_settings.pixel_shops(settings)
     contexts = contexts_of(loads, shops)
     rows = join_context(pixel_settings.subscribed_events(events, shops), contexts)
-    return pixel_events.pixel_events(browser_state(state_rows(rows, contexts), **limits), strict)
+    # The logins need little of a load, and the rows in state do without the texts of their contexts.
+    state = browser_state(state_rows(rows, consents_of(loads, shops)), **limits)
+    return pixel_events.pixel_events(with_contexts(state), strict)
 
 
 def pixel_identify_table(

@@ -130,3 +130,18 @@ def test_one_timer_folds_all_minutes_that_are_due(spark):
     (rest,) = processor.handleExpiredTimer(("s", "c"), _At(900_000), _At(300_000))
     assert list(rest.event_id) == [4, 5] and not handle.maps["waiting"]
     assert list(processor.handleExpiredTimer(("s", "c"), _At(900_000), _At(360_000))) == []
+
+
+def test_texts_of_contexts_go_through_no_exchange(spark, sf_dir):
+    from registry import pixel_sample, sample
+    from storewake.plans import pixel
+
+    parts = pixel_sample.pixel_events(spark, sf_dir), pixel_sample.page_loads(spark, sf_dir), sample.pixel_settings(spark, sf_dir)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = pixel.context_rows(*parts)
+        optimized = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # The joins stand below the projection that writes the texts of a page load.
+    assert "person_bare" in optimized and "$initial_referring_domain" not in optimized[optimized.index("Join ") :]
