@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry.sample import landed, run_sql, with_shop_name
+from registry.sample import ROWS_PER_FILE, landed, run_sql, table, with_shop_name
 
 PIXEL = """
 select e.event_id, e.user_id, e.ts, e.value,
@@ -176,11 +176,15 @@ def _micros(col: str):
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed(spark, sf_dir, "pixel_flat", _flat_events)
+    return landed(spark, sf_dir, "pixel_flat", _flat_events, spread=False)
 
 
 def _flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_shop_name(run_sql(spark, sf_dir, PIXEL), keep=True)
+    # The given rows are spread, not the texts made of them.
+    events = table(spark, sf_dir, "events").drop("props")
+    files = max(spark.sparkContext.defaultParallelism, events.count() // ROWS_PER_FILE)
+    spread = events.repartition(files)
+    return with_shop_name(run_sql(spark, sf_dir, PIXEL.replace("{events}", "{spread}"), spread=spread), keep=True)
 
 
 def pixel_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ from storewake.session import cut_lineage
 MAX_BROADCAST_ROWS = 200_000
 MAX_BROADCAST_BYTES = 64 << 20
 HOT_ROWS = 5_000_000
+# Groups in which hot keys are looked for, and the least number of rows of a key that this pays for.
+HOT_GROUPS = 4096
+MIN_HOT_ROWS = 100_000
 
 
 def fits_broadcast(
@@ -46,6 +49,22 @@ def join_keys(
     return left.join(renamed, on, how).drop(*theirs.values())
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | None:
+    """The keys with more than `hot_rows` rows and their `count`, or nothing where no key can have that many.
+
+    Rows are counted by a bounded number of groups of keys first, which merge before the exchange; only
+    groups that are large enough to hold such a key are counted by key.
+    """
+    group = F.pmod(F.xxhash64(*keys), F.lit(HOT_GROUPS)).cast("int")
+    if hot_rows >= MIN_HOT_ROWS:
+        sizes = rows.groupBy(group.alias("_group")).count().where(F.col("count") > hot_rows)
+        large = [r["_group"] for r in sizes.collect()]
+        if not large:
+            return None
+        rows = rows.where(group.isin(*large))
+    return rows.groupBy(*keys).count().where(F.col("count") > hot_rows)
+
+
 def lookup_join(
     rows: DataFrame,
     dimension: DataFrame,
@@ -71,9 +90,9 @@ def lookup_join(
     salt = F.pmod(F.xxhash64(*atoms), F.lit(salts)).cast("int")
     parts = F.sequence(F.lit(0), F.lit(salts - 1))
     if not rows.isStreaming:
-        counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        hot = counts.where(F.col("_n") > hot_rows).select(*keys, F.lit(True).alias("_hot"))
-        if hot.isEmpty():
+        counts = hot_keys(rows, keys, hot_rows)
+        hot = None if counts is None else counts.select(*keys, F.lit(True).alias("_hot"))
+        if hot is None or hot.isEmpty():
             return join_keys(rows, dimension.hint("merge"), keys, how, null_safe)
         hot = F.broadcast(cut_lineage(hot))
         rows = join_keys(rows, hot, keys, "left", null_safe=True)
@@ -93,10 +112,10 @@ def detail_join(
     Keys with more than `hot_rows` rows are few, so their details are brought to
     the rows; all other keys are joined by shuffle.
     """
-    hot = rows.groupBy(*keys).count().where(F.col("count") > hot_rows).drop("count")
-    if hot.isEmpty():
+    hot = hot_keys(rows, keys, hot_rows)
+    if hot is None or hot.isEmpty():
         return rows.join(details, list(keys), "inner")
-    hot = cut_lineage(hot)
+    hot = cut_lineage(hot.drop("count"))
     cold_rows = lookup_join(rows, hot, keys, "left_anti")
     hot_details = cut_lineage(lookup_join(details, hot, keys, "left_semi"))
     cold = cold_rows.join(details, list(keys), "inner")

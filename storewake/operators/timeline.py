@@ -18,7 +18,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storewake.operators.joins import HOT_ROWS, lookup_join
+from storewake.operators.joins import HOT_ROWS, hot_keys, lookup_join
 from storewake.session import cut_lineage
 
 SLICE = "_slice"
@@ -41,8 +41,8 @@ class Timeline:
         self.order = list(order)
         self.limits = {"hot_rows": hot_rows, "slice_rows": slice_rows}
         self.sliced = False
-        sizes = rows.groupBy(*self.keys).count().where(F.col("count") > hot_rows)
-        n_hot = sizes.agg(F.sum("count")).first()[0]
+        sizes = hot_keys(rows, self.keys, hot_rows)
+        n_hot = 0 if sizes is None else sizes.agg(F.sum("count")).first()[0]
         if not n_hot:
             self.rows = rows.withColumn(SLICE, F.lit(0).cast("long"))
         else:

@@ -5,6 +5,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from registry import sample, streams
+from storewake.operators import joins
 from storewake.operators import settings_jobs as jobs
 from storewake.operators.joins import lookup_join
 from storewake.operators.timeline import MANY_SLICES, SLICE, Timeline
@@ -145,3 +146,13 @@ def test_texts_of_contexts_go_through_no_exchange(spark, sf_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # The joins stand below the projection that writes the texts of a page load.
     assert "person_bare" in optimized and "$initial_referring_domain" not in optimized[optimized.index("Join ") :]
+
+
+def test_hot_keys_are_looked_for_in_groups(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"k{n % 50}",) for n in range(500)] + [("hot",)] * 40 + [(None,)] * 30, "k string")
+    exact = {r.k: r["count"] for r in joins.hot_keys(rows, ["k"], 20).collect()}
+    monkeypatch.setattr(joins, "MIN_HOT_ROWS", 0)
+    assert {r.k: r["count"] for r in joins.hot_keys(rows, ["k"], 20).collect()} == exact == {"hot": 40, None: 30}
+    assert joins.hot_keys(rows, ["k"], 40) is None
+    monkeypatch.setattr(joins, "HOT_GROUPS", 1)
+    assert joins.hot_keys(rows, ["k"], 40).count() == 0
