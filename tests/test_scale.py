@@ -156,3 +156,12 @@ def test_hot_keys_are_looked_for_in_groups(spark, monkeypatch):
     assert joins.hot_keys(rows, ["k"], 40) is None
     monkeypatch.setattr(joins, "HOT_GROUPS", 1)
     assert joins.hot_keys(rows, ["k"], 40).count() == 0
+
+
+def test_orders_meet_their_lines_before_their_texts(spark, sf_dir):
+    from registry import sample
+
+    plan = sample._orders(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # Below the first join the heads have no texts yet.
+    assert "/landing" in plan and "/landing" not in plan[plan.index("Join ") :]
+    assert "RepartitionByExpression [l_orderkey" in plan and "SKU" not in plan[plan.index("RepartitionByExpression [l_orderkey") :]
