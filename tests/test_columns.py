@@ -84,6 +84,20 @@ def test_query_params(spark):
     assert made == ["a b c", "", None, "%zz ", None]
 
 
+def test_an_address_is_read_once_for_all_its_campaign_parameters(spark):
+    links = ["https://x.com/?gclid=1&gclid=2&utm_term=&&_kx=k=v", "https://x.com/", "https://x.com/?", "no url", None]
+    rows = spark.createDataFrame([(link,) for link in links], "href string")
+    names = list(urls.CAMPAIGN_PARAMS)
+    facts = rows.select(urls.campaign_struct(F.col("href"), "").alias("campaign"))
+    found = [r.campaign.asDict() for r in facts.collect()]
+    none = dict.fromkeys(names)
+    assert found == [none | {"gclid": "1", "utm_term": "", "_kx": "k=v"}, none, none, none, none]
+    # A text made of the fields, as a page load has three, does not read the address again for each.
+    texts = [F.to_json(F.struct(*[F.col("campaign")[n].alias(f"{p}{n}") for n in names])) for p in ("", "initial_")]
+    plan = facts.select(*texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_url_parts(spark):
     links = ["https://u:p@h.com:8443/a", "HTTP://H.com:80", "https://h.com:443?x", "ftp//", None]
     assert column(spark, links, urls.url_host) == ["h.com:8443", "h.com", "h.com", None, None]
