@@ -165,3 +165,36 @@ def test_orders_meet_their_lines_before_their_texts(spark, sf_dir):
     # Below the first join the heads have no texts yet.
     assert "/landing" in plan and "/landing" not in plan[plan.index("Join ") :]
     assert "RepartitionByExpression [l_orderkey" in plan and "SKU" not in plan[plan.index("RepartitionByExpression [l_orderkey") :]
+
+
+def test_an_orders_text_lands_once_beside_its_copies(spark, sf_dir):
+    from registry import sample, streams
+
+    made = streams._webhooks(spark, sf_dir)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS payload#") == 4
+    counts = {(r.topic, r.arrival_seq): r["count"] for r in made.groupBy("topic", "arrival_seq").count().collect()}
+    orders = sample.orders(spark, sf_dir)
+    whole = orders.count()
+    assert counts["orders/create", 0] == counts["orders/updated", 0] == whole
+    assert counts["orders/cancelled", 0] == orders.where("status = 'F'").count()
+    assert counts["orders/create", 1] == orders.where("id % 10 = 0").count()
+
+
+def test_sink_writes_rows_where_they_are(spark):
+    from storewake.streaming import sink
+
+    folder = tempfile.mkdtemp(prefix="run-")
+    rows = spark.range(40, numPartitions=4).withColumn("api_host", F.concat(F.lit("h"), F.col("id") % 2))
+    sink.batch_writer(folder)(rows, 0)
+    files = sink.read_sink(spark, folder).inputFiles()
+    # Two hosts in each of four tasks; moved together they would be a file or two.
+    assert len(files) == 8 and all(f.endswith(".zstd.parquet") for f in files)
+    assert sorted(r.id for r in sink.read_sink(spark, folder).collect()) == list(range(40))
+
+
+def test_lines_of_refunds_meet_before_their_texts(spark, sf_dir):
+    from registry import sample
+
+    plan = sample._refunds(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "SKU" not in plan[plan.index("RepartitionByExpression [l_orderkey") :]
