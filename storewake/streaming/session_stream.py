@@ -4,8 +4,9 @@ The state of a browser is one small row, one more per tab and the rows that
 wait. Rows wait by the minute until the watermark has passed it and are then
 folded in time order, so that a row that arrives late, but within the watermark,
 cannot change what was already sent. One timer of a browser folds all minutes that are due, and
-reads their rows only. With a retention, a browser that is silent for so long is forgotten: its
-next row starts like a new browser's.
+reads their rows only. The first rows that wait, up to a bounded number, are one value of
+the state, as most browsers have few; when there are more, they are filed by the minute. With a
+retention, a browser that is silent for so long is forgotten: its next row starts like a new browser's.
 
 Spark would drop rows behind the watermark without a trace. Here the processor
 sees them: a row whose minute has already been folded, or that has no time, comes out
@@ -55,6 +56,7 @@ ROW = _struct(
 )
 MINUTE = _struct(at_ms=LongType())
 WAITING = _struct(rows=ArrayType(ROW))
+FEW = _struct(rows=ArrayType(ROW), filed=BooleanType())
 TAB = _struct(tab_id=StringType())
 WINDOW = _struct(window_us=LongType(), window_epoch=LongType())
 _NO_STATE = (None, 0, None, None, None, None)
@@ -85,6 +87,8 @@ OUT = _struct(
     late=BooleanType(),
 )
 _MINUTE_MS = 60_000
+# Rows that wait as one value, which is read and written whole; more are filed by the minute.
+FEW_ROWS = 128
 
 
 def _fold(state: tuple, row: tuple, idle_us: int, length_us: int) -> tuple[tuple, tuple | None]:
@@ -115,41 +119,66 @@ def _rows_of(part: pd.DataFrame) -> list[tuple]:
     """Plain rows of a batch, converted column by column."""
     columns = []
     for field in ROW.fields:
-        column = part[field.name]
-        column = column.astype(object).where(column.notna(), None).tolist()
-        cast = {LongType: int, BooleanType: bool}.get(type(field.dataType))
-        columns.append([None if v is None else cast(v) for v in column] if cast else column)
+        cast = {LongType: int, BooleanType: bool}.get(type(field.dataType), str)
+        # A missing value is None or not equal to itself.
+        columns.append([None if v is None or v != v else cast(v) for v in part[field.name].tolist()])
     return list(zip(*columns, strict=True))
 
 
+def _minute_end(row: tuple) -> int | None:
+    """When the watermark has passed the minute of a row, in milliseconds."""
+    return None if row[1] is None else (row[1] // 1000 // _MINUTE_MS + 1) * _MINUTE_MS
+
+
 class BrowserProcessor(StatefulProcessor):
-    def __init__(self, idle_us: int, length_us: int, retention_us: int | None):
+    def __init__(self, idle_us: int, length_us: int, retention_us: int | None, few_rows: int = 0):
+        """Up to `few_rows` waiting rows are one value; with 0 all are filed by the minute."""
         self._idle_us = idle_us
         self._length_us = length_us
         self._retention_us = retention_us
+        self._few_rows = few_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._state = handle.getValueState("browser", STATE)
         self._waiting = handle.getMapState("waiting", MINUTE, WAITING)
         self._tabs = handle.getMapState("tabs", TAB, WINDOW)
+        self._few = handle.getValueState("few", FEW) if self._few_rows else None
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _few_waiting(self) -> tuple[list[tuple], bool]:
+        """The rows that wait as one value, and whether others may be filed by the minute."""
+        if self._few is None:
+            return [], True
+        found = self._few.get()
+        return ([], False) if found is None else ([tuple(r) for r in found[0]], found[1])
+
+    def _file(self, rows: list[tuple]) -> None:
         by_minute: dict[int, list[tuple]] = {}
-        late, folded_ms = [], timerValues.getCurrentWatermarkInMs()
+        for row in rows:
+            by_minute.setdefault(_minute_end(row), []).append(row)
+        for at_ms, new in by_minute.items():
+            if self._waiting.containsKey((at_ms,)):
+                new = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]] + new
+            self._waiting.updateValue((at_ms,), (new,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        late, new, folded_ms = [], [], timerValues.getCurrentWatermarkInMs()
         for part in rows:
             for row in _rows_of(part):
-                at_ms = None if row[1] is None else (row[1] // 1000 // _MINUTE_MS + 1) * _MINUTE_MS
+                at_ms = _minute_end(row)
                 if at_ms is None or at_ms <= folded_ms:
                     late.append((*key, *row[:2], row[3], *[None] * 6, row[6], None, None, row[2], True))
                 else:
-                    by_minute.setdefault(at_ms, []).append(row)
-        for at_ms, new in by_minute.items():
-            if self._waiting.containsKey((at_ms,)):
-                new = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]] + new
-            self._waiting.updateValue((at_ms,), (new,))
-        if by_minute:
-            self._handle.registerTimer(min(by_minute))
+                    new.append(row)
+        if new:
+            few, filed = self._few_waiting()
+            if len(few) + len(new) <= self._few_rows:
+                self._few.update((few + new, filed))
+            else:
+                self._file(few + new)
+                if self._few is not None:
+                    self._few.update(([], True))
+            self._handle.registerTimer(min(map(_minute_end, new)))
         if late:
             yield pd.DataFrame(late, columns=OUT.names)
 
@@ -166,12 +195,16 @@ class BrowserProcessor(StatefulProcessor):
         if self._retention_us is not None and whole["last_us"] is not None:
             self._handle.registerTimer((whole["last_us"] + self._retention_us) // 1000 + _MINUTE_MS)
 
-    def _window(self, row: tuple, sent: tuple, tabs: dict[str, tuple | None]) -> tuple:
-        """The window of the event's tab: a new one with its first event or a session it opens."""
+    def _window(self, row: tuple, sent: tuple, tabs: dict[str, tuple | None], kept: bool) -> tuple:
+        """The window of the event's tab: a new one with its first event or a session it opens.
+
+        `kept` says whether windows of the browser may be in the state.
+        """
         tab = row[6] or ""
         if not sent[-1]:
             if tab not in tabs:
-                tabs[tab] = tuple(self._tabs.getValue((tab,))) if self._tabs.containsKey((tab,)) else None
+                there = kept and self._tabs.containsKey((tab,))
+                tabs[tab] = tuple(self._tabs.getValue((tab,))) if there else None
             if tabs[tab] is not None:
                 return tabs[tab]
         tabs[tab] = (row[1], sent[4])
@@ -184,29 +217,40 @@ class BrowserProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Fold every minute that the watermark has passed; the next one that waits gets a timer of its own."""
         now_ms = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        minutes = sorted(minute for (minute,) in self._waiting.keys())
-        due = [minute for minute in minutes if minute <= now_ms]
-        if len(due) < len(minutes):
-            self._handle.registerTimer(minutes[len(due)])
-        state = tuple(self._state.get()) if self._state.exists() else _NO_STATE
-        known, sent, tabs = state, [], {}
-        for at_ms in due:
-            ready = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]]
+        few, filed = self._few_waiting()
+        minutes = sorted(minute for (minute,) in self._waiting.keys()) if filed else []
+        later = [row for row in few if _minute_end(row) > now_ms]
+        due: dict[int, list[tuple]] = {}
+        passed = [minute for minute in minutes if minute <= now_ms]
+        for at_ms in passed:
+            due[at_ms] = [tuple(r) for r in self._waiting.getValue((at_ms,))[0]]
             self._waiting.removeKey((at_ms,))
+        # What is filed came before the few.
+        for row in few:
+            if _minute_end(row) <= now_ms:
+                due.setdefault(_minute_end(row), []).append(row)
+        if len(later) < len(few) or self._few is not None and len(passed) == len(minutes) > 0:
+            self._few.update((later, len(passed) < len(minutes)))
+        waiting = [*map(_minute_end, later), *minutes[len(passed) :]]
+        if waiting:
+            self._handle.registerTimer(min(waiting))
+        state = tuple(self._state.get()) if self._state.exists() else _NO_STATE
+        known, kept, sent, tabs = state, state is not _NO_STATE, [], {}
+        for at_ms in sorted(due):
             if self._silent(state, (at_ms - _MINUTE_MS) * 1000):
                 self._tabs.clear()
-                state, tabs = _NO_STATE, {}
-            for row in sorted(ready, key=lambda r: (r[1], r[2], r[0])):
+                state, tabs, kept = _NO_STATE, {}, False
+            for row in sorted(due[at_ms], key=lambda r: (r[1], r[2], r[0])):
                 state, out = _fold(state, row, self._idle_us, self._length_us)
                 if out is not None:
-                    sent.append((*key, *out, row[6], *self._window(row, out, tabs), True, False))
+                    sent.append((*key, *out, row[6], *self._window(row, out, tabs, kept), True, False))
         for tab, window in tabs.items():
             if window is not None:
                 self._tabs.updateValue((tab,), window)
         if due:
             self._state.update(state)
             if self._retention_us is not None:
-                self._handle.registerTimer(due[-1] + self._retention_us // 1000)
+                self._handle.registerTimer(max(due) + self._retention_us // 1000)
         elif known is not _NO_STATE and self._silent(known, expiredTimerInfo.getExpiryTimeInMs() * 1000):
             self._state.clear()
             self._tabs.clear()
@@ -242,7 +286,7 @@ def stream_browser_state(
     # Without its event time the processor is given late rows too.
     named = timed.withColumnsRenamed({"login_email": "login", "post_email": "post"}).select(*KEYS, *ROW.names)
     state = named.groupBy(*KEYS).transformWithStateInPandas(
-        BrowserProcessor(idle_us, length_us, retention_us),
+        BrowserProcessor(idle_us, length_us, retention_us, FEW_ROWS),
         outputStructType=OUT,
         outputMode="Append",
         timeMode="EventTime",

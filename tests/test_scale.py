@@ -167,6 +167,34 @@ def test_orders_meet_their_lines_before_their_texts(spark, sf_dir):
     assert "RepartitionByExpression [l_orderkey" in plan and "SKU" not in plan[plan.index("RepartitionByExpression [l_orderkey") :]
 
 
+def test_few_waiting_rows_are_one_value_and_fold_the_same(spark):
+    from storewake.streaming.session_stream import ROW
+
+    # Repeated minutes, rows at the same time, a login and three arrivals, the second of which is too many.
+    rows = [
+        (n, (n * 7919 % 11) * 60_000_000 + n % 3, n % 7 != 5, n % 4 == 0, "l" if n % 7 == 5 else None, None, f"t{n % 2}")
+        for n in range(1, 25)
+    ]
+    arrivals = [rows[:4], rows[4:14], rows[14:]]
+    made, held = [], []
+    for few_rows in (0, 8, 100):
+        handle, values, sent = _Handle(), {}, []
+        handle.getValueState = lambda name, *_, values=values: values.setdefault(name, _Value())
+        processor = BrowserProcessor(90_000_000, 300_000_000, None, few_rows)
+        processor.init(handle)
+        for part, watermark in zip(arrivals, (0, 0, 0), strict=True):
+            frame = spark.createDataFrame(part, ROW).toPandas()
+            assert list(processor.handleInputRows(("s", "c"), iter([frame]), _At(watermark))) == []
+            held.append(len(handle.maps["waiting"]))
+        for at_ms in (240_000, 300_000, 900_000):
+            for frame in processor.handleExpiredTimer(("s", "c"), _At(at_ms), _At(min(handle.timers))):
+                sent += frame.astype(object).where(frame.notna(), None).values.tolist()
+        assert not handle.maps["waiting"] and (not few_rows or values["few"].held == ([], False))
+        made.append((sent, handle.maps["tabs"], values["browser"].held))
+    assert made[0] == made[1] == made[2] and len(made[0][0]) == sum(r[2] for r in rows)
+    assert held[0] > 0 and held[3] == 0 < held[4] and held[6:] == [0, 0, 0]
+
+
 def test_an_orders_text_lands_once_beside_its_copies(spark, sf_dir):
     from registry import sample, streams
 
