@@ -357,8 +357,10 @@ def stream_pixel_feed(spark, sf_dir):
             lateness="12 hours", page_life="3 days", state_lateness="9 days",
         )
         stream.start_join(availableNow=True).awaitTermination()
+        # The join writes a file per task and day: as in `_stream`, a large table comes in BATCHES parts.
+        files = max(60, -(-len(spark.read.parquet(stream.payloads).inputFiles()) // BATCHES))
         stream.start_events(
-            f"{folder}/out", lambda rows, n: send(envelope.enveloped(rows), n), 60, availableNow=True
+            f"{folder}/out", lambda rows, n: send(envelope.enveloped(rows), n), files, availableNow=True
         ).awaitTermination()
     body = F.from_json("request", _BODY)
     sent = sink.read_sink(spark, f"{folder}/out").select("url", body.alias("r"))
