@@ -42,7 +42,7 @@ HELD_OUT_FOLD = 1
 ORDER = 2
 LADDER = 1.35
 BITS_PER_STEP = 10
-PROBES = 4
+PROBES = 5
 #: Bytes of training text per bucket of the filter.
 BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 128 << 20
