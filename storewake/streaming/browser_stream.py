@@ -26,7 +26,7 @@ from storewake.operators import pixel_events, pixel_settings
 from storewake.operators.browser_state import KEYS
 from storewake.operators.page_context import page_contexts
 from storewake.plans.pixel import login_rows, with_consent
-from storewake.session import cut_lineage
+from storewake.session import land
 from storewake.streaming.session_stream import stream_browser_state, with_event_time
 from storewake.streaming.sink import batch_writer, start_sink
 
@@ -110,7 +110,7 @@ def payload_writer(
             landed = landed.where(F.col("day").cast("string").between(F.lit(days[0]), F.lit(days[1])))
             keys = [*KEYS, "day", "event_id", "ts_us"]
             whole = landed.withColumn("day", F.col("day").cast("string")).dropDuplicates(keys)
-            write(cut_lineage(pixel_events.pixel_events(state.join(whole, keys), strict)), batch_id)
+            write(land(pixel_events.pixel_events(state.join(whole, keys), strict)), batch_id)
         finally:
             rows.unpersist()
 

@@ -226,3 +226,23 @@ def test_lines_of_refunds_meet_before_their_texts(spark, sf_dir):
 
     plan = sample._refunds(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "SKU" not in plan[plan.index("RepartitionByExpression [l_orderkey") :]
+
+
+def test_hot_rows_land_compressed_and_bodies_are_made_once(spark, sf_dir, monkeypatch):
+    from registry import pixel
+    from storewake import session
+    from storewake.operators import envelope
+
+    rows = spark.range(300).select(F.lit("k").alias("k"), "id", F.lit("x" * 50).alias("body"), F.lit(None).alias("none"))
+    for some in (rows.drop("none"), rows):
+        made = envelope.numbered_batches(some, ["k"], ["id"], hot_rows=50, slice_rows=40)
+        assert {(r.id, r.batch_no, r.place) for r in made.collect()} == {(n, n // 10, n + 1) for n in range(300)}
+    landed = session.land(rows.drop("none"))
+    assert all(f.endswith(".zstd.parquet") for f in landed.inputFiles()) and landed.schema.names == ["k", "id", "body"]
+    assert session.land(rows).count() == 300
+
+    seen = []
+    numbered = envelope.numbered_batches
+    monkeypatch.setattr(envelope, "numbered_batches", lambda sent, *a, **b: seen.append(sent) or numbered(sent, *a, **b))
+    pixel.catalog.queries["pixel_requests"](spark, sf_dir)
+    assert "Window" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
