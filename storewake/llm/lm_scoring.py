@@ -41,8 +41,8 @@ FOLDS = 5
 HELD_OUT_FOLD = 1
 ORDER = 2
 LADDER = 1.35
-BITS_PER_STEP = 10
-PROBES = 5
+BITS_PER_STEP = 12
+PROBES = 4
 #: Bytes of training text per bucket of the filter.
 BUCKET_BYTES = 8 << 20
 BROADCAST_BYTES = 128 << 20
